@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ IOC_DRIVE = r"^[A-Za-z]:\\"
 # ----------------------------------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Drop white space at both ends (tabs and form feeds too, unlike ``trim``)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.schema import UNKNOWN, entry
+from emberlog.schema import UNKNOWN, Record, either, entry
 
 # --- fixed values -----------------------------------------------------------------
 LINE = (
@@ -54,7 +54,8 @@ def timestamp(text: Column) -> Column:
     )
 
 
-def parse(raw: Column, tok: Column) -> Column:
+def parse(raw: Column, tok: Column) -> Record:
+    """Record of one line; ``tok`` is the column holding ``tokens(raw)``."""
     ip, user, ts, request, status, size, referer, agent = (F.get(tok, F.lit(i)) for i in range(8))
     status = status.try_cast("int")
     promoted = {
@@ -77,7 +78,7 @@ def parse(raw: Column, tok: Column) -> Column:
         extra=F.map_filter(pairs, lambda k, v: k.isin(*always) | v.isNotNull()),
         **promoted,
     )
-    return F.when(F.size(tok) == 8, known).otherwise(entry(format=F.lit(UNKNOWN), message=raw))
+    return either(F.size(tok) == 8, known, entry(format=F.lit(UNKNOWN), message=raw))
 
 
 def bytes_number(size: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.scalars import first_ip, lookup
-from emberlog.schema import UNKNOWN, entry
+from emberlog.functions.scalars import first_ip, let, lookup
+from emberlog.schema import UNKNOWN, Record, either, entry
 
 # --- fixed values -----------------------------------------------------------------
 TIME_KEYS = ["timestamp", "time", "@timestamp", "ts", "date", "datetime", "created_at"]
@@ -44,10 +44,10 @@ def fields(raw: Column) -> Column:
     as_list = F.from_json(
         F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"}
     )
-    only = F.when(F.size(as_list) == 1, F.get(as_list, F.lit(0)))
     with_tail = F.size(F.from_json(F.concat(F.lit("["), raw, F.lit(",0]")), "array<string>"))
     whole = F.when(raw.rlike(r"\}\s*\]"), with_tail == 2).otherwise(True)
-    return F.when(whole, _last_of_each_key(only))
+    only = let(as_list, lambda w: F.when((F.size(w) == 1) & whole, F.get(w, F.lit(0))))
+    return let(only, _last_of_each_key)
 
 
 def score(raw: Column) -> Column:
@@ -56,10 +56,8 @@ def score(raw: Column) -> Column:
 
 def alias_value(m: Column, keys: list[str]) -> Column:
     """Value of the first key present, even when that value is null."""
-    out = F.when(F.map_contains_key(m, keys[0]), F.try_element_at(m, F.lit(keys[0])))
-    for k in keys[1:]:
-        out = out.when(F.map_contains_key(m, k), F.try_element_at(m, F.lit(k)))
-    return out
+    present = F.filter(F.lit(keys), lambda k: F.map_contains_key(m, k))
+    return F.try_element_at(m, F.get(present, F.lit(0)))
 
 
 def timestamp(text: Column, apply_offset: bool = False) -> Column:
@@ -88,8 +86,8 @@ def extra(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: ~k.isin(*ALIASES))
 
 
-def parse(raw: Column, m: Column, apply_offset: bool = False) -> Column:
-    """Entry struct of one line; ``m`` is the column holding ``fields(raw)``."""
+def parse(raw: Column, m: Column, apply_offset: bool = False) -> Record:
+    """Record of one line; ``m`` is the column holding ``fields(raw)``."""
     known = entry(
         format=F.lit("json"),
         message=message(m, raw),
@@ -99,4 +97,4 @@ def parse(raw: Column, m: Column, apply_offset: bool = False) -> Column:
         level=level(alias_value(m, LEVEL_KEYS)),
         extra=extra(m),
     )
-    return F.when(m.isNotNull(), known).otherwise(entry(format=F.lit(UNKNOWN), message=raw))
+    return either(m.isNotNull(), known, entry(format=F.lit(UNKNOWN), message=raw))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.functions.scalars import first_ip
-from emberlog.schema import UNKNOWN, entry
+from emberlog.schema import UNKNOWN, Record, either, entry
 
 # --- fixed values -----------------------------------------------------------------
 LEVELS = ["EMERGENCY", "ALERT", "CRITICAL", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG"]
@@ -74,8 +74,8 @@ def timestamp(tok: Column, base_year: int = BASE_YEAR) -> Column:
     return F.when(F.get(tok, F.lit(0)) == _BSD, bsd_timestamp(text, base_year)).otherwise(iso)
 
 
-def parse(raw: Column, tok: Column, base_year: int = BASE_YEAR) -> Column:
-    """Entry struct of one line; ``tok`` is the column holding ``tokens(raw)``."""
+def parse(raw: Column, tok: Column, base_year: int = BASE_YEAR) -> Record:
+    """Record of one line; ``tok`` is the column holding ``tokens(raw)``."""
     kind, host, process = (F.get(tok, F.lit(i)) for i in (0, 2, 3))
     pid, message = F.nullif(F.get(tok, F.lit(4)), F.lit("")), F.get(tok, F.lit(5))
     matched = F.size(tok) == 6
@@ -95,6 +95,4 @@ def parse(raw: Column, tok: Column, base_year: int = BASE_YEAR) -> Column:
         pid=pid,
         extra=no_extra,
     )
-    return F.when(matched, known).otherwise(
-        entry(format=F.lit(UNKNOWN), message=raw, source_ip=first_ip(raw))
-    )
+    return either(matched, known, entry(format=F.lit(UNKNOWN), message=raw, source_ip=first_ip(raw)))

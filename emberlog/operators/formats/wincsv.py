@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.csvline import split_csv
-from emberlog.functions.scalars import first_ip, lookup, strip
-from emberlog.schema import UNKNOWN, entry
+from emberlog.functions.scalars import first_ip, let, lookup, strip
+from emberlog.schema import UNKNOWN, Record, either, entry
 
 # --- fixed values -----------------------------------------------------------------
 KNOWN_HEADERS = [
@@ -94,13 +94,16 @@ def extra(row: Column) -> Column:
 
 def tokens(raw: Column, header: Column) -> Column:
     """Column map of a data line; null when the field count differs from the header's or a field is oversized."""
-    values = trimmed_fields(raw)
-    fits = (F.size(values) == F.size(header)) & ~F.exists(values, lambda v: F.length(v) > MAX_FIELD_CHARS)
-    return F.when(fits, row_map(header, values))
 
+    def fitting(values: Column) -> Column:
+        oversized = F.exists(values, lambda v: F.length(v) > MAX_FIELD_CHARS)
+        return F.when((F.size(values) == F.size(header)) & ~oversized, row_map(header, values))
 
-def parse(raw: Column, row: Column, is_header: Column) -> Column:
-    """Entry struct of one line; ``row`` is the column holding ``tokens(raw, header)``."""
+    return let(trimmed_fields(raw), fitting)
+
+
+def parse(raw: Column, row: Column, is_header: Column) -> Record:
+    """Record of one line; ``row`` is the column holding ``tokens(raw, header)``."""
     message = F.coalesce(first_present(row, MESSAGE_COLUMNS), raw)
     known = entry(
         format=F.lit("windows_csv"),
@@ -115,11 +118,8 @@ def parse(raw: Column, row: Column, is_header: Column) -> Column:
         account_name=first_present(row, USER_COLUMNS),
         extra=extra(row),
     )
-    return (
-        F.when(is_header, entry(format=F.lit("windows_csv"), message=F.lit(HEADER_MESSAGE)))
-        .when(row.isNotNull(), known)
-        .otherwise(entry(format=F.lit(UNKNOWN), message=raw))
-    )
+    header = entry(format=F.lit("windows_csv"), message=F.lit(HEADER_MESSAGE))
+    return either(is_header, header, either(row.isNotNull(), known, entry(format=F.lit(UNKNOWN), message=raw)))
 
 
 def headers(lines: DataFrame) -> DataFrame:

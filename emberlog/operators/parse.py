@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from emberlog.operators import detect_format
 from emberlog.operators.formats import clf, jsonl, syslog, wincsv
 from emberlog.operators.joins import attach
-from emberlog.schema import ENTRY, LOG_FORMATS
+from emberlog.schema import ENTRY, LOG_FORMATS, Record
 from emberlog.session import materialize
 
-_registered: dict[str, Callable[[Column], Column]] = {}
+_registered: dict[str, Callable[[Column], Record]] = {}
 
 
-def register_format(name: str, score: Callable[[Column], Column], parse: Callable[[Column], Column]) -> None:
-    """Add a format: ``score(raw)`` tells whether a line fits, ``parse(raw)`` gives a ``schema.entry`` struct."""
+def register_format(name: str, score: Callable[[Column], Column], parse: Callable[[Column], Record]) -> None:
+    """Add a format: ``score(raw)`` tells whether a line fits, ``parse(raw)`` gives a ``schema.entry`` record."""
     if name in LOG_FORMATS:
         raise ValueError(f"{name} is built in")
     detect_format.register_score(name, score)
@@ -29,11 +29,6 @@ def unregister_format(name: str) -> None:
     _registered.pop(name, None)
 
 
-def _flatten(df: DataFrame, struct: str) -> DataFrame:
-    keep = [c for c in df.columns if not c.startswith("_") and c not in ENTRY.fieldNames()]
-    return df.select(*keep, *[F.col(f"{struct}.{f.name}").alias(f.name) for f in ENTRY.fields])
-
-
 def _is_first(df: DataFrame) -> Column:
     at = F.struct("block_start", "row_id") if "row_id" in df.columns else F.struct("line_no")
     return F.coalesce(at == F.col("header_at"), F.lit(False))
@@ -70,7 +65,10 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, header: list[str] | No
     others = ["clf", "json", "windows_csv", *_registered]
     if fmt is None or fmt not in others:
         steps["_syslog"] = syslog.tokens(raw) if fmt else F.when(~want.isin(*others), syslog.tokens(raw))
-    tokenised = lines.withColumns(steps)
+    # The tokens come out of a generator of one row: filters on record fields are not pushed below it, so no filter or
+    # projection above can copy the tokenising into itself and run it again.
+    packed = F.struct(*[c.alias(n) for n, c in steps.items()]) if steps else F.struct(F.lit(0).alias("_none"))
+    tokenised = lines.select("*", F.inline(F.array(packed)))
 
     parsed = {
         "clf": lambda: clf.parse(raw, F.col("_clf")),
@@ -80,14 +78,17 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, header: list[str] | No
     }
     fallback = lambda: syslog.parse(raw, F.col("_syslog"), base_year)
     if fmt:
-        record = parsed.get(fmt, fallback)()
+        fields = parsed.get(fmt, fallback)()
     else:
-        record = None
-        for name, build in parsed.items():
-            record = F.when(want == name, build()) if record is None else record.when(want == name, build())
-        record = record.otherwise(fallback())
-    out = _flatten(tokenised.withColumn("_entry", record), "_entry")
-    return out.drop("header", "header_at", "score")
+        records, other = {name: build() for name, build in parsed.items()}, fallback()
+        fields = {}
+        for f in ENTRY.fieldNames():
+            choice = F.when(F.lit(False), other[f])
+            for name, record in records.items():
+                choice = choice.when(want == name, record[f])
+            fields[f] = choice.otherwise(other[f])
+    keep = [c for c in lines.columns if c not in (*ENTRY.fieldNames(), "header", "header_at", "score")]
+    return tokenised.select(*keep, *[c.alias(n) for n, c in fields.items()])
 
 
 def file_table(lines: DataFrame, fmt: str | None = None) -> DataFrame:

@@ -93,7 +93,7 @@ def _by_cells(q: DataFrame, c: DataFrame, n: int, exclude_self: bool, schema: st
 
     def spread(df: DataFrame, key: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("bigint"))
+            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
 
     left = spread(q, "query_id", "_shard", shards, "_block", blocks).groupBy("_block", "_shard")
     right = spread(c, "intel_id", "_block", blocks, "_shard", shards).groupBy("_block", "_shard")

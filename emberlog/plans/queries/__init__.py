@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 EVENTS_SQL = """
 e AS (
   SELECT event_id, user_id, event_type, value,
-         date_trunc('second', ts) AS at,
+         date_trunc('second', ts) AS seen,
          CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec,
          strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at_text,
          '10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS ip

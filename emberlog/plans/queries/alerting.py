@@ -17,7 +17,7 @@ _A = """WITH a AS (
     'Total ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' ' || o_orderpriority || ' for order ' || o_orderkey || ' ' || repeat('z', 90) AS description,
     '/var/log/f' || (o_custkey % 10) AS source_file,
     '10.1.' || (o_custkey // 256) || '.' || (o_custkey % 256) AS ip,
-    strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at
+    strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso
   FROM orders),
 b AS (
   SELECT *, CASE o_orderkey % 5 WHEN 0 THEN 'c' || (o_custkey % 500) || '@example.com' WHEN 1 THEN '/var/log/app/' || (o_orderkey % 50)
@@ -92,9 +92,9 @@ def alerts_recent(spark, sf_dir):
 
 @query(_A + """SELECT id, severity, title, description, 'Review the order' AS recommendation, array_to_string(iocs, '|') AS iocs,
   'syslog' AS log_format, source_file, o_orderkey % 100 AS chunk_index,
-  CASE WHEN o_orderkey % 3 <> 0 THEN at END AS timestamp_first,
+  CASE WHEN o_orderkey % 3 <> 0 THEN iso END AS timestamp_first,
   CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate + INTERVAL 90 SECOND, '%Y-%m-%dT%H:%M:%S') END AS timestamp_last,
-  at AS generated_at FROM c""")
+  iso AS generated_at FROM c""")
 def alert_export(spark, sf_dir):
     return ops.export_rows(_alerts(spark, sf_dir)).withColumn("iocs", F.array_join("iocs", "|"))
 
@@ -113,7 +113,7 @@ def alert_upsert_latest(spark, sf_dir):
   coalesce(array_to_string(list_transform(range(1, 1 + least(3, o_custkey % 6)), lambda i: left('order ' || o_orderkey || ' line ' || rpad(CAST(i AS VARCHAR), 130, 'x'), 120)), chr(10)), '') AS lines,
   CASE WHEN o_custkey % 6 > 3 THEN '... ' || (o_custkey % 6 - 3) || ' more' END AS more_lines,
   CASE WHEN len(iocs) = 0 THEN 'none' ELSE array_to_string(iocs[1:3], ', ') || CASE WHEN len(iocs) > 3 THEN '…' ELSE '' END END AS iocs,
-  at FROM c""")
+  iso AS "at" FROM c""")
 def alert_digest(spark, sf_dir):
     return ops.digest(_alerts(spark, sf_dir))
 
@@ -125,7 +125,7 @@ def remediation_plan(spark, sf_dir):
 
 
 _V = """WITH v AS (
-  SELECT l_shipdate AS at, l_suppkey, l_linenumber AS n, CASE l_linenumber % 5
+  SELECT l_shipdate AS seen, l_suppkey, l_linenumber AS n, CASE l_linenumber % 5
     WHEN 0 THEN '10.2.' || (l_partkey // 256) || '.' || (l_partkey % 256) WHEN 1 THEN md5(CAST(l_partkey % 300 AS VARCHAR))
     WHEN 2 THEN 'p' || (l_partkey % 400) || '@example.org'
     WHEN 3 THEN CASE WHEN l_partkey % 2 = 0 THEN '/opt/' || (l_partkey % 90) ELSE 'C:\\tmp\\' || (l_partkey % 90) END
@@ -133,8 +133,8 @@ _V = """WITH v AS (
     CASE l_linenumber % 5 WHEN 0 THEN 'ip' WHEN 1 THEN 'hash' WHEN 2 THEN 'email' WHEN 3 THEN 'path' ELSE 'string' END AS type
   FROM lineitem),
 m AS (
-  SELECT value, any_value(type) AS type, strftime(min(at), '%Y-%m-%d %H:%M:%S') AS first_seen,
-         strftime(max(at), '%Y-%m-%d %H:%M:%S') AS last_seen,
+  SELECT value, any_value(type) AS type, strftime(min(seen), '%Y-%m-%d %H:%M:%S') AS first_seen,
+         strftime(max(seen), '%Y-%m-%d %H:%M:%S') AS last_seen,
          CAST(sum(CASE WHEN n = 7 THEN 2 ELSE 1 END) AS BIGINT) AS alert_count FROM v GROUP BY value)
 """
 

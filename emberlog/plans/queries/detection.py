@@ -177,7 +177,7 @@ def remediation_template(spark, sf_dir):
 @query(f"""WITH {EVENTS_SQL},
 t AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY sec, event_id) AS rn FROM e WHERE event_id % 97 <> 0 AND event_id % 4 = 1)
 SELECT ip AS subject, ip AS iocs, 'Scanner user agent from ' || ip AS title, 'clf.log' AS source_file, 'clf' AS log_format,
-       least(count(*), 10) AS n_lines, strftime(min(at), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(at), '%Y-%m-%d %H:%M:%S') AS last_at,
+       least(count(*), 10) AS n_lines, strftime(min(seen), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(seen), '%Y-%m-%d %H:%M:%S') AS last_at,
        string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) FILTER (rn <= 10) AS line_nos
 FROM t GROUP BY ip""")
 def detector_evidence(spark, sf_dir):

@@ -105,15 +105,22 @@ EXPORT_KEYS = [
 ]
 
 
-def entry(**fields: Column) -> Column:
-    """A struct in the ``ENTRY`` layout; fields not named are null (``extra``: an empty map)."""
+Record = dict[str, Column]
+
+
+def entry(**fields: Column) -> Record:
+    """All record columns by name; those not given are null (``extra``: an empty map).
+
+    Fields stay separate expressions, so that a query pays only for the ones it uses.
+    """
     empty = F.create_map().cast(_EXTRA)
-    return F.struct(
-        *[
-            fields.get(f.name, empty if f.name == "extra" else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in ENTRY.fields
-        ]
-    )
+    return {
+        f.name: fields.get(f.name, empty if f.name == "extra" else F.lit(None)).cast(f.dataType) for f in ENTRY.fields
+    }
+
+
+def either(condition: Column, yes: Record, no: Record) -> Record:
+    return {name: F.when(condition, yes[name]).otherwise(no[name]) for name in yes}
 
 
 def conform(df, schema: T.StructType):
