@@ -245,12 +245,17 @@ def lateral_movement(pairs: DataFrame, baseline: DataFrame) -> DataFrame:
     return _finding(per_source, "lateral_movement", "MEDIUM", "src", "targets")
 
 
-def beacon(parsed: DataFrame, min_gaps: int = 5, max_cv: float = 0.1) -> DataFrame:
-    """Sources whose gaps between distinct seconds are regular: deviation over mean below ``max_cv``."""
+def beacon(parsed: DataFrame, min_gaps: int = 5, max_cv: float = 0.1, min_mean_gap: float = 10) -> DataFrame:
+    """Sources whose gaps between distinct seconds are regular: deviation over mean below ``max_cv``.
+
+    Gaps shorter than ``min_mean_gap`` seconds on average are a flood rather than a beacon.
+    """
     timed = parsed.filter("source_ip IS NOT NULL AND event_ts IS NOT NULL")
     seconds = per_second(timed, ["source_ip"], epoch_second(F.col("event_ts")), lines=F.count(F.lit(1)))
     stats = gap_stats(seconds, ["source_ip"])
-    regular = stats.filter((F.col("gaps") >= min_gaps) & (F.col("dev_gap") / F.col("mean_gap") < max_cv))
+    regular = stats.filter(
+        (F.col("gaps") >= min_gaps) & (F.col("mean_gap") >= min_mean_gap)
+        & (F.col("dev_gap") / F.col("mean_gap") < max_cv))
     return _finding(regular, "beacon", "HIGH", "source_ip", "gaps")
 
 

@@ -159,7 +159,7 @@ g AS (SELECT ip, sec, sec - lag(sec) OVER (PARTITION BY ip ORDER BY sec) AS gap
 SELECT 'beacon' AS category, 'HIGH' AS severity, ip AS subject, min(sec) AS first_sec, max(sec) AS last_sec, count(gap) AS n
 FROM g GROUP BY ip HAVING count(gap) >= 5 AND stddev_pop(gap) / avg(gap) < 0.9""")
 def detect_beacon(spark, sf_dir):
-    return det.beacon(_bsd(spark, sf_dir), 5, 0.9)
+    return det.beacon(_bsd(spark, sf_dir), 5, 0.9, min_mean_gap=0)
 
 
 @query(f"""WITH {EVENTS_SQL}, c AS (

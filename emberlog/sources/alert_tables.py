@@ -18,6 +18,7 @@ _STORED = "batch_id BIGINT, " + ", ".join(f"{f.name} {f.dataType.simpleString()}
 def create(spark: SparkSession, path: str) -> None:
     """Empty alert and indicator tables."""
     write_batch(spark.createDataFrame([], ALERT), path, -1)
+    write_ioc_delta(spark, path, -1)
 
 
 def write_batch(alerts: DataFrame, path: str, batch_id: int) -> None:
@@ -27,13 +28,27 @@ def write_batch(alerts: DataFrame, path: str, batch_id: int) -> None:
         f"{path}/alerts/batch_id={batch_id}")
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Newest row per id over all batches."""
-    stored = spark.read.schema(_STORED).option("basePath", f"{path}/alerts").parquet(f"{path}/alerts")
+def read_alerts(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """Newest row per id over all batches, or over one."""
+    stored = spark.read.schema(_STORED).parquet(f"{path}/alerts")
+    if batch_id is not None:
+        stored = stored.filter(F.col("batch_id") == batch_id)
     newest = Window.partitionBy("id").orderBy(F.col("batch_id").desc(), F.col("generated_at").desc())
     return conform(stored.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1"), ALERT)
 
 
+def write_ioc_delta(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Indicator counts of one stored batch, kept next to it; replaced when the batch is written again."""
+    batch = spark.read.schema(ALERT).parquet(f"{path}/alerts/batch_id={batch_id}")
+    ops.ioc_mart(batch).write.mode("overwrite").parquet(f"{path}/iocs/batch_id={batch_id}")
+
+
+def read_ioc_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Running indicator counts over all batches, without reading any alert."""
+    stored = spark.read.schema(IOC).parquet(f"{path}/iocs")
+    return conform(ops.ioc_merge(stored.limit(0), stored), IOC)
+
+
 def read_iocs(spark: SparkSession, path: str) -> DataFrame:
     """Indicators of the alerts as they stand now."""
     return conform(ops.ioc_mart(read_alerts(spark, path)), IOC)
@@ -43,6 +58,8 @@ def clear(spark: SparkSession, path: str) -> None:
     """Both tables empty again: an empty table replaces all batches."""
     empty = spark.createDataFrame([], ALERT).withColumn("batch_id", F.lit(-1))
     empty.write.mode("overwrite").partitionBy("batch_id", "severity").parquet(f"{path}/alerts")
+    counters = spark.createDataFrame([], IOC).withColumn("batch_id", F.lit(-1))
+    counters.write.mode("overwrite").partitionBy("batch_id").parquet(f"{path}/iocs")
 
 
 def decode_json_arrays(rows: DataFrame) -> DataFrame:
