@@ -43,8 +43,8 @@ def login_sessions(parsed: DataFrame, gap_seconds: int = 600) -> DataFrame:
 def login_sessions_stream(parsed: DataFrame, gap_seconds: int = 600, watermark: str = WATERMARK) -> DataFrame:
     """The same on a stream."""
     return (
-        _logins(parsed).withWatermark("event_ts", watermark)
-        .withColumn("event_ts", F.date_trunc("second", "event_ts"))
+        _logins(parsed).withColumn("event_ts", F.date_trunc("second", "event_ts"))
+        .withWatermark("event_ts", watermark)
         .groupBy("source_ip", F.session_window("event_ts", f"{gap_seconds} seconds"))
         .agg(F.unix_seconds(F.min("event_ts")).alias("first_sec"), F.unix_seconds(F.max("event_ts")).alias("last_sec"),
              F.count(F.lit(1)).alias("logins"))
