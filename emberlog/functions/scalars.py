@@ -29,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def first_ip(text: Column) -> Column:
     """First dotted quad, without an octet range check; null when there is none."""
-    return F.nullif(F.regexp_extract(text, IPV4, 1), F.lit(""))
+    return let(F.regexp_extract(text, IPV4, 1), lambda ip: F.when(ip != "", ip))
 
 
 def all_ips(text: Column) -> Column:

@@ -23,8 +23,11 @@ def register_score(name: str, score: Callable[[Column], Column]) -> None:
     _registered[name] = score
 
 
-def format_scores(sample: DataFrame, use_names: bool = True) -> DataFrame:
-    """``source_file`` and one score column per format, from ``sample_lines`` rows (at most 20 per file)."""
+def format_scores(sample: DataFrame, use_names: bool = True, **more: Column) -> DataFrame:
+    """``source_file`` and one score column per format, from ``sample_lines`` rows (at most 20 per file).
+
+    ``more``: further aggregates of the same rows, to be named in ``best_format``.
+    """
     raw = F.col("raw")
     header = F.max(F.when(F.col("sample_no") == 1, wincsv.header_score(raw)))
     if use_names:
@@ -36,12 +39,13 @@ def format_scores(sample: DataFrame, use_names: bool = True) -> DataFrame:
         F.avg(jsonl.score(raw)).alias("json"),
         header.alias("windows_csv"),
         *[F.avg(score(raw).cast("int")).alias(name) for name, score in _registered.items()],
+        *[column.alias(name) for name, column in more.items()],
     )
 
 
-def best_format(scores: DataFrame) -> DataFrame:
+def best_format(scores: DataFrame, *more: str) -> DataFrame:
     """Highest score of at least 0.3, the earlier format on ties, ``unknown`` otherwise."""
-    names = [c for c in scores.columns if c != "source_file"]
+    names = [c for c in scores.columns if c not in ("source_file", *more)]
     ranked = F.array(
         *[F.struct(F.col(n).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
           for i, n in enumerate(names)]
@@ -50,6 +54,7 @@ def best_format(scores: DataFrame) -> DataFrame:
         "source_file",
         F.when(F.col("_best.score") >= MIN_SCORE, F.col("_best.name")).otherwise(UNKNOWN).alias("format"),
         F.col("_best.score").alias("score"),
+        *more,
     )
 
 

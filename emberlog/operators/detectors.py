@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.scalars import all_ips, epoch_second, is_private_ip, lookup
 from emberlog.operators import rules
 from emberlog.operators.findings import alert_id
+from emberlog.operators.formats.clf import bytes_number
 from emberlog.operators.joins import attach
 from emberlog.operators.slices import DAY, gap_stats, islands, per_second, trailing
 from emberlog.schema import ALERT, MAX_AFFECTED_LINES, REMEDIATION, conform
@@ -170,7 +171,7 @@ def scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, m
 def exfiltration(parsed: DataFrame, min_bytes: int = 10**9, window_seconds: int = DAY) -> DataFrame:
     """Destinations that were sent ``min_bytes`` or more within one fixed window (a day)."""
     sent = parsed.select(
-        "source_ip", epoch_second(F.col("event_ts")).alias("sec"), F.col("bytes_sent").try_cast("bigint").alias("bytes")
+        "source_ip", epoch_second(F.col("event_ts")).alias("sec"), bytes_number(F.col("bytes_sent")).alias("bytes")
     ).filter("source_ip IS NOT NULL AND sec IS NOT NULL AND bytes IS NOT NULL")
     slots = sent.groupBy("source_ip", F.floor(F.col("sec") / window_seconds).alias("slot")).agg(
         F.sum("bytes").alias("bytes"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
@@ -283,7 +284,8 @@ def remediation_for(category: Column, subject: Column) -> Column:
 def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AFFECTED_LINES) -> DataFrame:
     """Add ``affected_lines``, ``source_file`` and ``log_format`` from the lines behind each finding.
 
-    ``lines``: ``category, subject, sec, raw, line_no, source_file, format``. A finding takes its own category and
+    ``findings`` is read twice, so pass a stored or checkpointed table. ``lines``: ``category, subject, sec, raw,
+    line_no, source_file, format``. A finding takes its own category and
     subject between its first and last second. The rank filter also runs before the shuffle, so a finding with
     any number of lines moves at most ``max_lines`` per task.
     """
@@ -301,8 +303,11 @@ def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AF
     return keyed.join(packed, "_fid", "left").withColumnRenamed("_fid", "id")
 
 
-def evidence_lines(parsed: DataFrame) -> DataFrame:
-    """Lines that can stand behind a finding, once per category they serve; one pass over the parsed table."""
+def evidence_lines(parsed: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Lines that can stand behind a finding, once per category they serve; one pass over the parsed table.
+
+    ``categories``: those among the findings, if known; lines that serve no other are then left out early.
+    """
     sec = epoch_second(F.col("event_ts"))
     failed, ok, web = login_failed(), login_succeeded(), F.col("path").isNotNull()
     ip = F.col("source_ip")
@@ -310,20 +315,24 @@ def evidence_lines(parsed: DataFrame) -> DataFrame:
     def hit(when: Column, category: str, subject: Column) -> Column:
         return F.when(when & subject.isNotNull(), F.struct(F.lit(category).alias("category"), subject.alias("subject")))
 
+    always = F.lit(True)
+    behind = {
+        "brute_force": (failed, ip),
+        "failed_login": (failed, ip),
+        "credential_stuffing": (failed, ip),
+        "success_after_failures": (failed | ok, ip),
+        "scan": (web, ip),
+        "exfiltration": (F.col("bytes_sent").isNotNull(), ip),
+        "beacon": (always, ip),
+        "privilege_escalation": (always, privilege_use()),
+        "account_change": (always, changed_account()),
+        "lateral_movement": (is_private_ip(ip) & F.try_element_at("extra", F.lit("dst_ip")).isNotNull(), ip),
+        **{c: (F.col(col).rlike(pattern), ip) for c, (_, col, pattern) in rules.REQUEST_RULES.items()},
+    }
     options = [
-        hit(failed, "brute_force", ip),
-        hit(failed, "failed_login", ip),
-        hit(failed, "credential_stuffing", ip),
-        hit(failed | ok, "success_after_failures", ip),
-        hit(web, "scan", ip),
-        hit(F.col("bytes_sent").isNotNull(), "exfiltration", ip),
-        hit(F.lit(True), "beacon", ip),
-        hit(F.lit(True), "privilege_escalation", privilege_use()),
-        hit(F.lit(True), "account_change", changed_account()),
-        hit(is_private_ip(ip) & F.try_element_at("extra", F.lit("dst_ip")).isNotNull(), "lateral_movement", ip),
+        hit(when if categories is None or c in categories else F.lit(False), c, subject)
+        for c, (when, subject) in behind.items()
     ]
-    for category, (_, col, pattern) in rules.REQUEST_RULES.items():
-        options.append(hit(F.col(col).rlike(pattern), category, ip))
     lines = decode_path(parsed).withColumn("_hit", F.explode(F.array_compact(F.array(*options))))
     return lines.select(
         "_hit.category", "_hit.subject", sec.alias("sec"), "raw", "line_no", "source_file", "format")

@@ -64,22 +64,25 @@ def timestamp(text: Column, apply_offset: bool = False) -> Column:
     """ISO times; fractions, ``Z`` and offsets are dropped unless ``apply_offset`` is set."""
     if apply_offset:
         return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]"), text.try_cast("timestamp"))
-    blank = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$")
-    bare = F.regexp_replace(F.regexp_replace(text, r"\.\d+", ""), r"[+-]\d{2}:\d{2}$", "")
-    shaped = F.when(blank, F.regexp_replace(text, r"\s+", "T")).otherwise(F.replace(bare, F.lit("Z"), F.lit("")))
-    return F.try_to_timestamp(shaped, F.lit("yyyy-M-d'T'H:m:s"))
+
+    def shaped(t: Column) -> Column:
+        blank = t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$")
+        bare = F.regexp_replace(F.regexp_replace(t, r"\.\d+", ""), r"[+-]\d{2}:\d{2}$", "")
+        return F.when(blank, F.regexp_replace(t, r"\s+", "T")).otherwise(F.replace(bare, F.lit("Z"), F.lit("")))
+
+    return F.try_to_timestamp(let(text, shaped), F.lit("yyyy-M-d'T'H:m:s"))
 
 
 def level(text: Column) -> Column:
-    return F.coalesce(lookup(LEVEL_NAMES, F.lower(text)), F.upper(text))
+    return let(text, lambda t: F.coalesce(lookup(LEVEL_NAMES, F.lower(t)), F.upper(t)))
 
 
 def message(m: Column, raw: Column) -> Column:
-    return F.coalesce(F.nullif(alias_value(m, MESSAGE_KEYS), F.lit("")), raw)
+    return let(alias_value(m, MESSAGE_KEYS), lambda t: F.when(t != "", t).otherwise(raw))
 
 
 def source_ip(m: Column, raw: Column) -> Column:
-    return F.coalesce(F.nullif(alias_value(m, IP_KEYS), F.lit("")), first_ip(message(m, raw)))
+    return let(alias_value(m, IP_KEYS), lambda ip: F.when(ip != "", ip).otherwise(first_ip(message(m, raw))))
 
 
 def extra(m: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.scalars import first_ip
+from emberlog.functions.scalars import first_ip, let
 from emberlog.schema import UNKNOWN, Record, either, entry
 
 # --- fixed values -----------------------------------------------------------------
@@ -16,11 +16,11 @@ FACILITIES = [
 ]
 PRI = r"^<(\d+)>"
 RFC5424 = (
-    r"^<\d+>1\s+(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)"
+    r"^<(\d+)>1\s+(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)"
     r"\s+(\S+)\s+(\S+)\s+\S+\s+\S+\s+\S+\s*([^\n]*)"
 )
 BSD = (
-    r"^(?:<\d+>)?(\w{3}\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2})"
+    r"^(?:<(\d+)>)?(\w{3}\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2})"
     r"\s+(\S+)\s+([\w\-\.\/]+)(?:\[(\d+)\])?:\s*([^\n]*)"
 )
 JOURNALD = (
@@ -39,28 +39,33 @@ def score(raw: Column) -> Column:
 
 
 def tokens(raw: Column) -> Column:
-    """[grammar, time, host, process, pid, message], or one element when no grammar fits.
+    """[grammar, pri, time, host, process, pid, message], or one element when no grammar fits.
 
     Each grammar runs once per line: a match is rewritten to its groups joined by line feeds, which a log
     line cannot contain, and a rewritten line no longer matches the grammars after it.
     """
     rest = r"[\s\S]*$"
-    out = F.regexp_replace(raw, RFC5424 + rest, f"{_RFC}\n$1\n$2\n$3\n\n$4")
-    out = F.regexp_replace(out, BSD + rest, f"{_BSD}\n$1\n$2\n$3\n$4\n$5")
-    out = F.regexp_replace(out, JOURNALD + rest, f"{_JRN}\n$1\n$2\n$3\n$4\n$5")
+    out = F.regexp_replace(raw, RFC5424 + rest, f"{_RFC}\n$1\n$2\n$3\n$4\n\n$5")
+    out = F.regexp_replace(out, BSD + rest, f"{_BSD}\n$1\n$2\n$3\n$4\n$5\n$6")
+    out = F.regexp_replace(out, JOURNALD + rest, f"{_JRN}\n\n$1\n$2\n$3\n$4\n$5")
     return F.split(out, "\n")
 
 
-def pri_facility(raw: Column) -> Column:
-    code = F.shiftright(F.regexp_extract(raw, PRI, 1).try_cast("bigint"), 3)
-    named = F.get(F.lit(FACILITIES), F.least(code, F.lit(len(FACILITIES))).cast("int"))
-    return F.coalesce(named, code.cast("string"))
+def facility(pri: Column) -> Column:
+    """Name of the facility in a priority number, the number itself above 11; null for an empty text."""
+    code = F.when(pri != "", F.shiftright(pri.try_cast("bigint"), 3))  # a failing cast is slow, so none is tried on ""
+    return let(code, lambda c: F.when(c < len(FACILITIES), F.get(F.lit(FACILITIES), c.cast("int"))).otherwise(
+        c.cast("string")))
 
 
-def pri_level(raw: Column) -> Column:
+def level(pri: Column) -> Column:
     # 1000 is a multiple of 8, so the last three digits decide the level however long the number is
-    digits = F.right(F.regexp_extract(raw, PRI, 1), F.lit(3)).try_cast("int")
-    return F.get(F.lit(LEVELS), digits.bitwiseAND(7))
+    return F.when(pri != "", F.get(F.lit(LEVELS), F.right(pri, F.lit(3)).cast("int").bitwiseAND(7)))
+
+
+def pri_of(raw: Column) -> Column:
+    """Priority number at the start of any line, as text."""
+    return F.regexp_extract(raw, PRI, 1)
 
 
 def bsd_timestamp(text: Column, base_year: int = BASE_YEAR) -> Column:
@@ -69,30 +74,32 @@ def bsd_timestamp(text: Column, base_year: int = BASE_YEAR) -> Column:
 
 
 def timestamp(tok: Column, base_year: int = BASE_YEAR) -> Column:
-    text = F.get(tok, F.lit(1))
+    text = F.get(tok, F.lit(2))
     iso = F.regexp_replace(text, r"\s+", " ").try_cast("timestamp")
     return F.when(F.get(tok, F.lit(0)) == _BSD, bsd_timestamp(text, base_year)).otherwise(iso)
 
 
 def parse(raw: Column, tok: Column, base_year: int = BASE_YEAR) -> Record:
     """Record of one line; ``tok`` is the column holding ``tokens(raw)``."""
-    kind, host, process = (F.get(tok, F.lit(i)) for i in (0, 2, 3))
-    pid, message = F.nullif(F.get(tok, F.lit(4)), F.lit("")), F.get(tok, F.lit(5))
-    matched = F.size(tok) == 6
+    kind, pri, host, process, pid, message = (F.get(tok, F.lit(i)) for i in (0, 1, 3, 4, 5, 6))
+    pid = F.when(pid != "", pid)
+    matched = F.size(tok) == 7
     is_rfc = kind == _RFC
-    no_extra = F.when(is_rfc, F.create_map(F.lit("process"), process)).otherwise(
+    # one search for an address: in the message, in the whole line when no grammar fits, not in RFC 5424 lines
+    searched = F.when(~matched, raw).when(~is_rfc, message)
+    more = F.when(is_rfc, F.create_map(F.lit("process"), process)).otherwise(
         F.create_map(F.lit("process"), process, F.lit("pid"), pid)
     )
     known = entry(
         format=F.lit("syslog"),
         message=message,
         event_ts=timestamp(tok, base_year),
-        source_ip=F.when(~is_rfc, first_ip(message)),
         host=host,
-        facility=pri_facility(raw),
-        level=pri_level(raw),
+        facility=facility(pri),
+        level=level(pri),
         process=process,
         pid=pid,
-        extra=no_extra,
+        extra=more,
     )
-    return either(matched, known, entry(format=F.lit(UNKNOWN), message=raw, source_ip=first_ip(raw)))
+    record = either(matched, known, entry(format=F.lit(UNKNOWN), message=raw))
+    return {**record, "source_ip": first_ip(searched)}

@@ -50,22 +50,25 @@ def header_score(first_line: Column) -> Column:
 
 def first_present(row: Column, names: list[str]) -> Column:
     """First of the named columns that is there and not empty."""
-    return F.coalesce(*[F.nullif(F.try_element_at(row, F.lit(n)), F.lit("")) for n in names])
+    return F.get(F.filter(F.transform(F.lit(names), lambda n: F.try_element_at(row, n)), lambda v: v != ""), F.lit(0))
 
 
 def timestamp(text: Column) -> Column:
     """US 12-hour, ISO with T, ISO with a blank, or day-first 24-hour time; told apart by their shapes."""
-    text = F.regexp_replace(text, r"\s+", " ")
-    return (
-        F.when(text.rlike(r"(?i)[ap]m$"), F.try_to_timestamp(text, F.lit("M/d/yyyy h:m:s a")))
-        .when(text.rlike(r"^\d{4}-[^T]*T"), F.try_to_timestamp(text, F.lit("yyyy-M-d'T'H:m:s")))
-        .when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")))
-        .otherwise(F.try_to_timestamp(text, F.lit("d/M/yyyy H:m:s")))
-    )
+
+    def read(t: Column) -> Column:
+        return (
+            F.when(t.rlike(r"(?i)[ap]m$"), F.try_to_timestamp(t, F.lit("M/d/yyyy h:m:s a")))
+            .when(t.rlike(r"^\d{4}-[^T]*T"), F.try_to_timestamp(t, F.lit("yyyy-M-d'T'H:m:s")))
+            .when(t.rlike(r"^\d{4}-"), F.try_to_timestamp(t, F.lit("yyyy-M-d H:m:s")))
+            .otherwise(F.try_to_timestamp(t, F.lit("d/M/yyyy H:m:s")))
+        )
+
+    return let(F.regexp_replace(text, r"\s+", " "), read)
 
 
 def level(text: Column) -> Column:
-    return F.coalesce(lookup(LEVEL_NAMES, F.lower(text)), F.upper(text))
+    return let(text, lambda t: F.coalesce(lookup(LEVEL_NAMES, F.lower(t)), F.upper(t)))
 
 
 def row_map(header: Column, values: Column) -> Column:

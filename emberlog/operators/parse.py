@@ -12,6 +12,7 @@ from emberlog.operators.formats import clf, jsonl, syslog, wincsv
 from emberlog.operators.joins import attach
 from emberlog.schema import ENTRY, LOG_FORMATS, Record
 from emberlog.session import materialize
+from emberlog.sources.lines import sample_lines
 
 _registered: dict[str, Callable[[Column], Record]] = {}
 
@@ -92,12 +93,15 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, header: list[str] | No
 
 
 def file_table(lines: DataFrame, fmt: str | None = None) -> DataFrame:
-    """Per file: its format and, for CSV, the header line. One small row per file, written once."""
-    heads = wincsv.headers(lines)
+    """Per file: its format and, for CSV, the header line. One small row per file, from one pass, written once."""
     if fmt:
-        files = heads.withColumn("format", F.lit(fmt))
+        files = wincsv.headers(lines).withColumn("format", F.lit(fmt))
     else:
-        files = detect_format.detect_formats(lines).select("source_file", "format").join(heads, "source_file")
+        first = F.max(F.when(F.col("sample_no") == 1, F.struct("at", "line")))
+        scores = detect_format.format_scores(sample_lines(lines), _first=first)
+        files = detect_format.best_format(scores, "_first").select(
+            "source_file", "format", F.col("_first.at").alias("header_at"),
+            wincsv.trimmed_fields(F.col("_first.line")).alias("header"))
     is_csv = F.col("format") == "windows_csv"
     return materialize(
         files.select(

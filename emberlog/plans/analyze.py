@@ -30,7 +30,9 @@ def analyze_lines(lines: DataFrame, out: str, batch_id: int = 0, fmt: str | None
     parse_corpus(number_lines(lines), fmt, **parse_options).write.mode("overwrite").parquet(parsed_path)
     parsed = spark.read.parquet(parsed_path)
     found = materialize(detect(parsed))
-    alerts = detectors.to_alerts(detectors.with_evidence(found, detectors.evidence_lines(parsed)), generated_at)
+    categories = [r["category"] for r in found.select("category").distinct().collect()]  # a handful of names
+    evidence = detectors.evidence_lines(parsed, categories)
+    alerts = detectors.to_alerts(detectors.with_evidence(found, evidence), generated_at)
     write_batch(alerts, out, batch_id)
     write_ioc_delta(spark, out, batch_id)
 

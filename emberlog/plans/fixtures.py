@@ -15,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt out evenly before costly text work; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the address ``10.0.{user div 256}.{user mod 256}`` and the time cut to seconds."""
     user = F.col("user_id")
     ip = F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string"))
-    return table(spark, sf_dir, "events").withColumns({
+    return spread(table(spark, sf_dir, "events")).withColumns({
         "at": F.date_trunc("second", F.col("ts").cast("timestamp")),
         "ip": ip,
     })
@@ -188,7 +194,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document; line numbers leave room for 2**20 lines per document."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .filter(F.col("raw").rlike(r"\S"))
         .select(F.lit("notes.txt").alias("source_file"),
@@ -334,7 +340,7 @@ def attack_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         references.alias("external_references"),
         phases.alias("kill_chain_phases"),
     )
-    return table(spark, sf_dir, "documents").select(F.from_json(F.to_json(obj), ATTACK_OBJECT).alias("o")).select("o.*")
+    return spread(table(spark, sf_dir, "documents")).select(F.from_json(F.to_json(obj), ATTACK_OBJECT).alias("o")).select("o.*")
 
 
 def cve_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +367,7 @@ def cve_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("cve"),
         impact.alias("impact"),
     )
-    return table(spark, sf_dir, "documents").select(F.from_json(F.to_json(item), CVE_ITEM).alias("o")).select("o.*")
+    return spread(table(spark, sf_dir, "documents")).select(F.from_json(F.to_json(item), CVE_ITEM).alias("o")).select("o.*")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

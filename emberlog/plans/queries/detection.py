@@ -9,6 +9,7 @@ from emberlog.operators import rules
 from emberlog.operators.parse import parse_lines
 from emberlog.plans import fixtures as fx
 from emberlog.plans.queries import EVENTS_SQL, query
+from emberlog.session import materialize
 
 DAY = 86_400
 
@@ -183,7 +184,8 @@ FROM t GROUP BY ip""")
 def detector_evidence(spark, sf_dir):
     """The first ten lines behind each finding; the line numbers stand in for the raw text."""
     parsed = _clf(spark, sf_dir).withColumn("raw", F.col("line_no").cast("string"))
-    found = det.with_evidence(det.request_attacks(parsed, ["suspicious_agent"]), det.evidence_lines(parsed))
+    found = materialize(det.request_attacks(parsed, ["suspicious_agent"]))
+    found = det.with_evidence(found, det.evidence_lines(parsed, ["suspicious_agent"]))
     fmt = "yyyy-MM-dd HH:mm:ss"
     return det.to_alerts(found).select(
         F.element_at("iocs", 1).alias("subject"), F.array_join("iocs", "|").alias("iocs"), "title", "source_file", "log_format",

@@ -31,9 +31,9 @@ _LOGIN = f"""CASE WHEN event_type = 'error'
 SELECT event_id AS line_no, coalesce({_FACILITY}, CAST((event_id % 192) // 8 AS VARCHAR)) AS facility, {_LEVEL} AS level
 FROM e""")
 def syslog_pri_decode(spark, sf_dir):
-    raw = F.col("raw")
+    pri = syslog.pri_of(F.col("raw"))
     return fx.rfc5424(spark, sf_dir).select(
-        "line_no", syslog.pri_facility(raw).alias("facility"), syslog.pri_level(raw).alias("level"))
+        "line_no", syslog.facility(pri).alias("facility"), syslog.level(pri).alias("level"))
 
 
 @query(_E + """

@@ -64,7 +64,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
 
 def sample_lines(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
-    """First ``n`` lines of every file, stripped: ``source_file, sample_no, raw``.
+    """First ``n`` lines of every file: ``source_file, sample_no, raw`` (stripped), ``line`` (as it is), ``at`` (its place).
 
     The rank filter runs before the shuffle as well (window group limit), so at most ``n`` lines per file and
     task are exchanged.
@@ -74,5 +74,6 @@ def sample_lines(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
     return (
         lines.withColumn("sample_no", F.row_number().over(first))
         .filter(F.col("sample_no") <= n)
-        .select("source_file", "sample_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw"))
+        .select("source_file", "sample_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw"),
+                F.col("raw").alias("line"), F.struct(*order).alias("at"))
     )
