@@ -130,10 +130,10 @@ def store_stats(alerts: DataFrame, mart: DataFrame, chunks: DataFrame) -> DataFr
     by_name = severity_counts(alerts).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_alerts"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("by_severity"))
-    return (
-        by_name.crossJoin(ioc_count(mart).withColumnRenamed("n", "ioc_count"))
-        .crossJoin(chunks.agg(F.count(F.lit(1)).alias("chunks_analyzed")))
-    )  # three tables of one row each
+    return by_name.withColumns({
+        "ioc_count": ioc_count(mart).scalar(),
+        "chunks_analyzed": chunks.agg(F.count(F.lit(1))).scalar(),
+    })
 
 
 def _iso(ts: Column) -> Column:

@@ -20,6 +20,7 @@ from emberlog.operators.formats.clf import bytes_number
 from emberlog.operators.joins import attach
 from emberlog.operators.slices import DAY, gap_stats, islands, per_second, trailing
 from emberlog.schema import ALERT, MAX_AFFECTED_LINES, REMEDIATION, conform
+from emberlog.session import materialize
 
 FINDING = ["category", "severity", "subject", "first_sec", "last_sec", "n"]
 
@@ -262,8 +263,8 @@ def beacon(parsed: DataFrame, min_gaps: int = 5, max_cv: float = 0.1, min_mean_g
 
 def c2_sources(parsed: DataFrame) -> DataFrame:
     """Lines from sources that asked for a known command-and-control path at least once."""
-    known = matched_rules(parsed, ["c2_path"]).select("source_ip").distinct()
-    return parsed.join(known, "source_ip", "left_semi")
+    known = materialize(matched_rules(parsed, ["c2_path"]).select("source_ip").distinct())
+    return attach(parsed, known, ["source_ip"], "left_semi")
 
 
 # --- findings to alerts ---------------------------------------------------------------------
@@ -282,23 +283,43 @@ def remediation_for(category: Column, subject: Column) -> Column:
 
 
 def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AFFECTED_LINES) -> DataFrame:
-    """Add ``affected_lines``, ``source_file`` and ``log_format`` from the lines behind each finding.
+    """Add ``affected_lines``, ``source_file`` and ``log_format``: the first lines behind each finding.
 
-    ``findings`` is read twice, so pass a stored or checkpointed table. ``lines``: ``category, subject, sec, raw,
-    line_no, source_file, format``. A finding takes its own category and
-    subject between its first and last second. The rank filter also runs before the shuffle, so a finding with
-    any number of lines moves at most ``max_lines`` per task.
+    ``findings`` is read more than once, so pass a stored or checkpointed table. ``lines``: ``category, subject, sec,
+    raw, line_no, source_file, format``. A finding takes lines of its category and subject from its first second to
+    its last. Findings of one subject may overlap, so lines are not joined by time: of each second only the first
+    ``max_lines`` lines are kept (the rank filter also runs before the shuffle), these are numbered per category and
+    subject, each finding learns the number its first line has, and fetches the numbers that follow by equality.
     """
-    keyed = findings.withColumn("_fid", alert_id(*[F.col(c) for c in ("category", "subject", "first_sec")]))
-    near = attach(
-        lines, keyed.select("_fid", "category", "subject", "first_sec", "last_sec"), ["category", "subject"]
-    ).filter(F.col("sec").between(F.col("first_sec"), F.col("last_sec")))
-    order = Window.partitionBy("_fid").orderBy("sec", "source_file", "line_no")
-    top = near.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_lines)
-    packed = top.groupBy("_fid").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_rn", "raw"))), lambda x: x["raw"]).alias("affected_lines"),
-        F.min_by("source_file", "_rn").alias("source_file"),
-        F.min_by("format", "_rn").alias("log_format"),
+    keys = ["category", "subject"]
+    keyed = findings.withColumn("_fid", alert_id(*[F.col(c) for c in (*keys, "first_sec", "last_sec")]))
+    place = ["source_file", "line_no"]
+    second = Window.partitionBy(*keys, "sec").orderBy(*place)
+    kept = (
+        attach(lines, materialize(keyed.select(*keys).distinct()), keys)
+        .withColumn("_rn", F.row_number().over(second)).filter(F.col("_rn") <= max_lines).drop("_rn")
+    )
+    marks = keyed.select(*keys, F.col("first_sec").alias("sec"), "last_sec", "_fid", F.lit(0).alias("_line"))
+    both = kept.withColumn("_line", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_day", F.floor(F.col("sec") / DAY))
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy(*keys, "_day").agg(F.sum("_line").alias("_n")).select(
+        *keys, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_day").orderBy("sec", "_line", *place).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = (
+        both.withColumn("_at", F.coalesce(F.sum("_line").over(inside), F.lit(0)))
+        .join(days, [*keys, "_day"]).withColumn("_at", F.col("_at") + F.col("_offset"))
+    )
+    wanted = numbered.filter("_line = 0").select(
+        *keys, "_fid", "last_sec", F.explode(F.sequence("_at", F.col("_at") + (max_lines - 1))).alias("_at"))
+    found = numbered.filter("_line = 1").select(*keys, "_at", "sec", "raw", "source_file", "format")
+    packed = (
+        wanted.join(found, [*keys, "_at"]).filter("sec <= last_sec")
+        .groupBy("_fid").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("_at", "raw"))), lambda x: x["raw"]).alias("affected_lines"),
+            F.min_by("source_file", "_at").alias("source_file"),
+            F.min_by("format", "_at").alias("log_format"),
+        )
     )
     return keyed.join(packed, "_fid", "left").withColumnRenamed("_fid", "id")
 
@@ -346,7 +367,7 @@ def to_alerts(findings: DataFrame, generated_at: Column | None = None) -> DataFr
         return F.replace(lookup({k: r[i] for k, r in rules.RESPONSES.items()}, c), F.lit("{s}"), s)
 
     if "id" not in findings.columns:
-        findings = findings.withColumn("id", alert_id(c, s, F.col("first_sec")))
+        findings = findings.withColumn("id", alert_id(c, s, F.col("first_sec"), F.col("last_sec")))
     shaped = findings.withColumns({
         "title": text(0),
         "description": F.concat(text(0), F.lit(" ("), F.col("n").cast("string"), F.lit(")")),

@@ -21,5 +21,7 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     if is_small(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    # a salt from the row's own content is the same when a lost task is run again
+    hashable = [f.name for f in big.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

@@ -35,7 +35,7 @@ def _unit(vectors) -> np.ndarray:
 def _best(query_ids, queries: np.ndarray, corpus_ids: np.ndarray, corpus: np.ndarray, n: int,
           exclude_self: bool) -> pd.DataFrame:
     """The n best of a corpus sorted by id for every query; ties go to the smaller id."""
-    out_q, out_c, out_s = [], [], []
+    out_q, out_c, out_s, out_r = [], [], [], []
     step = max(1, _SCORE_CELLS // max(1, len(corpus_ids)))
     for at in range(0, len(query_ids), step):
         scores = np.round(queries[at:at + step] @ corpus.T, DECIMALS)
@@ -49,7 +49,9 @@ def _best(query_ids, queries: np.ndarray, corpus_ids: np.ndarray, corpus: np.nda
             out_q.extend([qid] * len(top))
             out_c.extend(corpus_ids[top])
             out_s.extend(row[top])
-    return pd.DataFrame({"query_id": out_q, "intel_id": out_c, "score": np.asarray(out_s, dtype="float64")})
+            out_r.extend(range(1, len(top) + 1))
+    return pd.DataFrame({"query_id": out_q, "intel_id": out_c, "rank": np.asarray(out_r, dtype="int64"),
+                         "score": np.asarray(out_s, dtype="float64")})
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, n: int = INTEL_TOP_N, query_id: str = "id",
@@ -59,13 +61,12 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, n: int = INTEL_TOP_N, que
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
     c = corpus.select(F.col(corpus_id).alias("intel_id"), F.col(vector).alias("vector"))
     types = {f.name: f.dataType.simpleString() for f in [*q.schema.fields, *c.schema.fields]}
-    schema = f"query_id {types['query_id']}, intel_id {types['intel_id']}, score double"
+    schema = f"query_id {types['query_id']}, intel_id {types['intel_id']}, rank bigint, score double"
 
     size = c.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")).first()
     if size["rows"] * size["dim"] * 8 <= corpus_bytes:
-        found = _against_broadcast(q, c, n, exclude_self, schema)
-    else:
-        found = _by_cells(q, c, n, exclude_self, schema, size["rows"])
+        return _against_broadcast(q, c, n, exclude_self, schema)
+    found = _by_cells(q, c, n, exclude_self, schema, size["rows"])
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("intel_id"))
     return (
         found.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
@@ -100,7 +101,7 @@ def _by_cells(q: DataFrame, c: DataFrame, n: int, exclude_self: bool, schema: st
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "intel_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "intel_id": [], "rank": [], "score": []})
         b = b.sort_values("intel_id")
         return _best(a["query_id"].to_numpy(), _unit(a["vector"]), b["intel_id"].to_numpy(), _unit(b["vector"]),
                      n, exclude_self)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 # Functions sent to Python workers travel with their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules["emberlog"])
 
-# A broadcast side is collected only after a count has shown it to be at most this long.
+# A side is broadcast only after it has been measured to be within both bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -49,13 +50,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops counting one row past the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is within the bounds, by counting rows and the size of their text; reads one row past the bound."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
+    row = size.first()
+    return row["rows"] <= max_rows and row["bytes"] <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the counted size allows it; otherwise leave a shuffle join to the optimizer.
+    """Hint a broadcast when the measured size allows it; otherwise leave a shuffle join to the optimizer.
 
     Pass a table that is cheap to read twice (a checkpoint or a stored table).
     """
