@@ -13,12 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.scalars import all_ips, epoch_second, is_private_ip, lookup
+from emberlog.functions.scalars import all_ips, epoch_second, is_private_ip, let, lookup
 from emberlog.operators import rules
 from emberlog.operators.findings import alert_id
 from emberlog.operators.formats.clf import bytes_number
 from emberlog.operators.joins import attach
-from emberlog.operators.slices import DAY, gap_stats, islands, per_second, trailing
+from emberlog.operators.slices import DAY, gap_stats, islands, trailing
 from emberlog.schema import ALERT, MAX_AFFECTED_LINES, REMEDIATION, conform
 from emberlog.session import materialize
 
@@ -52,19 +52,65 @@ def login_succeeded() -> Column:
 
 
 def login_user() -> Column:
-    return F.coalesce(
-        "auth_user", "account_name",
-        F.nullif(F.regexp_extract("message", rules.LOGIN_USER, 1), F.lit("")))
+    """Account named in a login line; null where none is."""
+    named = let(F.regexp_extract("message", rules.LOGIN_USER, 1), lambda u: F.when(u != "", u))
+    return F.coalesce("auth_user", "account_name", named)
+
+
+def _group(pattern: str, group: int = 1) -> Column:
+    return let(F.regexp_extract("message", pattern, group), lambda t: F.when(t != "", t))
+
+
+def privilege_use() -> Column:
+    """Account that used sudo or su, failed to, or was put into a privileged group; null for other lines."""
+    used = F.when(F.col("process").isin("sudo", "su"), F.coalesce(_group(rules.SUDO_COMMAND), _group(rules.SUDO_FAILURE)))
+    return F.coalesce(used, _group(rules.GROUP_GRANT, 2))
+
+
+def changed_account() -> Column:
+    """Account made or changed, or the host on which permissions were opened wide; null for other lines."""
+    wide = F.when(F.col("message").rlike(rules.MODE_CHANGE), F.col("host"))
+    return F.coalesce(_group(rules.NEW_USER), _group(rules.CHANGED_USER), wide)
+
+
+def matching_rules() -> Column:
+    """Names of the request rules a line matches; null for lines that are no requests."""
+
+    def flags(path: Column) -> Column:
+        tested = {"decoded_path": path, "user_agent": F.col("user_agent")}
+        hits = [F.when(tested[col].rlike(pattern), c) for c, (_, col, pattern) in rules.REQUEST_RULES.items()]
+        return F.array_compact(F.array(*hits))
+
+    decoded = let(F.coalesce(F.try_url_decode("path"), F.col("path")), flags)
+    return F.when(F.col("path").isNotNull() | F.col("user_agent").isNotNull(), decoded)
+
+
+def tag(parsed: DataFrame) -> DataFrame:
+    """Add everything the detectors read out of texts, so that a stored table pays for it once.
+
+    ``sec, login_failed, login_ok, login_user, privileged, changed, made_root, rules``. A table that has the tags
+    already is returned as it is; tags a detector does not use are never computed.
+    """
+    if "rules" in parsed.columns:
+        return parsed
+    m = F.col("message")
+    return parsed.withColumns({
+        "sec": epoch_second(F.col("event_ts")),
+        "login_failed": login_failed(),
+        "login_ok": login_succeeded(),
+        "login_user": login_user(),
+        "privileged": privilege_use(),
+        "changed": changed_account(),
+        "made_root": m.rlike(rules.NEW_USER) & m.rlike(rules.UID_ZERO),
+        "rules": matching_rules(),
+    })
 
 
 def logins_per_second(parsed: DataFrame) -> DataFrame:
     """``source_ip, sec, failed, succeeded`` for lines that tell of a login and name a source and a time."""
-    told = parsed.select(
-        "source_ip", "event_ts",
-        login_failed().cast("bigint").alias("f"), login_succeeded().cast("bigint").alias("s"),
-    ).filter("(f = 1 OR s = 1) AND source_ip IS NOT NULL AND event_ts IS NOT NULL")
-    return per_second(
-        told, ["source_ip"], epoch_second(F.col("event_ts")), failed=F.sum("f"), succeeded=F.sum("s"))
+    told = tag(parsed).filter("(login_failed OR login_ok) AND source_ip IS NOT NULL AND sec IS NOT NULL")
+    return told.groupBy("source_ip", "sec").agg(
+        F.count_if("login_failed").alias("failed"), F.count_if("login_ok").alias("succeeded"))
 
 
 def brute_force(parsed: DataFrame, window_seconds: int = 90, min_failures: int = 10) -> DataFrame:
@@ -91,12 +137,9 @@ def failure_bands(parsed: DataFrame, window_seconds: int = 90, high: int = 10, m
 
 def credential_stuffing(parsed: DataFrame, window_seconds: int = 3600, min_users: int = 5) -> DataFrame:
     """Sources failing for many user names within one fixed window."""
-    sec = epoch_second(F.col("event_ts"))
     tries = (
-        parsed.filter(login_failed() & F.col("source_ip").isNotNull() & F.col("event_ts").isNotNull())
-        .select("source_ip", sec.alias("sec"), login_user().alias("user"))
-        .filter("user IS NOT NULL")
-        .withColumn("slot", F.floor(F.col("sec") / window_seconds))
+        tag(parsed).filter("login_failed AND source_ip IS NOT NULL AND sec IS NOT NULL AND login_user IS NOT NULL")
+        .select("source_ip", "sec", F.col("login_user").alias("user"), F.floor(F.col("sec") / window_seconds).alias("slot"))
     )
     # one row per user first: a source hammering one name does not weigh on the count of names
     per_user = tries.groupBy("source_ip", "slot", "user").agg(F.min("sec").alias("a"), F.max("sec").alias("b"))
@@ -117,16 +160,10 @@ def success_after_failures(parsed: DataFrame, window_seconds: int = 3600, min_fa
 # --- web requests -----------------------------------------------------------------------
 
 
-def decode_path(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumn("decoded_path", F.coalesce(F.try_url_decode("path"), F.col("path")))
-
-
 def matched_rules(parsed: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Lines with the request rules they match, one row per line and rule; one pass for all rules, no join."""
-    chosen = {c: rules.REQUEST_RULES[c] for c in categories or rules.REQUEST_RULES}
-    flags = [F.when(F.col(col).rlike(pattern), c) for c, (_, col, pattern) in chosen.items()]
-    lines = decode_path(parsed.filter("path IS NOT NULL OR user_agent IS NOT NULL"))
-    return lines.withColumn("category", F.explode(F.array_compact(F.array(*flags))))
+    lines = tag(parsed).withColumn("category", F.explode("rules"))
+    return lines.filter(F.col("category").isin(categories)) if categories else lines
 
 
 def request_attacks(parsed: DataFrame, categories: list[str] | None = None) -> DataFrame:
@@ -137,8 +174,8 @@ def request_attacks(parsed: DataFrame, categories: list[str] | None = None) -> D
         .groupBy("source_ip", "category")
         .agg(
             F.count(F.lit(1)).alias("lines"),
-            F.min(epoch_second(F.col("event_ts"))).alias("first_sec"),
-            F.max(epoch_second(F.col("event_ts"))).alias("last_sec"),
+            F.min("sec").alias("first_sec"),
+            F.max("sec").alias("last_sec"),
             F.max(F.col("status_code").between(200, 299)).alias("answered"),
         )
     )
@@ -150,8 +187,8 @@ def request_attacks(parsed: DataFrame, categories: list[str] | None = None) -> D
 def scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, min_missing: int = 20,
          target: str = "path", approximate: bool = False) -> DataFrame:
     """Sources touching many distinct targets, or missing pages, within one fixed window."""
-    lines = parsed.filter("source_ip IS NOT NULL AND event_ts IS NOT NULL").select(
-        "source_ip", epoch_second(F.col("event_ts")).alias("sec"), F.col(target).alias("target"),
+    lines = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL").select(
+        "source_ip", "sec", F.col(target).alias("target"),
         F.coalesce((F.col("status_code") == 404).cast("bigint"), F.lit(0)).alias("missing"),
     ).withColumn("slot", F.floor(F.col("sec") / window_seconds))
     times = F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec")
@@ -171,8 +208,8 @@ def scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, m
 
 def exfiltration(parsed: DataFrame, min_bytes: int = 10**9, window_seconds: int = DAY) -> DataFrame:
     """Destinations that were sent ``min_bytes`` or more within one fixed window (a day)."""
-    sent = parsed.select(
-        "source_ip", epoch_second(F.col("event_ts")).alias("sec"), bytes_number(F.col("bytes_sent")).alias("bytes")
+    sent = tag(parsed).select(
+        "source_ip", "sec", bytes_number(F.col("bytes_sent")).alias("bytes")
     ).filter("source_ip IS NOT NULL AND sec IS NOT NULL AND bytes IS NOT NULL")
     slots = sent.groupBy("source_ip", F.floor(F.col("sec") / window_seconds).alias("slot")).agg(
         F.sum("bytes").alias("bytes"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
@@ -182,44 +219,20 @@ def exfiltration(parsed: DataFrame, min_bytes: int = 10**9, window_seconds: int
 # --- hosts and accounts -------------------------------------------------------------------
 
 
-def privilege_use() -> Column:
-    """Account that used sudo or su, failed to, or was put into a privileged group; null for other lines."""
-    m = F.col("message")
-    named = F.coalesce(
-        F.nullif(F.regexp_extract(m, rules.SUDO_COMMAND, 1), F.lit("")),
-        F.nullif(F.regexp_extract(m, rules.SUDO_FAILURE, 1), F.lit("")),
-    )
-    grant = F.nullif(F.regexp_extract(m, rules.GROUP_GRANT, 2), F.lit(""))
-    return F.coalesce(F.when(F.col("process").isin("sudo", "su"), named), grant)
-
-
 def privilege_escalation(parsed: DataFrame, min_lines: int = 1) -> DataFrame:
-    sec = epoch_second(F.col("event_ts"))
     per_account = (
-        parsed.withColumn("account", privilege_use()).filter("account IS NOT NULL").groupBy("account")
-        .agg(F.count(F.lit(1)).alias("lines"), F.min(sec).alias("first_sec"), F.max(sec).alias("last_sec"))
+        tag(parsed).filter("privileged IS NOT NULL").groupBy(F.col("privileged").alias("account"))
+        .agg(F.count(F.lit(1)).alias("lines"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
     )
     return _finding(per_account.filter(F.col("lines") >= min_lines), "privilege_escalation", "HIGH", "account", "lines")
 
 
-def changed_account() -> Column:
-    m = F.col("message")
-    return F.coalesce(
-        F.nullif(F.regexp_extract(m, rules.NEW_USER, 1), F.lit("")),
-        F.nullif(F.regexp_extract(m, rules.CHANGED_USER, 1), F.lit("")),
-        F.when(m.rlike(rules.MODE_CHANGE), F.col("host")),
-    )
-
-
 def account_change(parsed: DataFrame) -> DataFrame:
     """New users, changed users and wide permission changes; an account made with user id 0 is CRITICAL."""
-    sec, m = epoch_second(F.col("event_ts")), F.col("message")
-    root = m.rlike(rules.NEW_USER) & m.rlike(rules.UID_ZERO)
     per_account = (
-        parsed.withColumns({"account": changed_account(), "root": root}).filter("account IS NOT NULL")
-        .groupBy("account")
-        .agg(F.count(F.lit(1)).alias("lines"), F.max("root").alias("root"),
-             F.min(sec).alias("first_sec"), F.max(sec).alias("last_sec"))
+        tag(parsed).filter("changed IS NOT NULL").groupBy(F.col("changed").alias("account"))
+        .agg(F.count(F.lit(1)).alias("lines"), F.max("made_root").alias("root"),
+             F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
     )
     severity = F.when(F.col("root"), "CRITICAL").otherwise("HIGH")
     return _finding(per_account, "account_change", severity, "account", "lines")
@@ -232,9 +245,7 @@ def connection_pairs(parsed: DataFrame) -> DataFrame:
         F.try_element_at("extra", F.lit("dst_ip")),
         F.get(F.filter(ips, lambda ip: ip != F.col("source_ip")), F.lit(0)),
     )
-    return parsed.select(
-        F.col("source_ip").alias("src"), dst.alias("dst"), epoch_second(F.col("event_ts")).alias("sec")
-    ).filter(is_private_ip(F.col("src")) & is_private_ip(F.col("dst")) & F.col("sec").isNotNull())
+    return tag(parsed).select(F.col("source_ip").alias("src"), dst.alias("dst"), "sec").filter(is_private_ip(F.col("src")) & is_private_ip(F.col("dst")) & F.col("sec").isNotNull())
 
 
 def lateral_movement(pairs: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -252,8 +263,8 @@ def beacon(parsed: DataFrame, min_gaps: int = 5, max_cv: float = 0.1, min_mean_g
 
     Gaps shorter than ``min_mean_gap`` seconds on average are a flood rather than a beacon.
     """
-    timed = parsed.filter("source_ip IS NOT NULL AND event_ts IS NOT NULL")
-    seconds = per_second(timed, ["source_ip"], epoch_second(F.col("event_ts")), lines=F.count(F.lit(1)))
+    timed = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL")
+    seconds = timed.groupBy("source_ip", "sec").agg(F.count(F.lit(1)).alias("lines"))
     stats = gap_stats(seconds, ["source_ip"])
     regular = stats.filter(
         (F.col("gaps") >= min_gaps) & (F.col("mean_gap") >= min_mean_gap)
@@ -295,7 +306,7 @@ def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AF
     keyed = findings.withColumn("_fid", alert_id(*[F.col(c) for c in (*keys, "first_sec", "last_sec")]))
     place = ["source_file", "line_no"]
     second = Window.partitionBy(*keys, "sec").orderBy(*place)
-    kept = (
+    kept = materialize(
         attach(lines, materialize(keyed.select(*keys).distinct()), keys)
         .withColumn("_rn", F.row_number().over(second)).filter(F.col("_rn") <= max_lines).drop("_rn")
     )
@@ -329,34 +340,30 @@ def evidence_lines(parsed: DataFrame, categories: list[str] | None = None) -> Da
 
     ``categories``: those among the findings, if known; lines that serve no other are then left out early.
     """
-    sec = epoch_second(F.col("event_ts"))
-    failed, ok, web = login_failed(), login_succeeded(), F.col("path").isNotNull()
     ip = F.col("source_ip")
-
-    def hit(when: Column, category: str, subject: Column) -> Column:
-        return F.when(when & subject.isNotNull(), F.struct(F.lit(category).alias("category"), subject.alias("subject")))
-
-    always = F.lit(True)
+    failed, ok, always = F.col("login_failed"), F.col("login_ok"), F.lit(True)
     behind = {
         "brute_force": (failed, ip),
         "failed_login": (failed, ip),
         "credential_stuffing": (failed, ip),
         "success_after_failures": (failed | ok, ip),
-        "scan": (web, ip),
+        "scan": (F.col("path").isNotNull(), ip),
         "exfiltration": (F.col("bytes_sent").isNotNull(), ip),
         "beacon": (always, ip),
-        "privilege_escalation": (always, privilege_use()),
-        "account_change": (always, changed_account()),
+        "privilege_escalation": (always, F.col("privileged")),
+        "account_change": (always, F.col("changed")),
         "lateral_movement": (is_private_ip(ip) & F.try_element_at("extra", F.lit("dst_ip")).isNotNull(), ip),
-        **{c: (F.col(col).rlike(pattern), ip) for c, (_, col, pattern) in rules.REQUEST_RULES.items()},
+        **{c: (F.array_contains("rules", c), ip) for c in rules.REQUEST_RULES},
     }
-    options = [
-        hit(when if categories is None or c in categories else F.lit(False), c, subject)
-        for c, (when, subject) in behind.items()
-    ]
-    lines = decode_path(parsed).withColumn("_hit", F.explode(F.array_compact(F.array(*options))))
-    return lines.select(
-        "_hit.category", "_hit.subject", sec.alias("sec"), "raw", "line_no", "source_file", "format")
+
+    def hit(category: str, when: Column, subject: Column) -> Column:
+        pair = F.struct(F.lit(category).alias("category"), subject.alias("subject"))
+        return F.when(when & subject.isNotNull(), pair)
+
+    served = [c for c in behind if categories is None or c in categories] or ["beacon"]
+    hits = F.array_compact(F.array(*[hit(c, *behind[c]) for c in served]))
+    lines = tag(parsed).withColumn("_hit", F.explode(hits))
+    return lines.select("_hit.category", "_hit.subject", "sec", "raw", "line_no", "source_file", "format")
 
 
 def to_alerts(findings: DataFrame, generated_at: Column | None = None) -> DataFrame:

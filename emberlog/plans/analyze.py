@@ -22,12 +22,14 @@ def analyze_lines(lines: DataFrame, out: str, batch_id: int = 0, fmt: str | None
                   generated_at: Column | None = None, **parse_options) -> None:
     """Parse lines, detect threats, and store parsed lines, alerts and indicator counts under ``out``.
 
-    The parsed table is written once and read back by every detector, each reading only the columns it needs. Writing the
+    The parsed table is written once, with what detectors read out of texts already in columns (``detectors.tag``); every
+    detector reads back only the few columns it needs. Writing the
     same ``batch_id`` again replaces what that batch wrote before.
     """
     spark = lines.sparkSession
     parsed_path = f"{out}/parsed/batch_id={batch_id}"
-    parse_corpus(number_lines(lines), fmt, **parse_options).write.mode("overwrite").parquet(parsed_path)
+    parsed = detectors.tag(parse_corpus(number_lines(lines), fmt, **parse_options))
+    parsed.write.mode("overwrite").parquet(parsed_path)
     parsed = spark.read.parquet(parsed_path)
     found = materialize(detect(parsed))
     categories = [r["category"] for r in found.select("category").distinct().collect()]  # a handful of names
