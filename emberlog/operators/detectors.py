@@ -41,36 +41,48 @@ def _finding(df: DataFrame, category: str | Column, severity: str | Column, subj
 # --- logins ---------------------------------------------------------------------------
 
 
+def _mentions(pieces: list[str]) -> Column:
+    """Whether the message holds one of a few lower-case pieces, whatever its case."""
+    text = F.lower("message")
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in pieces])
+
+
+def _matches(rule: tuple[str, list[str]]) -> Column:
+    return F.coalesce(F.when(_mentions(rule[1]), F.col("message").rlike(rule[0])), F.lit(False))
+
+
+def _group(pattern: str) -> Column:
+    return let(F.regexp_extract("message", pattern, 1), lambda t: F.when(t != "", t))
+
+
+def _named(rule: tuple[str, list[str]]) -> Column:
+    return F.when(_mentions(rule[1]), _group(rule[0]))
+
+
 def login_failed() -> Column:
     """A failed login by its message, or a web request turned away with 401 or 403."""
-    return F.coalesce(F.col("message").rlike(rules.FAILED_LOGIN), F.lit(False)) | F.coalesce(
-        F.col("status_code").isin(401, 403), F.lit(False))
+    return _matches(rules.FAILED_LOGIN) | F.coalesce(F.col("status_code").isin(401, 403), F.lit(False))
 
 
 def login_succeeded() -> Column:
-    return F.coalesce(F.col("message").rlike(rules.LOGIN), F.lit(False))
+    return _matches(rules.LOGIN)
 
 
 def login_user() -> Column:
     """Account named in a login line; null where none is."""
-    named = let(F.regexp_extract("message", rules.LOGIN_USER, 1), lambda u: F.when(u != "", u))
-    return F.coalesce("auth_user", "account_name", named)
-
-
-def _group(pattern: str, group: int = 1) -> Column:
-    return let(F.regexp_extract("message", pattern, group), lambda t: F.when(t != "", t))
+    return F.coalesce("auth_user", "account_name", _group(rules.LOGIN_USER))
 
 
 def privilege_use() -> Column:
     """Account that used sudo or su, failed to, or was put into a privileged group; null for other lines."""
     used = F.when(F.col("process").isin("sudo", "su"), F.coalesce(_group(rules.SUDO_COMMAND), _group(rules.SUDO_FAILURE)))
-    return F.coalesce(used, _group(rules.GROUP_GRANT, 2))
+    return F.coalesce(used, _named(rules.GROUP_GRANT))
 
 
 def changed_account() -> Column:
     """Account made or changed, or the host on which permissions were opened wide; null for other lines."""
-    wide = F.when(F.col("message").rlike(rules.MODE_CHANGE), F.col("host"))
-    return F.coalesce(_group(rules.NEW_USER), _group(rules.CHANGED_USER), wide)
+    wide = F.when(_matches(rules.MODE_CHANGE), F.col("host"))
+    return F.coalesce(_named(rules.NEW_USER), _named(rules.CHANGED_USER), wide)
 
 
 def matching_rules() -> Column:
@@ -93,15 +105,14 @@ def tag(parsed: DataFrame) -> DataFrame:
     """
     if "rules" in parsed.columns:
         return parsed
-    m = F.col("message")
     return parsed.withColumns({
         "sec": epoch_second(F.col("event_ts")),
         "login_failed": login_failed(),
         "login_ok": login_succeeded(),
-        "login_user": login_user(),
+        "login_user": F.when(login_failed(), login_user()),
         "privileged": privilege_use(),
         "changed": changed_account(),
-        "made_root": m.rlike(rules.NEW_USER) & m.rlike(rules.UID_ZERO),
+        "made_root": _matches(rules.NEW_USER) & F.col("message").rlike(rules.UID_ZERO),
         "rules": matching_rules(),
     })
 

@@ -41,13 +41,23 @@ def score(raw: Column) -> Column:
 def tokens(raw: Column) -> Column:
     """[grammar, pri, time, host, process, pid, message], or one element when no grammar fits.
 
-    Each grammar runs once per line: a match is rewritten to its groups joined by line feeds, which a log
-    line cannot contain, and a rewritten line no longer matches the grammars after it.
+    A match is rewritten to its groups joined by line feeds, which a log line cannot contain; a rewritten line no
+    longer matches the grammar after it. The first character tells which grammars can fit at all: RFC 5424 needs
+    ``<``, journald a digit, and most lines are put to one grammar only.
     """
     rest = r"[\s\S]*$"
-    out = F.regexp_replace(raw, RFC5424 + rest, f"{_RFC}\n$1\n$2\n$3\n$4\n\n$5")
-    out = F.regexp_replace(out, BSD + rest, f"{_BSD}\n$1\n$2\n$3\n$4\n$5\n$6")
-    out = F.regexp_replace(out, JOURNALD + rest, f"{_JRN}\n\n$1\n$2\n$3\n$4\n$5")
+
+    def rfc5424(text: Column) -> Column:
+        return F.regexp_replace(text, RFC5424 + rest, f"{_RFC}\n$1\n$2\n$3\n$4\n\n$5")
+
+    def bsd(text: Column) -> Column:
+        return F.regexp_replace(text, BSD + rest, f"{_BSD}\n$1\n$2\n$3\n$4\n$5\n$6")
+
+    def journald(text: Column) -> Column:
+        return F.regexp_replace(text, JOURNALD + rest, f"{_JRN}\n\n$1\n$2\n$3\n$4\n$5")
+
+    first = F.substr(raw, F.lit(1), F.lit(1))
+    out = F.when(first == "<", bsd(rfc5424(raw))).when(first.between("0", "9"), journald(bsd(raw))).otherwise(bsd(raw))
     return F.split(out, "\n")
 
 

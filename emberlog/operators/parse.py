@@ -92,13 +92,13 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, header: list[str] | No
     return tokenised.select(*keep, *[c.alias(n) for n, c in fields.items()])
 
 
-def file_table(lines: DataFrame, fmt: str | None = None) -> DataFrame:
+def file_table(lines: DataFrame, fmt: str | None = None, dense: bool = False) -> DataFrame:
     """Per file: its format and, for CSV, the header line. One small row per file, from one pass, written once."""
     if fmt:
         files = wincsv.headers(lines).withColumn("format", F.lit(fmt))
     else:
         first = F.max(F.when(F.col("sample_no") == 1, F.struct("at", "line")))
-        scores = detect_format.format_scores(sample_lines(lines), _first=first)
+        scores = detect_format.format_scores(sample_lines(lines, dense=dense), _first=first)
         files = detect_format.best_format(scores, "_first").select(
             "source_file", "format", F.col("_first.at").alias("header_at"),
             wincsv.trimmed_fields(F.col("_first.line")).alias("header"))
@@ -113,12 +113,14 @@ def file_table(lines: DataFrame, fmt: str | None = None) -> DataFrame:
     )
 
 
-def parse_corpus(lines: DataFrame, fmt: str | None = None, **options) -> DataFrame:
+def parse_corpus(lines: DataFrame, fmt: str | None = None, dense: bool = False, **options) -> DataFrame:
     """Detect each file's format and parse every line; ``fmt`` skips detection.
 
+    ``dense``: the lines carry the numbers of ``number_lines``, which makes picking each file's first lines a filter.
+
     The per-file table is joined by broadcast when counted small, else by a salted join, because one file may hold
     a large share of all lines.
     """
     if fmt and fmt != "windows_csv":
         return parse_lines(lines, fmt, **options)
-    return parse_lines(attach(lines, file_table(lines, fmt), ["source_file"]), **options)
+    return parse_lines(attach(lines, file_table(lines, fmt, dense), ["source_file"]), **options)

@@ -21,16 +21,20 @@ REQUEST_RULES = {
     "c2_path": ("HIGH", "decoded_path", r"(?i)^/(gate\.php|submit\.php\?id=|jquery-3\.3\.1\.slim\.min\.js|__utm\.gif)"),
 }
 
-FAILED_LOGIN = r"(?i)failed (password|publickey|login|none)|authentication failure|failed to log on|login failed"
-LOGIN = r"(?i)accepted (password|publickey|keyboard)|logged on successfully|login succeeded"
+# Each text pattern comes with plain pieces, one of which any match contains: lines without them are not searched.
+FAILED_LOGIN = (
+    r"(?i)failed (password|publickey|login|none)|authentication failure|failed to log on|login failed", ["fail"])
+LOGIN = (
+    r"(?i)accepted (password|publickey|keyboard)|logged on successfully|login succeeded",
+    ["accepted ", "logged on", "login succeeded"])
 LOGIN_USER = r"(?:for|user[ =:]) ?(?:invalid user |user )?'?([\w.\\$@-]+)"
 SUDO_COMMAND = r"^\s*(\S+) : .*COMMAND="
 SUDO_FAILURE = r"authentication failure;.*logname=(\S*)"
-GROUP_GRANT = r"(?i)add(ed)? '?([\w.-]+)'? to (shadow )?group '?(sudo|wheel|admin|root|docker)"
-NEW_USER = r"(?i)new user: name=([^,\s]+)"
+GROUP_GRANT = (r"(?i)add(?:ed)? '?([\w.-]+)'? to (?:shadow )?group '?(?:sudo|wheel|admin|root|docker)", ["group "])
+NEW_USER = (r"(?i)new user: name=([^,\s]+)", ["new user: name="])
 UID_ZERO = r"\bUID=0\b"
-CHANGED_USER = r"(?i)change user '([^']+)'"
-MODE_CHANGE = r"(?i)\bchmod\b.*\b[0-7]?777\b|\bchmod\b.*\bu\+s\b"
+CHANGED_USER = (r"(?i)change user '([^']+)'", ["change user '"])
+MODE_CHANGE = (r"(?i)\bchmod\b.*\b[0-7]?777\b|\bchmod\b.*\bu\+s\b", ["chmod"])
 
 # category: (title, recommendation, remediation action, command, undo command); {s} is the subject
 RESPONSES = {

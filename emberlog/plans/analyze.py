@@ -28,7 +28,7 @@ def analyze_lines(lines: DataFrame, out: str, batch_id: int = 0, fmt: str | None
     """
     spark = lines.sparkSession
     parsed_path = f"{out}/parsed/batch_id={batch_id}"
-    parsed = detectors.tag(parse_corpus(number_lines(lines), fmt, **parse_options))
+    parsed = detectors.tag(parse_corpus(number_lines(lines), fmt, dense=True, **parse_options))
     parsed.write.mode("overwrite").parquet(parsed_path)
     parsed = spark.read.parquet(parsed_path)
     found = materialize(detect(parsed))

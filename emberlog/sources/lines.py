@@ -63,17 +63,20 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def sample_lines(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
+def sample_lines(lines: DataFrame, n: int = SAMPLE_LINES, dense: bool = False) -> DataFrame:
     """First ``n`` lines of every file: ``source_file, sample_no, raw`` (stripped), ``line`` (as it is), ``at`` (its place).
 
     The rank filter runs before the shuffle as well (window group limit), so at most ``n`` lines per file and
-    task are exchanged.
+    task are exchanged. With ``dense`` line numbers, as given by ``number_lines``, a filter does and nothing is sorted.
     """
     order = ["block_start", "row_id"] if "row_id" in lines.columns else ["line_no"]
     first = Window.partitionBy("source_file").orderBy(*order)
+    if dense:
+        ranked = lines.withColumn("sample_no", F.col("line_no"))
+    else:
+        ranked = lines.withColumn("sample_no", F.row_number().over(first))
     return (
-        lines.withColumn("sample_no", F.row_number().over(first))
-        .filter(F.col("sample_no") <= n)
+        ranked.filter(F.col("sample_no") <= n)
         .select("source_file", "sample_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw"),
                 F.col("raw").alias("line"), F.struct(*order).alias("at"))
     )

@@ -91,3 +91,25 @@ def test_lateral_movement(spark):
     cut = int(dt.datetime(2024, 1, 2, tzinfo=dt.timezone.utc).timestamp())
     got = det.lateral_movement(pairs.filter(F.col("sec") >= cut), pairs.filter(F.col("sec") < cut)).collect()
     assert {(r.subject, r.n) for r in got} == {("10.0.0.1", 1), ("172.16.0.9", 1)}
+
+
+def test_evidence_of_overlapping_findings(spark):
+    """Against a plain loop: many findings of one hot subject, crossing days, with more lines per second than are kept."""
+    import random
+
+    rng = random.Random(8)
+    day = 86_400
+    lines = [("brute_force", rng.choice(["hot", "hot", "x"]), rng.choice([day - 2, day - 1, day, day + 5, 2 * day, 9]), i % 2 and "a" or "b", i)
+             for i in range(400)]
+    found = [("brute_force", s, f, f + length) for s in ("hot", "x", "none") for f in (0, day - 2, day, day + 1)
+             for length in (0, 1, 10, 3 * day)]
+    df = spark.createDataFrame(lines, "category string, subject string, sec bigint, source_file string, line_no bigint").withColumns(
+        {"raw": F.col("line_no").cast("string"), "format": F.lit("syslog")})
+    fs = spark.createDataFrame(found, "category string, subject string, first_sec bigint, last_sec bigint").withColumns(
+        {"severity": F.lit("HIGH"), "n": F.lit(1)})
+    rows = det.with_evidence(fs, df).collect()
+    assert len(rows) == len(found) == len({r.id for r in rows})
+    for r in rows:
+        mine = sorted((sec, file, no) for _, subject, sec, file, no in lines if subject == r.subject and r.first_sec <= sec <= r.last_sec)
+        assert (r.affected_lines or []) == [str(no) for _, _, no in mine[:10]]
+        assert r.source_file == (mine[0][1] if mine else None)
