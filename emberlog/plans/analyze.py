@@ -70,15 +70,20 @@ def chunk_requests(parsed: DataFrame, system_text: str, intel: DataFrame | None
     return table.withColumn("messages", requests.messages(system_text, F.col("chunk_text"), snippets, context))
 
 
-def score_requests(rows: DataFrame, model: Callable, repair_text: str, generated_at: Column | None = None) -> DataFrame:
-    """Alerts from a model's answers. ``model`` is a pandas UDF from the message array to the answer text.
+def answered(rows: DataFrame, model: Callable, repair_text: str) -> DataFrame:
+    """``rows`` with the ``response`` that counts. ``model`` is a pandas UDF from the message array to the answer text.
 
     Answers are written once, so the model is asked once per chunk; answers holding texts in place of objects are asked
     for again, and the second answer counts if there is one.
     """
     keys = ["source_file", "chunk_index"]
-    answered = materialize(requests.score(rows, model))
-    faulty = findings.read_responses(answered).filter("needs_repair").select(
+    first = materialize(requests.score(rows, model))
+    faulty = findings.read_responses(first).filter("needs_repair").select(
         *keys, requests.repair_messages(F.col("messages"), F.col("response"), repair_text).alias("messages"))
     second = materialize(requests.score(faulty, model, "repaired_response"))
-    return findings.alerts_from_responses(findings.repair_resolve(answered, second, keys), generated_at)
+    return findings.repair_resolve(first, second, keys)
+
+
+def score_requests(rows: DataFrame, model: Callable, repair_text: str, generated_at: Column | None = None) -> DataFrame:
+    """Alerts from a model's answers to ``chunk_requests`` rows."""
+    return findings.alerts_from_responses(answered(rows, model, repair_text), generated_at)

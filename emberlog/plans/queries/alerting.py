@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberlog.functions.scalars import ioc_type
+from emberlog.functions.scalars import ioc_type, register_sql_functions
 from emberlog.operators import alerts as ops
 from emberlog.plans import fixtures as fx
 from emberlog.plans.queries import query
+from emberlog.session import scratch_path
+from emberlog.sources import alert_tables
 
 _A = """WITH a AS (
   SELECT *, CAST(o_orderkey AS VARCHAR) AS id,
@@ -187,3 +189,50 @@ def store_stats(spark, sf_dir):
     pairs = F.transform(F.array_sort(F.map_entries("by_severity")), lambda p: F.concat(
         p["key"], F.lit("="), p["value"].cast("string")))
     return stats.withColumn("by_severity", F.array_join(pairs, ","))
+
+
+@query(_A + """SELECT id, severity, title, array_to_string(iocs, '|') AS iocs, iso AS generated_at FROM c""")
+def alert_table_scan(spark, sf_dir):
+    """Alerts written as a batch and read back, the batch written twice."""
+    path = scratch_path(spark, "alerts")
+    for _ in range(2):
+        alert_tables.write_batch(_alerts(spark, sf_dir), path, 0)
+    return ops.export_rows(alert_tables.read_alerts(spark, path)).select(
+        "id", "severity", "title", F.array_join("iocs", "|").alias("iocs"), "generated_at")
+
+
+@query(_A + """SELECT id, array_to_string(iocs, '|') AS iocs, o_custkey % 6 AS n_lines FROM c""")
+def alert_row_decode(spark, sf_dir):
+    """Arrays kept as JSON text; no text stands for an empty list."""
+    rows = _alerts(spark, sf_dir).withColumns({
+        "iocs": F.to_json("iocs"),
+        "affected_lines": F.when(F.size("affected_lines") > 0, F.to_json("affected_lines"))})
+    return alert_tables.decode_json_arrays(rows).select(
+        "id", F.array_join("iocs", "|").alias("iocs"), F.size("affected_lines").cast("bigint").alias("n_lines"))
+
+
+@query(_V + "SELECT value, alert_count FROM m")
+def ioc_counters(spark, sf_dir):
+    """Counters of two stored batches, added up; the second batch written twice."""
+    path = scratch_path(spark, "iocs")
+    rows = fx.line_alerts(spark, sf_dir).withColumns({
+        "id": F.expr("uuid()"), "severity": F.lit("LOW"), "title": F.lit("t")})
+    half = F.col("suppkey") % 2
+    for batch_id, part in ((0, rows.filter(half == 0)), (1, rows.filter(half == 1)), (1, rows.filter(half == 1))):
+        alert_tables.write_batch(part, path, batch_id)
+        alert_tables.write_ioc_delta(spark, path, batch_id)
+    return alert_tables.read_ioc_counters(spark, path).select("value", "alert_count")
+
+
+@query("""SELECT o_orderkey, CAST(greatest(1, length(o_orderpriority) // 4) AS BIGINT) AS tokens,
+  CASE o_orderstatus WHEN 'F' THEN 'ip' WHEN 'O' THEN 'path' ELSE 'string' END AS type,
+  CAST(CASE left(o_orderpriority, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 ELSE 99 END AS INTEGER) AS rank FROM orders""")
+def sql_functions(spark, sf_dir):
+    """The functions registered for SQL."""
+    register_sql_functions(spark)
+    fx.table(spark, sf_dir, "orders").createOrReplaceTempView("emberlog_orders")
+    return spark.sql("""
+        SELECT o_orderkey, token_estimate(o_orderpriority) AS tokens,
+               ioc_type(CASE o_orderstatus WHEN 'F' THEN '1.2.3.4' WHEN 'O' THEN '/tmp' ELSE o_orderstatus END) AS type,
+               severity_rank(CASE left(o_orderpriority, 1) WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' ELSE 'x' END) AS rank
+        FROM emberlog_orders""")

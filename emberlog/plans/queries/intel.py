@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from emberlog.operators import intel, similarity
 from emberlog.plans import fixtures as fx
 from emberlog.plans.queries import query
+from emberlog.session import scratch_path
+from emberlog.sources import feeds
 
 _ATTACK = """WITH t AS (
   SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'T' || (doc_id + 1000) END AS tid,
@@ -98,6 +100,35 @@ def intel_upsert(spark, sf_dir):
     return intel.upsert(current, again).select("id", "text")
 
 
+def _written(objects, member: str):
+    """Objects written as feed files of at most 100 objects, one JSON document per file."""
+    spark = objects.sparkSession
+    path = scratch_path(spark, "feed")
+    bundles = (
+        objects.withColumn("file", F.floor(F.col("doc_id") / 100)).groupBy("file")
+        .agg(F.to_json(F.struct(F.collect_list("o").alias(member))).alias("text"))
+    )
+    bundles.select("file", "text").write.partitionBy("file").text(path)
+    return path
+
+
+@query(_ATTACK + "SELECT id, text, tid AS technique_id FROM a")
+def attack_bundle_scan(spark, sf_dir):
+    rows = fx.attack_objects(spark, sf_dir)
+    number = F.regexp_extract("name", r"(\d+)$", 1).cast("bigint")
+    path = _written(rows.select(number.alias("doc_id"), F.struct(*rows.columns).alias("o")), "objects")
+    return intel.attack_chunks(feeds.read_attack_bundle(spark, path)).select(
+        "id", "text", F.col("metadata")["technique_id"].alias("technique_id"))
+
+
+@query(_ATTACK + _CVE + "SELECT id, text, cvss FROM n")
+def cve_feed_scan(spark, sf_dir):
+    rows = fx.cve_items(spark, sf_dir)
+    number = F.regexp_extract("cve.CVE_data_meta.ID", r"(\d+)$", 1).cast("bigint")
+    path = _written(rows.select(number.alias("doc_id"), F.struct(*rows.columns).alias("o")), "CVE_Items")
+    return intel.cve_chunks(feeds.read_cve_feed(spark, path)).select("id", "text", "cvss")
+
+
 _TOP = """WITH p AS (
   SELECT q.vec_id AS query_id, c.vec_id AS intel_id,
          round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS score

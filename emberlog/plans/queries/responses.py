@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from emberlog.operators import findings, requests
 from emberlog.plans import fixtures as fx
+from emberlog.plans.analyze import score_requests
 from emberlog.plans.queries import query
 
 # Assistant turns by response shape: 0 one object, 1 text item, 2 no JSON, 3 nothing, 4 text, object and number, 5 two objects.
@@ -149,3 +151,27 @@ def analysis_requests(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").withColumn("messages", built).select(
         "doc_id", F.size("messages").cast("bigint").alias("n"), F.array_join("messages.role", ",").alias("roles"),
         F.md5(F.array_join("messages.content", "")).alias("text_hash"))
+
+
+@query("""SELECT 'src' AS source_file, doc_id AS chunk_index, lang AS title, CASE WHEN doc_id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity
+FROM documents""")
+def scored_findings(spark, sf_dir):
+    """Documents as requests, scored by a pandas UDF; odd ones answer wrongly at first and are repaired."""
+    rows = fx.table(spark, sf_dir, "documents").select(
+        F.lit("src").alias("source_file"), F.col("doc_id").alias("chunk_index"),
+        F.lit("syslog").alias("log_format"), F.lit(None).cast("timestamp").alias("timestamp_first"),
+        F.lit(None).cast("timestamp").alias("timestamp_last"), F.array(F.lit("line")).alias("first_lines"),
+        requests.messages("rules", F.concat("lang", F.lit("|"), F.col("doc_id").cast("string"))).alias("messages"))
+
+    @F.pandas_udf("string")
+    def model(messages: pd.Series) -> pd.Series:
+        def answer(m):
+            asked = next(x["content"] for x in m if x["role"] == "user")
+            lang, doc_id = asked.rsplit("\n", 1)[1].split("|")
+            even = int(doc_id) % 2 == 0
+            good = f'{{"alerts":[{{"title":"{lang}","severity":"{"high" if even else "low"}"}}]}}'
+            return good if even or m[-1]["content"] == "fix" else '{"alerts":["just text"]}'
+
+        return messages.map(answer)
+
+    return score_requests(rows, model, "fix").select("source_file", "chunk_index", "title", "severity")

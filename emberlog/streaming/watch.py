@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberlog.operators import requests
+from emberlog.operators import chunks as chunking
+from emberlog.operators import findings, requests
 from emberlog.operators.alerts import at_least
-from emberlog.plans.analyze import analyze_lines
+from emberlog.plans.analyze import analyze_lines, answered
 from emberlog.schema import MAX_CONTEXT_CHARS
-from emberlog.sources.alert_tables import read_alerts
+from emberlog.session import materialize
+from emberlog.sources.alert_tables import read_alerts, write_batch, write_ioc_delta
 
 # --- fixed values -----------------------------------------------------------------
 POLL = "5 seconds"
@@ -24,6 +27,9 @@ MIN_SEVERITY = "MEDIUM"
 # ----------------------------------------------------------------------------------
 
 
+_STATE = "run_index bigint, line string, batch_id bigint"
+
+
 def tail_lines(spark: SparkSession, folder: str, since: str | None = None,
                max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming lines of new files: ``source_file, block_start, raw``; ``since`` leaves out files last changed earlier."""
@@ -79,10 +85,12 @@ def store_context(lines: DataFrame, state: str, batch_id: int) -> None:
 
 
 def _earlier(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
-    rows = spark.createDataFrame([], "run_index bigint, line string, batch_id bigint")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        rows = spark.read.schema(rows.schema).parquet(state)
+    try:
+        rows = spark.read.schema(_STATE).parquet(state)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], _STATE)
     return rows.filter(F.col("batch_id") < batch_id)
 
 
@@ -96,3 +104,23 @@ def earlier_context(spark: SparkSession, state: str, batch_id: int, max_chars: i
     last = _earlier(spark, state, batch_id).filter("line IS NOT NULL").orderBy(F.col("run_index").desc()).limit(tail)
     text = "\n".join(r["line"] for r in sorted(last.collect(), key=lambda r: r["run_index"]))
     return text if len(text) <= max_chars else requests.CUT_MARK + text[-max_chars:]
+
+
+def score_batch(parsed: DataFrame, out: str, batch_id: int, model: Callable, system_text: str, repair_text: str) -> None:
+    """Have a model judge one batch of parsed lines; its alerts are stored under ``out``.
+
+    Chunk numbers go on from earlier batches, and each request carries what those found. Chunks of one batch are scored
+    side by side, so they do not see each other's findings.
+    """
+    spark, state = parsed.sparkSession, f"{out}/context"
+    table = continue_numbering(chunking.chunk_table(chunking.assign_chunks(parsed)), spark, state, batch_id)
+    context = F.lit(earlier_context(spark, state, batch_id))
+    rows = table.withColumn("chunk_index", F.col("run_index")).withColumn(
+        "messages", requests.messages(system_text, F.col("chunk_text"), None, context))
+    replies = materialize(answered(rows, model, repair_text))
+    write_batch(findings.alerts_from_responses(replies), out, batch_id)
+    write_ioc_delta(spark, out, batch_id)
+    read = findings.read_responses(replies)
+    no_items = F.array().cast("array<variant>")
+    line = requests.context_line(F.col("run_index"), F.coalesce("items", no_items), F.col("chunk_summary"))
+    store_context(read.withColumn("line", line), state, batch_id)

@@ -1,9 +1,11 @@
 """The watch folder and the windowed streams, run to the end of their input and compared with batch results."""
 
 import datetime as dt
+import json
 import os
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,23 @@ def test_numbering_and_context_go_on(spark, tmp_path):
     assert w.earlier_context(spark, state, 0) == ""
     text = w.earlier_context(spark, state, 1)
     assert text.startswith("...\n") and len(text) == 1504 and text.endswith("[chunk 2] " + "z" * 700)
+
+
+def test_scored_batches(spark, tmp_path):
+    out = str(tmp_path / "db")
+    lines = lambda name: spark.createDataFrame(
+        [(name, i, f"{name} {i} " + "x" * 4000, "syslog") for i in range(3)],
+        "source_file string, line_no bigint, raw string, format string")
+
+    @F.pandas_udf("string")
+    def model(messages: pd.Series) -> pd.Series:
+        def answer(m):
+            seen = m[1]["content"] if len(m) > 2 else "nothing"
+            return json.dumps({"alerts": [{"title": seen[-20:], "severity": "LOW"}], "chunk_summary": ""})
+
+        return messages.map(answer)
+
+    for batch_id, name in ((0, "a"), (1, "b"), (1, "b")):
+        w.score_batch(lines(name), out, batch_id, model, "rules", "fix")
+    got = {(r.source_file, r.chunk_index): r.title for r in read_alerts(spark, out).collect()}
+    assert got == {("a", i): "nothing" for i in range(3)} | {("b", i + 3): "[chunk 2] LOW: nothing"[-20:] for i in range(3)}
