@@ -69,7 +69,8 @@ def epoch_second(ts: Column) -> Column:
 
 def is_private_ip(ip: Column) -> Column:
     """RFC 1918 address."""
-    return ip.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)")
+    return ip.startswith("10.") | ip.startswith("192.168.") | (
+        ip.startswith("172.") & ip.rlike(r"^172\.(1[6-9]|2\d|3[01])\."))
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:

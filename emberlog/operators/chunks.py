@@ -139,7 +139,7 @@ def chunk_starts(lines: DataFrame, budget: int = CHUNK_TOKENS, keys: tuple[str,
         return out.assign(chunk_index=int(pdf["_before"].iloc[0]) + np.arange(len(at)))
 
     return (
-        narrow.join(blocks, [*keys, "_block"])
+        narrow.join(blocks.hint("merge"), [*keys, "_block"])  # on the keys the next step groups by
         .groupBy(*keys, "_block")
         .applyInPandas(place, f"{key_ddl}, _block bigint, start bigint, chunk_index bigint")
         .withColumnRenamed("_block", "block")

@@ -97,10 +97,17 @@ def matching_rules() -> Column:
     return F.when(F.col("path").isNotNull() | F.col("user_agent").isNotNull(), decoded)
 
 
+def internal_peer() -> Column:
+    """The other internal address of a line from an internal address: a ``dst_ip`` field, or another one in the text."""
+    other = F.get(F.filter(all_ips(F.col("message")), lambda ip: ip != F.col("source_ip")), F.lit(0))
+    peer = let(F.coalesce(F.try_element_at("extra", F.lit("dst_ip")), other), lambda ip: F.when(is_private_ip(ip), ip))
+    return F.when(is_private_ip(F.col("source_ip")), peer)
+
+
 def tag(parsed: DataFrame) -> DataFrame:
     """Add everything the detectors read out of texts, so that a stored table pays for it once.
 
-    ``sec, login_failed, login_ok, login_user, privileged, changed, made_root, rules``. A table that has the tags
+    ``sec, login_failed, login_ok, login_user, privileged, changed, made_root, peer, rules``. A table that has the tags
     already is returned as it is; tags a detector does not use are never computed.
     """
     if "rules" in parsed.columns:
@@ -113,6 +120,7 @@ def tag(parsed: DataFrame) -> DataFrame:
         "privileged": privilege_use(),
         "changed": changed_account(),
         "made_root": _matches(rules.NEW_USER) & F.col("message").rlike(rules.UID_ZERO),
+        "peer": internal_peer(),
         "rules": matching_rules(),
     })
 
@@ -251,12 +259,8 @@ def account_change(parsed: DataFrame) -> DataFrame:
 
 def connection_pairs(parsed: DataFrame) -> DataFrame:
     """``src, dst, sec`` of lines naming two internal addresses: a ``dst_ip`` field, or the second in the text."""
-    ips = all_ips(F.col("message"))
-    dst = F.coalesce(
-        F.try_element_at("extra", F.lit("dst_ip")),
-        F.get(F.filter(ips, lambda ip: ip != F.col("source_ip")), F.lit(0)),
-    )
-    return tag(parsed).select(F.col("source_ip").alias("src"), dst.alias("dst"), "sec").filter(is_private_ip(F.col("src")) & is_private_ip(F.col("dst")) & F.col("sec").isNotNull())
+    return tag(parsed).filter("peer IS NOT NULL AND sec IS NOT NULL").select(
+        F.col("source_ip").alias("src"), F.col("peer").alias("dst"), "sec")
 
 
 def lateral_movement(pairs: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -330,7 +334,7 @@ def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AF
     inside = Window.partitionBy(*keys, "_day").orderBy("sec", "_line", *place).rowsBetween(Window.unboundedPreceding, -1)
     numbered = (
         both.withColumn("_at", F.coalesce(F.sum("_line").over(inside), F.lit(0)))
-        .join(days, [*keys, "_day"]).withColumn("_at", F.col("_at") + F.col("_offset"))
+        .join(days.hint("merge"), [*keys, "_day"]).withColumn("_at", F.col("_at") + F.col("_offset"))
     )
     wanted = numbered.filter("_line = 0").select(
         *keys, "_fid", "last_sec", F.explode(F.sequence("_at", F.col("_at") + (max_lines - 1))).alias("_at"))
@@ -363,7 +367,7 @@ def evidence_lines(parsed: DataFrame, categories: list[str] | None = None) -> Da
         "beacon": (always, ip),
         "privilege_escalation": (always, F.col("privileged")),
         "account_change": (always, F.col("changed")),
-        "lateral_movement": (is_private_ip(ip) & F.try_element_at("extra", F.lit("dst_ip")).isNotNull(), ip),
+        "lateral_movement": (F.col("peer").isNotNull(), ip),
         **{c: (F.array_contains("rules", c), ip) for c in rules.REQUEST_RULES},
     }
 

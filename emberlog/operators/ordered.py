@@ -1,7 +1,8 @@
 """Running values over an ordered key of any length.
 
 A window over a whole key would put a hot key into one task. Here rows are cut into blocks of the order value, windows
-run inside blocks, and what has to cross from one block to the next travels in a table of one row per block.
+run inside blocks, and what has to cross from one block to the next travels in a table of one row per block. That table is
+merge-joined: the rows are partitioned and sorted by block already, so it is the only side that moves.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def last_before(df: DataFrame, keys: list[str], order: str, value: str, out: str
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn(out, F.last(value, True).over(inside))
-        .join(heads, [*keys, "_block"])
+        .join(heads.hint("merge"), [*keys, "_block"])
         .withColumn(out, F.coalesce(out, "_head"))
         .drop("_block", "_head")
     )
@@ -42,7 +43,7 @@ def dense_position(df: DataFrame, keys: list[str], order: str, out: str, block:
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     return (
         rows.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_block"])
+        .join(offsets.hint("merge"), [*keys, "_block"])
         .withColumn(out, F.col("_before") + F.col("_rn") - 1)
         .drop("_block", "_rn", "_before")
     )

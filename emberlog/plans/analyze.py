@@ -19,19 +19,22 @@ from emberlog.sources.lines import number_lines, scan_lines
 
 def analyze_lines(lines: DataFrame, out: str, batch_id: int = 0, fmt: str | None = None,
                   detect: Callable[[DataFrame], DataFrame] = detectors.detect_all,
-                  generated_at: Column | None = None, **parse_options) -> None:
+                  generated_at: Column | None = None, baseline: DataFrame | None = None, **parse_options) -> None:
     """Parse lines, detect threats, and store parsed lines, alerts and indicator counts under ``out``.
 
     The parsed table is written once, with what detectors read out of texts already in columns (``detectors.tag``); every
-    detector reads back only the few columns it needs. Writing the
-    same ``batch_id`` again replaces what that batch wrote before.
+    detector reads back only the few columns it needs. ``baseline`` (``src, dst``) adds the search for new internal
+    connections. Writing the same ``batch_id`` again replaces what that batch wrote before.
     """
     spark = lines.sparkSession
     parsed_path = f"{out}/parsed/batch_id={batch_id}"
     parsed = detectors.tag(parse_corpus(number_lines(lines), fmt, dense=True, **parse_options))
     parsed.write.mode("overwrite").parquet(parsed_path)
     parsed = spark.read.parquet(parsed_path)
-    found = materialize(detect(parsed))
+    found = detect(parsed)
+    if baseline is not None:
+        found = found.unionByName(detectors.lateral_movement(detectors.connection_pairs(parsed), baseline))
+    found = materialize(found)
     categories = [r["category"] for r in found.select("category").distinct().collect()]  # a handful of names
     evidence = detectors.evidence_lines(parsed, categories)
     alerts = detectors.to_alerts(detectors.with_evidence(found, evidence), generated_at)

@@ -58,9 +58,9 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
     return row["rows"] <= max_rows and row["bytes"] <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the measured size allows it; otherwise leave a shuffle join to the optimizer.
 
     Pass a table that is cheap to read twice (a checkpoint or a stored table).
     """
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

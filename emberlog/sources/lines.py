@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from emberlog.session import broadcast_if_small, materialize
 
 SAMPLE_LINES = 20
+# One row per input split: 100 TB in splits of 128 MB are 800 000 rows of about 150 bytes.
+SPLIT_ROWS = 4_000_000
+SPLIT_BYTES = 512 * 2**20
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
@@ -58,7 +61,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
     return (
-        lines.join(broadcast_if_small(offsets), ["source_file", "block_start"])
+        lines.join(broadcast_if_small(offsets, SPLIT_ROWS, SPLIT_BYTES), ["source_file", "block_start"])
         .select("source_file", (F.col("row_id") + F.col("_shift")).alias("line_no"), "raw")
     )
 

@@ -113,3 +113,11 @@ def test_evidence_of_overlapping_findings(spark):
         mine = sorted((sec, file, no) for _, subject, sec, file, no in lines if subject == r.subject and r.first_sec <= sec <= r.last_sec)
         assert (r.affected_lines or []) == [str(no) for _, _, no in mine[:10]]
         assert r.source_file == (mine[0][1] if mine else None)
+
+
+def test_baseline_and_text_pairs_through_files(spark, tmp_path):
+    (tmp_path / "j.log").write_text("\n".join(
+        '{"ts":"2024-01-02T00:00:0%d","msg":"10.0.0.%d connected to 10.0.9.9"}' % (i, i % 2) for i in range(4)))
+    known = spark.createDataFrame([("10.0.0.0", "10.0.9.9")], "src string, dst string")
+    alerts = analyze(spark, str(tmp_path / "j.log"), str(tmp_path / "out"), baseline=known).collect()
+    assert [(a.title, len(a.affected_lines), a.severity) for a in alerts] == [("New internal connection from 10.0.0.1", 2, "MEDIUM")]

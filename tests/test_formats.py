@@ -183,6 +183,28 @@ def test_files_keep_their_order(spark, tmp_path):
         assert [r.raw for r in sorted(first, key=lambda r: r.sample_no) if r.source_file.endswith(name)] == texts[:5]
 
 
+def test_sides_too_large_to_broadcast(spark, tmp_path, monkeypatch):
+    """The same rows when neither split offsets nor file headers may be broadcast."""
+    for name in ("a", "b"):
+        rows = [f"2024-03-04T01:02:{i % 60:02d},{i},Error,m {i}" for i in range(300)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["TimeCreated,Id,Level,Message" if name == "a" else "Date,Event ID,Level,Message", *rows]))
+    (tmp_path / "c.log").write_text("\n".join([BSD] * 50))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        def run():
+            parsed = parse_corpus(number_lines(scan_lines(spark, str(tmp_path))), dense=True)
+            return sorted((r.source_file, r.line_no, r.format, r.event_id, r.message) for r in parsed.collect())
+
+        small = run()
+        for module in ("emberlog.operators.joins", "emberlog.session"):
+            monkeypatch.setattr(f"{module}.is_small", lambda *args: False)
+        monkeypatch.setattr("emberlog.session.F.broadcast", lambda df: pytest.fail("broadcast"))
+        assert run() == small and len(small) == 652
+        assert sum(r[3] is not None for r in small) == 600
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_in_memory_lines(spark):
     df = spark.createDataFrame([(1, "a\n"), (2, "  "), (3, CLF + "\n")], "n int, value string")
     got = lines_from(df, "value", order="n")
