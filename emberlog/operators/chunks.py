@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.scalars import token_estimate
 from emberlog.schema import CHUNK_TOKENS, SEVERITIES, UNKNOWN
-from emberlog.session import materialize
+from emberlog.session import broadcast_if_small, materialize
+from emberlog.sources.lines import SPLIT_BYTES, SPLIT_ROWS
 
 LINES_PER_BLOCK = 2**19
 BLOCKS_PER_GROUP = 256
@@ -149,37 +150,37 @@ def chunk_starts(lines: DataFrame, budget: int = CHUNK_TOKENS, keys: tuple[str,
 def assign_chunks(lines: DataFrame, budget: int = CHUNK_TOKENS, keys: tuple[str, ...] = ("source_file",),
                   order: str = "line_no", raw: str = "raw", block: int = LINES_PER_BLOCK,
                   group: int = BLOCKS_PER_GROUP) -> DataFrame:
-    """Add ``tokens`` and ``chunk_index`` to every line.
+    """Add ``tokens``, ``chunk_index`` and ``chunk_block`` (the block in which the line's chunk starts) to every line.
 
-    A line takes the last chunk start at or before it. That start may lie in an earlier block, so each block also
-    learns the index of the chunk open at its beginning; the window then runs inside blocks.
+    A line takes the last chunk start at or before it, by a window over the lines of one ``chunk_block``. Those before
+    a block's first start belong to the chunk still open from an earlier block; a table of one row per block tells
+    which. As chunks are never split over chunk blocks, ``chunk_table`` needs no second shuffle of the text.
     """
     keys = list(keys)
-    lines = lines.withColumn("tokens", token_estimate(F.col(raw)))
+    lines = lines.withColumn("tokens", token_estimate(F.col(raw))).withColumn("_block", F.floor(F.col(order) / block))
     starts = materialize(chunk_starts(lines, budget, tuple(keys), order, "tokens", block, group))
-    with_block = lines.withColumn("_block", F.floor(F.col(order) / block))
-    started = starts.select(*keys, F.col("block").alias("_block"), F.col("start").alias(order), "chunk_index")
-    marks = started.withColumn("_mark", F.lit(True))
-    # the chunk open when a block begins is the last one started in any earlier block
-    per_block = (
-        with_block.select(*keys, "_block").distinct()
-        .join(starts.groupBy(*keys, F.col("block").alias("_block")).agg(F.max("chunk_index").alias("_last")),
-              [*keys, "_block"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    first = starts.groupBy(*keys, F.col("block").alias("_block")).agg(F.min("start").alias("_first"))
+    blocks = lines.select(*keys, "_block").distinct().join(first, [*keys, "_block"], "left")
+    blocks = materialize(blocks.withColumn(
+        "_open", F.last(F.when(F.col("_first").isNotNull(), F.col("_block")), True).over(earlier)))
+
+    home = F.when(F.col(order) >= F.col("_first"), F.col("_block")).otherwise(F.col("_open"))
+    placed = (
+        lines.join(broadcast_if_small(blocks, SPLIT_ROWS, SPLIT_BYTES), [*keys, "_block"])
+        .withColumn("chunk_block", home).drop("_block", "_first", "_open")
     )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = per_block.select(*keys, "_block", F.max("_last").over(before).alias("chunk_index"))
-    opening = opened.filter("chunk_index IS NOT NULL").select(
-        *keys, "_block", (F.col("_block") * block).alias(order), "chunk_index", F.lit(True).alias("_mark"))
+    marks = starts.select(
+        *keys, F.col("block").alias("chunk_block"), F.col("start").alias(order), "chunk_index", F.lit(True).alias("_mark"))
     upto = (
-        Window.partitionBy(*keys, "_block").orderBy(F.col(order), F.col("_mark").desc_nulls_last(), "chunk_index")
+        Window.partitionBy(*keys, "chunk_block").orderBy(F.col(order), F.col("_mark").desc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        with_block.unionByName(marks, allowMissingColumns=True)
-        .unionByName(opening, allowMissingColumns=True)
+        placed.unionByName(marks, allowMissingColumns=True)
         .withColumn("chunk_index", F.max("chunk_index").over(upto))
         .filter(F.col("_mark").isNull())
-        .drop("_block", "_mark")
+        .drop("_mark")
     )
 
 
@@ -187,13 +188,15 @@ def chunk_table(chunked: DataFrame, keys: tuple[str, ...] = ("source_file",), or
     """One row per chunk: text, time range, format of the first line, line and token counts.
 
     A chunk holds at most ``budget`` lines, since every line counts at least one token, so its collected list is bounded.
+    Lines fresh from ``assign_chunks`` are grouped where they are, without another shuffle.
     """
     line = F.struct(F.col(order), F.col("raw"))
     time = F.col("event_ts") if "event_ts" in chunked.columns else F.lit(None).cast("timestamp")
     fmt = F.col("format") if "format" in chunked.columns else F.lit(UNKNOWN)
     texts = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["raw"])
+    home = ["chunk_block"] if "chunk_block" in chunked.columns else []
     return (
-        chunked.groupBy(*keys, "chunk_index")
+        chunked.groupBy(*keys, *home, "chunk_index")
         .agg(
             texts.alias("_lines"),
             F.min(time).alias("timestamp_first"),
@@ -204,7 +207,7 @@ def chunk_table(chunked: DataFrame, keys: tuple[str, ...] = ("source_file",), or
         )
         .withColumn("chunk_text", F.array_join("_lines", "\n"))
         .withColumn("first_lines", F.slice("_lines", 1, 10))
-        .drop("_lines")
+        .drop("_lines", *home)
     )
 
 
