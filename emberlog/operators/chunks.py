@@ -11,7 +11,7 @@ all blocks place their chunk starts independently. No task sees more than one bl
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,66 +84,78 @@ def chunk_starts(lines: DataFrame, budget: int = CHUNK_TOKENS, keys: tuple[str,
     )
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keys)])
 
-    def block_function(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        handed, started = _block_table(pdf.sort_values("_order")["_tokens"].to_numpy(), budget)
-        return pd.DataFrame([[*key, handed, started]], columns=[*keys, "_block", "_handed", "_started"])
+    def keyed(key: tuple, rows: int, **columns) -> pa.Table:
+        named = {k: pa.array([v.as_py()] * rows, type=v.type) for k, v in zip(keys, key)}
+        return pa.table({**named, **columns})
 
+    def sorted_columns(table: pa.Table, by: str, *names: str) -> list[np.ndarray]:
+        at = np.argsort(table[by].to_numpy(), kind="stable")
+        return [table[n].to_numpy()[at] for n in names]
+
+    def function_row(key: tuple, label: str, handed: np.ndarray, started: np.ndarray) -> pa.Table:
+        return keyed(key, 1, **{label: pa.array([key[len(keys)].as_py()], pa.int64())},
+                     _handed=pa.array([handed], pa.list_(pa.int32())), _started=pa.array([started], pa.list_(pa.int64())))
+
+    def functions(table: pa.Table, by: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tables of functions in order, one row of ``budget + 1`` entries per function."""
+        at = np.argsort(table[by].to_numpy(), kind="stable")
+        flat = [table[c].combine_chunks().flatten().to_numpy().reshape(-1, budget + 1)[at] for c in ("_handed", "_started")]
+        return list(zip(*flat))
+
+    def block_function(key: tuple, table: pa.Table) -> pa.Table:
+        (counts,) = sorted_columns(table, "_order", "_tokens")
+        return function_row(key, "_block", *_block_table(counts, budget))
+
+    names = f"{key_ddl}, {{}} bigint, _handed array<int>, _started array<bigint>"
     tables = materialize(
-        narrow.groupBy(*keys, "_block")
-        .applyInPandas(block_function, f"{key_ddl}, _block bigint, _handed array<int>, _started array<bigint>")
+        narrow.groupBy(*keys, "_block").applyInArrow(block_function, names.format("_block"))
         .withColumn("_group", F.floor(F.col("_block") / group))
     )
 
-    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, table: pa.Table) -> pa.Table:
         state, started = np.arange(budget + 1), np.zeros(budget + 1, dtype=np.int64)
-        pdf = pdf.sort_values("_block")
-        for next_handed, next_started in zip(pdf["_handed"], pdf["_started"]):
-            started = started + np.asarray(next_started)[state]
-            state = np.asarray(next_handed)[state]
-        return pd.DataFrame([[*key, state, started]], columns=[*keys, "_group", "_handed", "_started"])
-
-    def walk(at: str):
-        def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(at)
+        for next_handed, next_started in functions(table, "_block"):
+            started = started + next_started[state]
+            state = next_handed[state]
+        return function_row(key, "_group", state, started)
+
+    def walk(by: str):
+        def follow(key: tuple, table: pa.Table) -> pa.Table:
             # a file begins like a full chunk: its first line opens a new one
-            state = int(pdf["_enter"].iloc[0]) if "_enter" in pdf else budget
-            done = int(pdf["_before"].iloc[0]) if "_before" in pdf else 0
+            entered = "_enter" in table.column_names
+            state = table["_enter"][0].as_py() if entered else budget
+            done = table["_before"][0].as_py() if entered else 0
             enter, before = [], []
-            for handed, started in zip(pdf["_handed"], pdf["_started"]):
+            for handed, started in functions(table, by):
                 enter.append(state)
                 before.append(done)
                 done += int(started[state])
                 state = int(handed[state])
-            return pdf[[*keys, at]].assign(_enter=enter, _before=before)
+            (place,) = sorted_columns(table, by, by)
+            return keyed(key, len(place), **{by: pa.array(place, pa.int64())},
+                         _enter=pa.array(enter, pa.int64()), _before=pa.array(before, pa.int64()))
 
         return follow
 
-    names = [f"{key_ddl}, {c} bigint, _enter bigint, _before bigint" for c in ("_group", "_block")]
     groups = (
-        tables.groupBy(*keys, "_group")
-        .applyInPandas(compose, f"{key_ddl}, _group bigint, _handed array<int>, _started array<bigint>")
-        .groupBy(*keys)
-        .applyInPandas(walk("_group"), names[0])
+        tables.groupBy(*keys, "_group").applyInArrow(compose, names.format("_group"))
+        .groupBy(*keys).applyInArrow(walk("_group"), f"{key_ddl}, _group bigint, _enter bigint, _before bigint")
     )
     blocks = (
-        tables
-        .join(groups, [*keys, "_group"])
-        .groupBy(*keys, "_group")
-        .applyInPandas(walk("_block"), names[1])
+        tables.join(groups, [*keys, "_group"])
+        .groupBy(*keys, "_group").applyInArrow(walk("_block"), f"{key_ddl}, _block bigint, _enter bigint, _before bigint")
     )
 
-    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        at = _starts(pdf["_tokens"].to_numpy(), int(pdf["_enter"].iloc[0]), budget)
-        out = pdf.iloc[at][[*keys, "_block"]].assign(start=pdf["_order"].to_numpy()[at])
-        # the first chunk of a file has index 0
-        return out.assign(chunk_index=int(pdf["_before"].iloc[0]) + np.arange(len(at)))
+    def place(key: tuple, table: pa.Table) -> pa.Table:
+        order_values, counts = sorted_columns(table, "_order", "_order", "_tokens")
+        at = _starts(counts, table["_enter"][0].as_py(), budget)
+        index = table["_before"][0].as_py() + np.arange(len(at))  # the first chunk of a file has index 0
+        return keyed(key, len(at), block=pa.array([key[-1].as_py()] * len(at), pa.int64()),
+                     start=pa.array(order_values[at], pa.int64()), chunk_index=pa.array(index, pa.int64()))
 
     return (
         narrow.join(blocks.hint("merge"), [*keys, "_block"])  # on the keys the next step groups by
-        .groupBy(*keys, "_block")
-        .applyInPandas(place, f"{key_ddl}, _block bigint, start bigint, chunk_index bigint")
-        .withColumnRenamed("_block", "block")
+        .groupBy(*keys, "_block").applyInArrow(place, f"{key_ddl}, block bigint, start bigint, chunk_index bigint")
     )
 
 
