@@ -111,8 +111,9 @@ def ioc_merge(mart: DataFrame, delta: DataFrame) -> DataFrame:
     return (
         mart.unionByName(delta)
         .groupBy("value")
-        .agg(F.first("type").alias("type"), F.min("first_seen").alias("first_seen"),
-             F.max("last_seen").alias("last_seen"), F.sum("alert_count").alias("alert_count"))
+        .agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+             F.sum("alert_count").alias("alert_count"))
+        .select("value", ioc_type(F.col("value")).alias("type"), "first_seen", "last_seen", "alert_count")
     )
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.scalars import token_estimate
-from emberlog.schema import CHUNK_TOKENS, SEVERITIES, UNKNOWN
+from emberlog.operators.parse import registered_names
+from emberlog.schema import CHUNK_TOKENS, LOG_FORMATS, SEVERITIES, UNKNOWN
 from emberlog.session import broadcast_if_small, materialize
 from emberlog.sources.lines import SPLIT_BYTES, SPLIT_ROWS
 
@@ -225,12 +226,15 @@ def chunk_table(chunked: DataFrame, keys: tuple[str, ...] = ("source_file",), or
 
 def session_table(chunked: DataFrame, alerts: DataFrame, order: str = "line_no") -> DataFrame:
     """One row per source: lines, chunks, first known format, alerts per severity and in total."""
-    known = F.when(F.col("format") != UNKNOWN, F.col("format"))
+    # The first known format is the least of line * 64 + code: a number, so lines are combined by hashing, not sorting.
+    names_by_code = F.lit([*LOG_FORMATS, *registered_names()])
+    code = F.array_position(names_by_code, F.col("format"))
+    first = F.min(F.when(code > 0, F.col(order) * 64 + code))
     files = chunked.groupBy("source_file").agg(
-        F.min_by(known, F.when(known.isNotNull(), F.col(order))).alias("log_format"),
+        first.alias("_first"),
         F.count(F.lit(1)).alias("total_lines"),
         (F.max("chunk_index") + 1).alias("total_chunks"),
-    )
+    ).withColumn("log_format", F.get(names_by_code, (F.pmod("_first", F.lit(64)) - 1).cast("int"))).drop("_first")
     counts = alerts.groupBy("source_file").agg(
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES]
     )

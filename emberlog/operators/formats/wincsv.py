@@ -125,11 +125,15 @@ def parse(raw: Column, row: Column, is_header: Column) -> Record:
     return either(is_header, header, either(row.isNotNull(), known, entry(format=F.lit(UNKNOWN), message=raw)))
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """First line of every file: ``source_file, header_at, header``; one small row per file after map-side combining."""
+def headers(lines: DataFrame, dense: bool = False) -> DataFrame:
+    """First line of every file: ``source_file, header_at, header``.
+
+    With ``dense`` line numbers, as given by ``number_lines``, a filter finds it; else one small row per file leaves each
+    task.
+    """
     at = F.struct("block_start", "row_id") if "row_id" in lines.columns else F.struct("line_no")
-    return (
-        lines.groupBy("source_file")
-        .agg(F.min(at).alias("header_at"), F.min_by("raw", at).alias("_first"))
-        .select("source_file", "header_at", trimmed_fields(F.col("_first")).alias("header"))
-    )
+    if dense:
+        first = lines.filter("line_no = 1").select("source_file", at.alias("header_at"), F.col("raw").alias("_first"))
+    else:
+        first = lines.groupBy("source_file").agg(F.min(at).alias("header_at"), F.min_by("raw", at).alias("_first"))
+    return first.select("source_file", "header_at", trimmed_fields(F.col("_first")).alias("header"))

@@ -25,6 +25,10 @@ def register_format(name: str, score: Callable[[Column], Column], parse: Callabl
     _registered[name] = parse
 
 
+def registered_names() -> list[str]:
+    return list(_registered)
+
+
 def unregister_format(name: str) -> None:
     detect_format._registered.pop(name, None)
     _registered.pop(name, None)
@@ -95,7 +99,7 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, header: list[str] | No
 def file_table(lines: DataFrame, fmt: str | None = None, dense: bool = False) -> DataFrame:
     """Per file: its format and, for CSV, the header line. One small row per file, from one pass, written once."""
     if fmt:
-        files = wincsv.headers(lines).withColumn("format", F.lit(fmt))
+        files = wincsv.headers(lines, dense).withColumn("format", F.lit(fmt))
     else:
         first = F.max(F.when(F.col("sample_no") == 1, F.struct("at", "line")))
         scores = detect_format.format_scores(sample_lines(lines, dense=dense), _first=first)
