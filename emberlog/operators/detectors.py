@@ -321,8 +321,9 @@ def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AF
     keyed = findings.withColumn("_fid", alert_id(*[F.col(c) for c in (*keys, "first_sec", "last_sec")]))
     place = ["source_file", "line_no"]
     second = Window.partitionBy(*keys, "sec").orderBy(*place)
+    spans = materialize(keyed.groupBy(*keys).agg(F.min("first_sec").alias("_from"), F.max("last_sec").alias("_to")))
     kept = materialize(
-        attach(lines, materialize(keyed.select(*keys).distinct()), keys)
+        attach(lines, spans, keys).filter("sec BETWEEN _from AND _to").drop("_from", "_to")
         .withColumn("_rn", F.row_number().over(second)).filter(F.col("_rn") <= max_lines).drop("_rn")
     )
     marks = keyed.select(*keys, F.col("first_sec").alias("sec"), "last_sec", "_fid", F.lit(0).alias("_line"))
