@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import linededup, mixing
+from emberlog.llm import linededup, mixing, simhash
 from emberlog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op10_line_dedup(spark, sf_dir):
     deduped = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     deleted = F.aggregate("deleted_runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     return deduped.select("doc_id", "text", deleted.alias("lines_deleted"))
+
+
+@query()
+def op3_simhash(spark, sf_dir):
+    """SimHash of all documents: 3-word shingles, fingerprints linked at 2 or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
