@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import linededup, mixing, simhash
+from emberlog.llm import langid, linededup, mixing, simhash
 from emberlog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,17 @@ def op3_simhash(spark, sf_dir):
     """SimHash of all documents: 3-word shingles, fingerprints linked at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
+
+
+def fold(key: str, parts: int):
+    """crc32 of the key as text, modulo ``parts``."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
+@query()
+def op9_language_id(spark, sf_dir):
+    """The language of every document, learned from the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold("doc_id", 3) != 1)
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text", held_out), model).select("doc_id", "held_out", "lang_pred", "score")
