@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import langid, linededup, mixing, simhash
+from emberlog.llm import decontam, langid, linededup, mixing, simhash
 from emberlog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op9_language_id(spark, sf_dir):
     model = langid.train(docs, fold("doc_id", 3) != 1)
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return langid.identify(docs.select("doc_id", "text", held_out), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op8_decontamination(spark, sf_dir):
+    """Every leak of a benchmark item in a document: where it is and with how many edits."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
