@@ -204,19 +204,20 @@ def leaks(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
     ok, cost, end = _verify(items, codes, offsets, text, item, diagonal, np.minimum(inside[best], last))
     out = [(text[ok], item[ok], end[ok], cost[ok])]
     settled = set(zip(text[ok].tolist(), item[ok].tolist()))
-    for g in np.flatnonzero(~ok):
-        if (int(text[g]), int(item[g])) in settled:
-            continue
-        mine = inside[first[g]:first[g + 1] if g + 1 < len(first) else None]
-        starts = np.arange(0, last[g] + 1)
-        some = np.searchsorted(mine, starts + lengths[item[g]] - GRAM, side="right") - np.searchsorted(mine, starts) >= enough[item[g]]
-        starts = starts[some]
-        if len(starts):
-            same = np.zeros(len(starts), np.int64)
-            fine, price, stop = _verify(items, codes, offsets, same + text[g], same + item[g], same + diagonal[g], starts)
-            if fine.any():
-                at_best = np.lexsort((stop, price, ~fine))[0]
-                out.append((text[[g]], item[[g]], stop[[at_best]], price[[at_best]]))
+    # the other windows with enough hits of bands whose best window did not align
+    rest = [g for g in np.flatnonzero(~ok) if (int(text[g]), int(item[g])) not in settled]
+    for part in np.array_split(rest, max(1, len(rest) // 256)) if rest else []:
+        owner, starts = [], []
+        for g in part:
+            mine = inside[first[g]:first[g + 1] if g + 1 < len(first) else None]
+            every = np.arange(0, last[g] + 1)
+            some = np.searchsorted(mine, every + lengths[item[g]] - GRAM, side="right") - np.searchsorted(mine, every) >= enough[item[g]]
+            starts.append(every[some])
+            owner.append(np.full(some.sum(), g))
+        owner, starts = np.concatenate(owner), np.concatenate(starts)
+        fine, price, stop = _verify(items, codes, offsets, text[owner], item[owner], diagonal[owner], starts)
+        owner = owner[fine]
+        out.append((text[owner], item[owner], stop[fine], price[fine]))
     text, item, end, cost = (np.concatenate([o[k] for o in out]) for k in range(4))
     order = np.lexsort((end, cost, item, text))
     text, item, end, cost = text[order], item[order], end[order], cost[order]
