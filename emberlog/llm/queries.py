@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontam, langid, linededup, mixing, simhash
+from emberlog.llm import decontam, langid, linededup, mixing, simhash, toxicity
 from emberlog.llm.common import table
+from emberlog.session import broadcast_if_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,14 @@ def op9_language_id(spark, sf_dir):
 def op8_decontamination(spark, sf_dir):
     """Every leak of a benchmark item in a document: where it is and with how many edits."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_toxicity(spark, sf_dir):
+    """How likely every document is toxic, learned from the labels of the four fifths that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold("doc_id", 5) != 0)
+    # 16 bytes a label: within a measured bound they are sent to the texts, beyond it both sides are shuffled
+    model = toxicity.train(docs.join(broadcast_if_small(labels, max_rows=2_000_000), "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
