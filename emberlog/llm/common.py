@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +46,32 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``by`` as tables of whole groups, with where each group starts and, last, where the table ends.
+
+    Holds the rows of the group that is still open and of one batch.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(len(rows) - 1, bool)
+        for c in by:
+            column = rows.column(c).combine_chunks()
+            codes = (column if pa.types.is_integer(column.type) and not column.null_count else column.dictionary_encode().indices.fill_null(-1)).to_numpy(zero_copy_only=False)
+            new |= codes[1:] != codes[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        at = starts(rows)
+        if at[-1]:
+            yield rows.slice(0, at[-1]), at
+        held = rows.slice(at[-1]).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, np.append(starts(rows), len(rows))

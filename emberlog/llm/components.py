@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,18 @@ def components(edges: DataFrame) -> DataFrame:
         for old in (now, least, moved, lowest):
             discard(old)
         now = after
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least index in the component of each of 0..n-1 under the links i-j."""
+    root = np.arange(n)
+    while len(i):
+        a, b = root[i], root[j]
+        differ = a != b
+        if not differ.any():
+            break
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (nxt := root[root] != root).any():
+            root[nxt] = root[root[nxt]]
+    return root

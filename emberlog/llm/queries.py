@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontam, langid, linededup, mixing, simhash, toxicity
+from emberlog.llm import decontam, embeddings, langid, linededup, mixing, simhash, toxicity
 from emberlog.llm.common import table
 from emberlog.session import broadcast_if_small
 
@@ -118,3 +118,9 @@ def op5_toxicity(spark, sf_dir):
     model = toxicity.train(docs.join(broadcast_if_small(labels, max_rows=2_000_000), "doc_id"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op6_embeddings(spark, sf_dir):
+    """All embeddings: links at cosine 0.98 or more within a label, components and what is kept."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import stored
-from emberlog.llm.components import components
+from emberlog.llm.common import stored, whole_groups
+from emberlog.llm.components import components, forest
 
 #: Fingerprints compared with as many others at once, at most.
 TILE = 2048
@@ -98,21 +98,6 @@ def _above(counts: np.ndarray, limit: int) -> np.ndarray:
     return above
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least index in the component of each of 0..n-1 under the links i-j."""
-    root = np.arange(n)
-    while len(i):
-        a, b = root[i], root[j]
-        differ = a != b
-        if not differ.any():
-            break
-        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (nxt := root[root] != root).any():
-            root[nxt] = root[root[nxt]]
-    return root
-
-
 def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect all that differ in ``radius`` bits or fewer.
 
@@ -137,35 +122,18 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     by = ["table", "x", "y", "s", "t"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> pa.RecordBatch:
+        for rows, at in whole_groups(batches, by):
             fp = rows.column("fp").to_numpy().view(np.uint64)
             first, second = rows.column("first").to_numpy(), rows.column("second").to_numpy()
-            changes = np.flatnonzero(np.any([rows.column(c).to_numpy()[1:] != rows.column(c).to_numpy()[:-1] for c in by], axis=0)) + 1
             out = []
-            for start, end in zip([0, *changes], [*changes, len(fp)]):
+            for start, end in zip(at[:-1], at[1:]):
                 here, own, theirs = fp[start:end], first[start:end], second[start:end]
                 i, j = close_pairs(here[own], here[theirs], radius)
                 root = forest(np.flatnonzero(own)[i], np.flatnonzero(theirs)[j], len(here))
                 child = np.flatnonzero(root != np.arange(len(here)))
                 out.append((here[child], here[root[child]]))
             a, b = (np.concatenate([o[k] for o in out]).view(np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            last = [rows.column(c)[-1].as_py() for c in by]
-            same = np.all([rows.column(c).to_numpy() == v for c, v in zip(by, last)], axis=0)
-            cut = int(len(rows) - np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield flush(rows.slice(0, cut))
-            held = rows.slice(cut).to_batches()
-        if held and sum(map(len, held)):
-            yield flush(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
 
