@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontam, embeddings, langid, linededup, mixing, simhash, toxicity
+from emberlog.llm import chat, decontam, embeddings, langid, linededup, mixing, simhash, toxicity
 from emberlog.llm.common import table
 from emberlog.session import broadcast_if_small
 
@@ -124,3 +124,12 @@ def op5_toxicity(spark, sf_dir):
 def op6_embeddings(spark, sf_dir):
     """All embeddings: links at cosine 0.98 or more within a label, components and what is kept."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op2_chat(spark, sf_dir):
+    """All conversations, and one that says control strings, formatted; digests read back from the formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_chat(rows.unionByName(extra)))
