@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontam, embeddings, langid, linededup, mixing, simhash, toxicity
+from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, simhash, toxicity
 from emberlog.llm.common import table
 from emberlog.session import broadcast_if_small
 
@@ -133,3 +133,10 @@ def op2_chat(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.digest(chat.format_chat(rows.unionByName(extra)))
+
+
+@query()
+def op4_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
