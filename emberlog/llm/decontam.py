@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: A leak is a stretch of WINDOW characters of an item (all of a shorter one) with at most one edit in EVERY characters.
 #: Items of fewer than LEAST characters are too short to tell a leak from ordinary wording, and are not searched.
 WINDOW, EVERY, GRAM, LEAST = 64, 16, 12, 24
-#: Bytes of item text searched for in one pass over the documents; q-gram hits looked at at once.
-BLOCK_BYTES, HITS = 1 << 20, 1 << 21
+#: Bytes of item text searched for in one pass over the documents; q-gram hits, and bytes of text, looked at at once.
+BLOCK_BYTES, HITS, PIECE = 1 << 20, 1 << 21, 1 << 20
 
 
 def _fold_table() -> np.ndarray:
@@ -39,13 +39,15 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     keep[1:] |= ~blank[:-1]
     starts = offsets[:-1][offsets[:-1] < offsets[1:]]
     keep[starts] = ~blank[starts]
-    places = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
-    return folded[keep], places[offsets], keep
+    sizes = [np.count_nonzero(keep[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+    return folded[keep], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), keep
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each place on, but for the last GRAM - 1 places."""
-    n = max(0, len(codes) - GRAM + 1)
+    n = len(codes) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
     wide = codes.astype(np.uint64)
     pairs = wide[:-1] | wide[1:] << np.uint64(8)
     fours = pairs[:-2] | pairs[2:] << np.uint64(16)
@@ -131,12 +133,16 @@ def _verify(items: Items, codes: np.ndarray, offsets: np.ndarray, text: np.ndarr
 
 def _bands(items: Items, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Hits (text, item, place in the text, place in the item), a piece of some texts at a time."""
-    hashed = grams(codes)
-    at = np.flatnonzero(items.seen[hashed >> np.uint64(64 - items.seen.size.bit_length() + 1)])
-    found = np.searchsorted(items.hashes, hashed[at])
-    found = np.minimum(found, len(items.hashes) - 1)
-    real = items.hashes[found] == hashed[at]
-    at, found = at[real], found[real]
+    shift = np.uint64(64 - items.seen.size.bit_length() + 1)
+    ats, founds = [], []
+    for start in range(0, len(codes), PIECE):
+        hashed = grams(codes[start:start + PIECE + GRAM - 1])
+        at = np.flatnonzero(items.seen[hashed >> shift])
+        found = np.minimum(np.searchsorted(items.hashes, hashed[at]), len(items.hashes) - 1)
+        real = items.hashes[found] == hashed[at]
+        ats.append(at[real] + start)
+        founds.append(found[real])
+    at, found = np.concatenate(ats), np.concatenate(founds)
     text = np.searchsorted(offsets, at, side="right") - 1
     inside = at + GRAM <= offsets[text + 1]
     at, found, text = at[inside], found[inside], text[inside]
@@ -153,7 +159,19 @@ def _bands(items: Items, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tup
 
 
 def leaks(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Leaks in whole texts: index of the text, index of the item, start and end in the text's characters, edits.
+    """``_leaks`` of all texts, so many at a time that their bytes stay within PIECE, but for a longer text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(items.hashes) or not len(texts):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    cuts = np.unique(np.searchsorted(at, np.arange(at[0], at[-1] + 1, PIECE), side="left"))
+    cuts = [0, *cuts[(cuts > 0) & (cuts < len(texts))], len(texts)]
+    parts = [_leaks(items, texts.slice(a, b - a), a) for a, b in zip(cuts[:-1], cuts[1:])]
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
+
+
+def _leaks(items: Items, texts: pa.Array, before: int) -> tuple[np.ndarray, ...]:
+    """Leaks in whole texts: index of the text (``before`` more), index of the item, start and end in the text's characters, edits.
 
     One row per text and item, that of the fewest edits, the leftmost if several. By the q-gram lemma a window of w characters
     with at most e edits shares w + 1 - q - e q of its q-grams with the text, on diagonals at most e apart; bands are 2 (e + 1)
@@ -161,9 +179,6 @@ def leaks(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
     that have enough hits are aligned, the one with the most hits first.
     """
     nothing = tuple(np.zeros(0, np.int64) for _ in range(5))
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    if not len(items.hashes) or not len(texts):
-        return nothing
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
     at = at - at[0]
@@ -223,11 +238,13 @@ def leaks(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
     text, item, end, cost = text[order], item[order], end[order], cost[order]
     new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])) if len(text) else np.zeros(0, bool)
     text, item, end, cost = text[new], item[new], end[new], cost[new]
-    raw = np.flatnonzero(keep)
-    character = np.cumsum((data & 0xC0) != 0x80)
     begin = np.maximum(end - lengths[item], 0)
-    where = lambda place: character[raw[np.minimum(offsets[text] + place, len(raw) - 1)]] - character[at[text]]
-    return text, item, where(begin), where(end - 1) + 1, cost
+    for t in np.unique(text):  # places in the compared bytes as characters of the text
+        mine, raw = text == t, np.flatnonzero(keep[at[t]:at[t + 1]])
+        character = np.cumsum((data[at[t]:at[t + 1]] & 0xC0) != 0x80, dtype=np.int64)
+        begin[mine] = character[raw[np.minimum(begin[mine], len(raw) - 1)]] - 1
+        end[mine] = character[raw[end[mine] - 1]]
+    return text + before, item, begin, end, cost
 
 
 def _compact(held: list[tuple[np.ndarray, np.ndarray]], enough: np.ndarray, span: int, items: int, still: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -289,12 +306,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` whose whole text holds no leak; rows with a null or empty text stay."""
     for items in item_blocks(benchmark, item_key, item_text, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.filter(_clean(docs.sparkSession, items)(text))
+    return docs
 
-        def clean(texts: pa.Array, shared=shared) -> pa.Array:
-            held = np.ones(len(texts), bool)
-            held[leaks(shared.value, texts)[0]] = False
-            return pa.array(held)
 
-        docs = docs.filter(F.arrow_udf(clean, "boolean")(text))
-    return docs
+def _clean(spark, items: Items):
+    """Whether each whole text holds no leak of ``items``."""
+    shared = spark.sparkContext.broadcast(items)  # within block_bytes of text
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        held = np.ones(len(texts), bool)
+        held[leaks(shared.value, texts)[0]] = False
+        return pa.array(held)
+
+    return clean
