@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, simhash, toxicity
+from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, simhash, toxicity, warc
 from emberlog.llm.common import table
 from emberlog.session import broadcast_if_small
 
@@ -140,3 +140,41 @@ def op4_html_extraction(spark, sf_dir):
     """The main text of every page."""
     pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query(r"""
+WITH cut AS (
+  SELECT page_id, coalesce(html, '') AS body, regexp_replace(trim(url), '#.*$', '') AS u FROM pages WHERE page_id IS NOT NULL),
+parts AS (
+  SELECT page_id, body, page_id * 60000 + 1704067200000 AS ms,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
+    regexp_replace(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS query
+  FROM cut),
+p AS (
+  SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS link,
+    '"' || substr(md5(body), 1, 16) || '"' AS tag, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%SZ') AS modified,
+    octet_length(encode(body)) AS size FROM parts),
+v AS (SELECT *, ms + 604800000 AS again FROM p),
+f AS (
+  SELECT v.page_id, v.link AS url, v.again, v.tag, v.modified, r.page_id AS other, r.ms AS other_at, r.tag AS other_tag, r.modified AS other_modified,
+    r.size AS other_size
+  FROM v ASOF LEFT JOIN p r ON v.link = r.link AND v.again > r.ms),
+o AS (
+  SELECT *, CASE WHEN other IS NULL THEN 'no_response' WHEN page_id % 4 = 3 THEN 'no_validator'
+    WHEN page_id % 4 < 2 AND tag = other_tag OR page_id % 4 = 2 AND modified = other_modified THEN 'resolved' ELSE 'mismatch' END AS outcome FROM f)
+SELECT page_id, url, again AS revisit_ms, outcome, other AS response_page_id, other_at AS response_ms,
+  CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' ||
+    CASE WHEN page_id % 4 = 2 THEN chr(10) || 'etag: ' || other_tag ELSE chr(10) || 'last-modified: ' || other_modified END ||
+    chr(10) || 'content-length: ' || other_size ||
+    CASE page_id % 4 WHEN 0 THEN chr(10) || 'etag: ' || tag WHEN 1 THEN chr(10) || 'etag: W/' || tag ELSE chr(10) || 'last-modified: ' || modified END ||
+    chr(10) || 'cache-control: max-age=3600' END AS headers
+FROM o""")
+def op7_warc(spark, sf_dir):
+    """Captures of all pages rendered as WARC records, read back, and their not-modified revisits resolved."""
+    records = warc.parse_records(warc.render_captures(table(spark, sf_dir, "pages")))
+    found = warc.resolve_revisits(records)
+    page = lambda c: F.regexp_extract(c, r"(\d+)>$", 1).cast("long")
+    shown = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select(page("record_id").alias("page_id"), "url", F.col("at").alias("revisit_ms"), "outcome",
+                        page("response_id").alias("response_page_id"), F.col("response_at").alias("response_ms"), shown.alias("headers"))
