@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import stored, word_count
+from emberlog.llm.common import free_name, stored, word_count
 from emberlog.operators.joins import attach
 
 #: Hex digits of a draw that name a bucket at each of the two levels of the threshold search: 4096 buckets a level.
@@ -54,21 +54,13 @@ def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     return attach(known(rows), known(per_source).drop("source"), ["_known", "_source"], "left").drop("_known", "_source")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (1, 2, 3),
-        max_epochs: int = 3, share: float = 1.0, seed: int = 42) -> DataFrame:
-    """How often each document is taken: key, source, size, source_size, target, copies, taken (= copies x size).
+def _draw(docs_key: str, text: str, seed: int) -> Column:
+    """MD5 of seed and key; rows without a key draw by their text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(docs_key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))))
 
-    A source is taken target / source_size times: whole repetitions of all its documents, and one more of those whose draw, an
-    MD5 of seed and key, is at most a threshold. The threshold is the draw at which the running size comes nearest the rest of
-    the target, so a source misses its target by half a document at most. It is searched by two levels of 4096 buckets of the
-    draw, summed before they are shuffled; only the last bucket's draws are put in order.
 
-    Nulls: a null text has size 0; null sources are one source; rows without a key draw by their text. Rows with the same key
-    and source share their draw, and all are taken alike. A source without words, and an empty table, gets target 0.
-    """
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))))
-    rows = stored(docs.select(
-        F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), draw.alias("draw")), "sizes")
+def _limits(rows: DataFrame, weights: tuple[float, ...], max_epochs: int, share: float) -> DataFrame:
+    """Per source of ``rows`` (source, size, draw): source_size, target, whole repetitions, and the draws that get one more."""
     sources = fill_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     wanted = stored(sources.withColumn("_whole", whole.cast("long")).withColumn(
@@ -84,25 +76,53 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     ordered = Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
     fits = F.coalesce(F.sum("_size").over(ordered), F.lit(0)) + F.col("_size") / 2 <= F.col("_rest")
     within = draws.withColumn("_fits", fits).filter("_fits").groupBy("source").agg(F.max("draw").alias("_last"))
-    # all draws below the bucket found are taken; so are those inside it that fit
-    below = F.when(F.col("_at0").isNull(), F.lit("g")).otherwise(
-        F.concat("_at0", F.coalesce("_at1", F.lit("g"))))
-    limits = second.join(within, second["source"].eqNullSafe(within["source"]), "left").drop(within["source"]).select(
-        "source", "source_size", "target", "_whole", below.alias("_below"), "_last")
-    final = _with_source(rows, stored(limits, "limits"))
-    more = (F.col("draw") < F.col("_below")) | F.coalesce(F.col("draw") <= F.col("_last"), F.lit(False))
-    copies = F.least(F.col("_whole") + F.when(more & (F.col("target") > 0), 1).otherwise(0), F.lit(max_epochs)).cast("long")
+    # all draws below the bucket found are taken ("g" follows every digit); so are those inside it that fit
+    below = F.when(F.col("_at0").isNull(), F.lit("g")).otherwise(F.concat("_at0", F.coalesce("_at1", F.lit("g"))))
+    limits = second.join(within, second["source"].eqNullSafe(within["source"]), "left").drop(within["source"])
+    return stored(limits.select("source", "source_size", "target", "_whole", below.alias("_below"), "_last"), "limits")
+
+
+def _copies(draw: Column, max_epochs: int) -> Column:
+    more = (draw < F.col("_below")) | F.coalesce(draw <= F.col("_last"), F.lit(False))
+    return F.least(F.col("_whole") + F.when(more & (F.col("target") > 0), 1).otherwise(0), F.lit(max_epochs)).cast("long")
+
+
+def _sized(docs: DataFrame, key: str, source: str, text: str, seed: int) -> DataFrame:
+    return stored(docs.select(
+        F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+        _draw(key, text, seed).alias("draw")), "sizes")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (1, 2, 3),
+        max_epochs: int = 3, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """How often each document is taken: key, source, size, source_size, target, copies, taken (= copies x size).
+
+    A source is taken target / source_size times: whole repetitions of all its documents, and one more of those whose draw, an
+    MD5 of seed and key, is at most a threshold. The threshold is the draw at which the running size comes nearest the rest of
+    the target, so a source misses its target by half a document at most. It is searched by two levels of 4096 buckets of the
+    draw, summed before they are shuffled; only the last bucket's draws are put in order.
+
+    Nulls: a null text has size 0; null sources are one source; rows without a key draw by their text. Rows with the same key
+    and source share their draw, and all are taken alike. A source without words, and an empty table, gets target 0.
+    """
+    rows = _sized(docs, key, source, text, seed)
+    final = _with_source(rows, _limits(rows, weights, max_epochs, share))
+    copies = _copies(F.col("draw"), max_epochs)
     return final.select(
         F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix`` takes its key, numbered by ``repetition`` from 1.
+def take(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (1, 2, 3),
+         max_epochs: int = 3, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, numbered by ``repetition`` from 1.
 
-    ``mixed`` comes from ``mix(docs)``; rows with the same key and source are taken alike.
+    Only the limits of each source are joined to the documents, so their texts are not moved.
     """
-    per_key = mixed.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source")).agg(F.max("copies").alias("_copies"))
-    same = docs[key].eqNullSafe(F.col("_key")) & docs[source].eqNullSafe(F.col("_source"))
-    return docs.join(per_key, same).filter(F.col("_copies") > 0).withColumn(
-        "repetition", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_key", "_source", "_copies")
+    limits = _limits(_sized(docs, key, source, text, seed), weights, max_epochs, share)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*names.values()).withColumn("source", F.col(names[source]).cast("string"))
+    copies = _copies(_draw(names[key], names[text], seed), max_epochs)
+    taken = _with_source(inner, limits).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
+    repeated = taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*[F.col(new).alias(old) for old, new in names.items()], F.col("_n").alias(free_name(docs, "repetition")))
