@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import decontam, langid, linededup, mixing, simhash
-from emberlog.llm.common import stored, table
+from emberlog.llm.common import free_name, stored, table
 from emberlog.llm.queries import fold
 from emberlog.operators.joins import attach
 from emberlog.session import configure
@@ -26,15 +26,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and certain stay; the model learns from the two thirds that are not held out."""
     configure(spark)
     model = langid.train(docs, fold("doc_id", 3) != 1)
-    found = langid.identify(docs, model, lang="_predicted", score="_certain")
-    return found.filter((F.col("_predicted") != langid.UNKNOWN) & (F.col("_certain") >= LEAST_CERTAIN)).select(*docs.columns)
+    lang, certain = free_name(docs, "predicted"), free_name(docs, "certain")
+    found = langid.identify(docs, model, lang=lang, score=certain)
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(certain) >= LEAST_CERTAIN)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words or more are deleted; documents of which nothing is left go."""
     configure(spark)
-    deduped = linededup.dedup_lines(docs, runs="_deleted")
-    kept = deduped.filter((F.size("_deleted") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    runs = free_name(docs, "deleted")
+    deduped = linededup.dedup_lines(docs, runs=runs)
+    kept = deduped.filter((F.size(runs) == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return _shape(kept, docs)
 
 
@@ -42,8 +44,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies (3-word shingles, 2 bits) the document with the least id stays."""
     configure(spark)
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = stored(groups.filter("doc_id <> component").select("doc_id").distinct().withColumn("_gone", F.lit(True)), "copies")
-    return attach(docs, gone, ["doc_id"], "left").filter("_gone is null").select(*docs.columns)
+    mark = free_name(docs, "gone")
+    gone = stored(groups.filter("doc_id <> component").select("doc_id").distinct().withColumn(mark, F.lit(True)), "copies")
+    return attach(docs, gone, ["doc_id"], "left").filter(F.col(mark).isNull()).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns _c0, _c1, ..., and the new name of each, so that no helper column can clash with one of them."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def shown(df: DataFrame, names: dict[str, str], added: dict[str, Column], without: str | None = None) -> DataFrame:
+    """The columns of before under their names, then ``added``, which take the place of columns of the same name in any case."""
+    new = {c.lower() for c in added} | ({without.lower()} if without else set())
+    return df.select(*[F.col(inner).alias(c) for c, inner in names.items() if c.lower() not in new], *[v.alias(c) for c, v in added.items()])
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import stored
+from emberlog.llm.common import hidden, shown, stored
 from emberlog.operators.joins import attach
 
 TAG = re.compile(
@@ -299,9 +299,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     the nearest page of the host go. A null or empty page has an empty text; a page without a host or alone on its host has no
     neighbour; rows equal in key, URL and page are one page; an empty table gives an empty one.
     """
-    drops = stored(boilerplate(pages, key, url, html).groupBy("key", "version").agg(F.first("drop").alias("_drop")), "drops")
+    inner, names = hidden(pages)
+    key_, url_, html_ = names[key], names[url], names[html]
+    drops = stored(boilerplate(inner, key_, url_, html_).groupBy("key", "version").agg(F.first("drop").alias("_drop")), "drops")
     zero = F.lit(0).cast(pages.schema[key].dataType)
-    marked = pages.withColumns({"_none": F.col(key).isNull(), "_key": F.coalesce(F.col(key), zero), "_version": F.xxhash64(url, html)})
+    marked = inner.withColumns({"_none": F.col(key_).isNull(), "_key": F.coalesce(F.col(key_), zero), "_version": F.xxhash64(url_, html_)})
     lookup = drops.select(F.col("key").isNull().alias("_none"), F.coalesce("key", zero).alias("_key"), F.col("version").alias("_version"), "_drop")
     joined = attach(marked, lookup, ["_none", "_key", "_version"], "left")
 
@@ -318,4 +320,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             out.append("\n\n".join(kept))
         return pa.array(out, pa.string())
 
-    return joined.withColumn(text, main_text(html, "_drop")).select(*[c for c in pages.columns if c != html], text)
+    return shown(joined.withColumn("_text", main_text.asNondeterministic()(html_, "_drop")), names, {text: F.col("_text")}, without=html)

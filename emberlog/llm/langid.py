@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import hidden, shown
+
 #: Hashed features, a power of two; n-gram lengths; code points taken at a time.
 SLOTS, ORDERS, PIECE = 1 << 15, (1, 2, 3), 1 << 20
 #: About so many labelled rows of each language train the model.
@@ -190,5 +192,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("_found", predict.asNondeterministic()(text)).withColumns(
-        {lang: F.col("_found.lang"), score: F.col("_found.score")}).drop("_found")
+    inner, names = hidden(docs)
+    found = inner.withColumn("_found", predict.asNondeterministic()(names[text]))
+    return shown(found, names, {lang: F.col("_found.lang"), score: F.col("_found.score")})

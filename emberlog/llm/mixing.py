@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import free_name, stored, word_count
+from emberlog.llm.common import free_name, hidden, shown, stored, word_count
 from emberlog.operators.joins import attach
 
 #: Hex digits of a draw that name a bucket at each of the two levels of the threshold search: 4096 buckets a level.
@@ -120,9 +120,9 @@ def take(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     Only the limits of each source are joined to the documents, so their texts are not moved.
     """
     limits = _limits(_sized(docs, key, source, text, seed), weights, max_epochs, share)
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.toDF(*names.values()).withColumn("source", F.col(names[source]).cast("string"))
+    inner, names = hidden(docs)
+    inner = inner.withColumn("source", F.col(names[source]).cast("string"))
     copies = _copies(_draw(names[key], names[text], seed), max_epochs)
     taken = _with_source(inner, limits).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
     repeated = taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*[F.col(new).alias(old) for old, new in names.items()], F.col("_n").alias(free_name(docs, "repetition")))
+    return shown(repeated, names, {free_name(docs, "repetition"): F.col("_n")})

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import discard, stored
+from emberlog.llm.common import discard, hidden, shown, stored
 
 #: A window is a word of three letters or more, in lower case, between blanks, written so often that a short match shows.
 WORDS, COPIES = re.compile(r"[^\W\d_]{3,}"), 4
@@ -194,4 +194,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """``docs`` with the probability that each whole text is toxic; null and empty texts get that of a text without windows."""
     w = [float(x) for x in model.weights]
     odds = F.lit(w[0]) + w[1] * F.sqrt("_f.sums") + w[2] * F.col("_f.largest") + w[3] * F.log1p("_f.words")
-    return docs.withColumn("_f", _score(model, docs.sparkSession).asNondeterministic()(text)).withColumn(out, 1 / (1 + F.exp(-odds))).drop("_f")
+    inner, names = hidden(docs)
+    scored = inner.withColumn("_f", _score(model, docs.sparkSession).asNondeterministic()(names[text]))
+    return shown(scored, names, {out: 1 / (1 + F.exp(-odds))})
