@@ -283,12 +283,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     spark, found = docs.sparkSession, None
     names = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     for items in item_blocks(benchmark, item_key, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(items)  # within block_bytes of text
+        shared = spark.sparkContext.broadcast(tuple(vars(items).values()))  # within block_bytes of text
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value)
+            ids = items.ids
             for batch in batches:
-                row, item, start, end, cost = leaks(shared.value, batch.column(1))
-                ids = shared.value.ids
+                row, item, start, end, cost = leaks(items, batch.column(1))
                 yield pa.RecordBatch.from_pydict({
                     "key": batch.column(0).take(pa.array(row)), "item": pa.array([ids[i] for i in item], _arrow(names[1])), "start": start, "end": end, "edits": cost})
 
@@ -312,12 +313,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def _clean(spark, items: Items):
     """Whether each whole text holds no leak of ``items``."""
-    shared = spark.sparkContext.broadcast(items)  # within block_bytes of text
+    shared = spark.sparkContext.broadcast(tuple(vars(items).values()))  # within block_bytes of text
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         held = np.ones(len(texts), bool)
-        held[leaks(shared.value, texts)[0]] = False
+        held[leaks(Items(*shared.value), texts)[0]] = False
         return pa.array(held)
 
     return clean

@@ -184,11 +184,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
 
     A text that is null or has no letters gets ``und`` with score 0, as does every text if the model knows no language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a row of weights per slot, whatever the size of docs
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # a row of weights per slot at any size of docs
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [shared.value.predict(t.as_py()) for t in texts]
+        model = Model(*shared.value)
+        found = [model.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 

@@ -177,11 +177,11 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 
 def _score(model: Model, spark) -> Callable:
-    shared = spark.sparkContext.broadcast(model)  # dictionaries and cells: a few hundred KB at any size of the corpus
+    shared = spark.sparkContext.broadcast(tuple(vars(model).values()))  # dictionaries and cells: a few hundred KB at any size of the corpus
 
     @F.arrow_udf("struct<sums:double,largest:double,words:int>")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of = shared.value.scorer()
+        of = Model(*shared.value).scorer()
         for batch in texts:
             found = [of(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays(
