@@ -19,7 +19,6 @@ from emberlog.functions.scalars import token_estimate
 from emberlog.operators.parse import registered_names
 from emberlog.schema import CHUNK_TOKENS, LOG_FORMATS, SEVERITIES, UNKNOWN
 from emberlog.session import broadcast_if_small, materialize
-from emberlog.sources.lines import SPLIT_BYTES, SPLIT_ROWS
 
 LINES_PER_BLOCK = 2**19
 BLOCKS_PER_GROUP = 256
@@ -180,7 +179,7 @@ def assign_chunks(lines: DataFrame, budget: int = CHUNK_TOKENS, keys: tuple[str,
 
     home = F.when(F.col(order) >= F.col("_first"), F.col("_block")).otherwise(F.col("_open"))
     placed = (
-        lines.join(broadcast_if_small(blocks, SPLIT_ROWS, SPLIT_BYTES), [*keys, "_block"])
+        lines.join(broadcast_if_small(blocks), [*keys, "_block"])
         .withColumn("chunk_block", home).drop("_block", "_first", "_open")
     )
     marks = starts.select(

@@ -79,22 +79,59 @@ def privilege_use() -> Column:
     return F.coalesce(used, _named(rules.GROUP_GRANT))
 
 
+def cleared_log() -> Column:
+    """The host whose log was cleared or restarted: notable, by itself no threat; null for other lines."""
+    return F.when(_matches(rules.LOG_RESTART), F.coalesce("host", "source_file"))
+
+
 def changed_account() -> Column:
     """Account made or changed, or the host on which permissions were opened wide; null for other lines."""
     wide = F.when(_matches(rules.MODE_CHANGE), F.col("host"))
-    return F.coalesce(_named(rules.NEW_USER), _named(rules.CHANGED_USER), wide)
+    return F.coalesce(_named(rules.NEW_USER), _named(rules.CHANGED_USER), _named(rules.WINDOWS_ACCOUNT), wide)
+
+
+def _field(column: str, keys: list[str]) -> Column:
+    """A record column, else the first of the named extra fields that is there (formats without such a column)."""
+    return F.coalesce(column, *[F.try_element_at("extra", F.lit(k)) for k in keys])
+
+
+def requested() -> Column:
+    """The path or URL that a line asks for; null for lines that are no requests."""
+    return _field("path", rules.PATH_FIELDS)
+
+
+def user_agent() -> Column:
+    return _field("user_agent", rules.AGENT_FIELDS)
+
+
+def answer_status() -> Column:
+    return F.coalesce("status_code", *[F.try_element_at("extra", F.lit(k)).try_cast("int") for k in rules.STATUS_FIELDS])
+
+
+def bytes_out() -> Column:
+    return F.coalesce(bytes_number(F.col("bytes_sent")), *[F.try_element_at("extra", F.lit(k)).try_cast("bigint") for k in rules.BYTES_FIELDS])
+
+
+def target_port() -> Column:
+    """The port that a line tells a connection was made to."""
+    return F.coalesce(*[F.try_element_at("extra", F.lit(k)) for k in rules.PORT_FIELDS], _named(rules.PORT))
 
 
 def matching_rules() -> Column:
-    """Names of the request rules a line matches; null for lines that are no requests."""
+    """Names of the request rules a line matches.
+
+    Paths are tested percent-decoded twice at most. Lines of other formats that name no path are tested by their message.
+    """
 
-    def flags(path: Column) -> Column:
-        tested = {"decoded_path": path, "user_agent": F.col("user_agent")}
+    def flags(text: Column) -> Column:
+        tested = {"decoded_path": text, "user_agent": user_agent()}
         hits = [F.when(tested[col].rlike(pattern), c) for c, (_, col, pattern) in rules.REQUEST_RULES.items()]
         return F.array_compact(F.array(*hits))
 
-    decoded = let(F.coalesce(F.try_url_decode("path"), F.col("path")), flags)
-    return F.when(F.col("path").isNotNull() | F.col("user_agent").isNotNull(), decoded)
+    once = let(requested(), lambda p: F.coalesce(F.try_url_decode(p), p))
+    twice = let(once, lambda p: F.when(p.contains("%"), F.coalesce(F.try_url_decode(p), p)).otherwise(p))
+    message = F.when(F.col("format") != "clf", F.col("message"))
+    return let(F.coalesce(twice, message), flags)
 
 
 def internal_peer() -> Column:
@@ -107,7 +144,8 @@ def internal_peer() -> Column:
 def tag(parsed: DataFrame) -> DataFrame:
     """Add everything the detectors read out of texts, so that a stored table pays for it once.
 
-    ``sec, login_failed, login_ok, login_user, privileged, changed, made_root, peer, rules``. A table that has the tags
+    ``sec, login_failed, login_ok, login_user, privileged, changed, made_root, peer, rules``, and ``origin`` (address, else
+    host, else file), ``target`` (path, else port), ``answered`` (status) and ``sent`` (bytes). A table that has the tags
     already is returned as it is; tags a detector does not use are never computed.
     """
     if "rules" in parsed.columns:
@@ -119,9 +157,14 @@ def tag(parsed: DataFrame) -> DataFrame:
         "login_user": F.when(login_failed(), login_user()),
         "privileged": privilege_use(),
         "changed": changed_account(),
+        "restarted": cleared_log(),
         "made_root": _matches(rules.NEW_USER) & F.col("message").rlike(rules.UID_ZERO),
         "peer": internal_peer(),
         "rules": matching_rules(),
+        "origin": F.coalesce("source_ip", "host", "source_file"),
+        "target": F.coalesce(requested(), F.concat(F.lit(":"), target_port())),
+        "answered": answer_status(),
+        "sent": bytes_out(),
     })
 
 
@@ -145,7 +188,7 @@ def brute_force(parsed: DataFrame, window_seconds: int = 90, min_failures: int =
 
 
 def failure_bands(parsed: DataFrame, window_seconds: int = 90, high: int = 10, medium: int = 2) -> DataFrame:
-    """Per source the highest number of failures in any window, banded HIGH, MEDIUM or LOW."""
+    """Per source the highest number of failures in any window, banded HIGH, MEDIUM (repeated) or LOW (a single one)."""
     failures = logins_per_second(parsed).filter("failed > 0")
     counted = trailing(failures, ["source_ip"], window_seconds, in_window=F.sum("failed"))
     peaks = counted.groupBy("source_ip").agg(
@@ -186,29 +229,28 @@ def matched_rules(parsed: DataFrame, categories: list[str] | None = None) -> Dat
 
 
 def request_attacks(parsed: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Findings per source and rule; command injection answered with a 2xx status is CRITICAL."""
+    """Findings per origin and rule; command injection answered with a 2xx status is CRITICAL."""
     per_rule = (
         matched_rules(parsed, categories)
-        .filter("source_ip IS NOT NULL")
-        .groupBy("source_ip", "category")
+        .groupBy("origin", "category")
         .agg(
             F.count(F.lit(1)).alias("lines"),
             F.min("sec").alias("first_sec"),
             F.max("sec").alias("last_sec"),
-            F.max(F.col("status_code").between(200, 299)).alias("answered"),
+            F.max(F.col("answered").between(200, 299)).alias("answered"),
         )
     )
     base = lookup({c: r[0] for c, r in rules.REQUEST_RULES.items()}, F.col("category"))
     severity = F.when((F.col("category") == "command_injection") & F.col("answered"), "CRITICAL").otherwise(base)
-    return _finding(per_rule, F.col("category"), severity, "source_ip", "lines")
+    return _finding(per_rule, F.col("category"), severity, "origin", "lines")
 
 
 def scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, min_missing: int = 20,
-         target: str = "path", approximate: bool = False) -> DataFrame:
-    """Sources touching many distinct targets, or missing pages, within one fixed window."""
+         target: str = "target", approximate: bool = False) -> DataFrame:
+    """Sources touching many distinct targets (paths or ports), or missing pages, within one fixed window."""
     lines = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL").select(
         "source_ip", "sec", F.col(target).alias("target"),
-        F.coalesce((F.col("status_code") == 404).cast("bigint"), F.lit(0)).alias("missing"),
+        F.coalesce((F.col("answered") == 404).cast("bigint"), F.lit(0)).alias("missing"),
     ).withColumn("slot", F.floor(F.col("sec") / window_seconds))
     times = F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec")
     if approximate:
@@ -228,7 +270,7 @@ def scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, m
 def exfiltration(parsed: DataFrame, min_bytes: int = 10**9, window_seconds: int = DAY) -> DataFrame:
     """Destinations that were sent ``min_bytes`` or more within one fixed window (a day)."""
     sent = tag(parsed).select(
-        "source_ip", "sec", bytes_number(F.col("bytes_sent")).alias("bytes")
+        "source_ip", "sec", F.col("sent").alias("bytes")
     ).filter("source_ip IS NOT NULL AND sec IS NOT NULL AND bytes IS NOT NULL")
     slots = sent.groupBy("source_ip", F.floor(F.col("sec") / window_seconds).alias("slot")).agg(
         F.sum("bytes").alias("bytes"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
@@ -257,6 +299,15 @@ def account_change(parsed: DataFrame) -> DataFrame:
     return _finding(per_account, "account_change", severity, "account", "lines")
 
 
+def clears(parsed: DataFrame) -> DataFrame:
+    """Logs that were cleared or logging services that were restarted, per host: INFO."""
+    per_host = (
+        tag(parsed).filter("restarted IS NOT NULL").groupBy(F.col("restarted").alias("host"))
+        .agg(F.count(F.lit(1)).alias("lines"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
+    )
+    return _finding(per_host, "log_restart", "INFO", "host", "lines")
+
+
 def connection_pairs(parsed: DataFrame) -> DataFrame:
     """``src, dst, sec`` of lines naming two internal addresses: a ``dst_ip`` field, or the second in the text."""
     return tag(parsed).filter("peer IS NOT NULL AND sec IS NOT NULL").select(
@@ -297,7 +348,10 @@ def c2_sources(parsed: DataFrame) -> DataFrame:
 
 
 def remediation_for(category: Column, subject: Column) -> Column:
-    """Suggested step as text; null where the category has none. Nothing is ever run."""
+    """Suggested step as text; null where the category has none, or where it acts on an address and the subject is none.
+
+    Nothing is ever run.
+    """
 
     def text(i: int) -> Column:
         return F.replace(lookup({c: r[i] for c, r in rules.RESPONSES.items()}, category), F.lit("{s}"), subject)
@@ -305,12 +359,21 @@ def remediation_for(category: Column, subject: Column) -> Column:
     undo = text(4)
     step = F.struct(text(2).alias("action"), text(3).alias("command"), (undo != "").alias("reversible"),
                     undo.alias("undo_command")).cast(REMEDIATION)
-    return F.when(text(3) != "", step)
+    address = subject.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|[0-9a-fA-F]*:[0-9a-fA-F:.]+)$")
+    return F.when((text(3) != "") & (~text(2).isin("block_ip", "kill_session") | address), step)
+
+
+def finding_id() -> Column:
+    """The id of a finding: the same when later lines carry it on, so that the longer version replaces the shorter one."""
+    moment = F.when(F.col("category").isin(*rules.MOMENTS), F.col("last_sec"))
+    return alert_id(F.col("category"), F.col("subject"), F.coalesce(F.col("first_sec"), F.lit(-1)), F.coalesce(moment, F.lit(-1)))
 
 
 def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AFFECTED_LINES) -> DataFrame:
     """Add ``affected_lines``, ``source_file`` and ``log_format``: the first lines behind each finding.
 
+    Lines without a valid time stand behind the findings that have none; they are put at second -1.
+
     ``findings`` is read more than once, so pass a stored or checkpointed table. ``lines``: ``category, subject, sec,
     raw, line_no, source_file, format``. A finding takes lines of its category and subject from its first second to
     its last. Findings of one subject may overlap, so lines are not joined by time: of each second only the first
@@ -318,15 +381,18 @@ def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AF
     subject, each finding learns the number its first line has, and fetches the numbers that follow by equality.
     """
     keys = ["category", "subject"]
-    keyed = findings.withColumn("_fid", alert_id(*[F.col(c) for c in (*keys, "first_sec", "last_sec")]))
+    timeless = F.lit(-1).cast("bigint")
+    fid = alert_id(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, "first_sec", "last_sec")])
+    keyed = findings.withColumns({"_fid": fid, "_first": F.coalesce("first_sec", timeless), "_last": F.coalesce("last_sec", timeless)})
+    lines = lines.withColumn("sec", F.coalesce("sec", timeless))
     place = ["source_file", "line_no"]
     second = Window.partitionBy(*keys, "sec").orderBy(*place)
-    spans = materialize(keyed.groupBy(*keys).agg(F.min("first_sec").alias("_from"), F.max("last_sec").alias("_to")))
+    spans = materialize(keyed.groupBy(*keys).agg(F.min("_first").alias("_from"), F.max("_last").alias("_to")))
     kept = materialize(
         attach(lines, spans, keys).filter("sec BETWEEN _from AND _to").drop("_from", "_to")
         .withColumn("_rn", F.row_number().over(second)).filter(F.col("_rn") <= max_lines).drop("_rn")
     )
-    marks = keyed.select(*keys, F.col("first_sec").alias("sec"), "last_sec", "_fid", F.lit(0).alias("_line"))
+    marks = keyed.select(*keys, F.col("_first").alias("sec"), "_last", "_fid", F.lit(0).alias("_line"))
     both = kept.withColumn("_line", F.lit(1)).unionByName(marks, allowMissingColumns=True)
     both = both.withColumn("_day", F.floor(F.col("sec") / DAY))
     earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
@@ -338,17 +404,17 @@ def with_evidence(findings: DataFrame, lines: DataFrame, max_lines: int = MAX_AF
         .join(days.hint("merge"), [*keys, "_day"]).withColumn("_at", F.col("_at") + F.col("_offset"))
     )
     wanted = numbered.filter("_line = 0").select(
-        *keys, "_fid", "last_sec", F.explode(F.sequence("_at", F.col("_at") + (max_lines - 1))).alias("_at"))
+        *keys, "_fid", "_last", F.explode(F.sequence("_at", F.col("_at") + (max_lines - 1))).alias("_at"))
     found = numbered.filter("_line = 1").select(*keys, "_at", "sec", "raw", "source_file", "format")
     packed = (
-        wanted.join(found, [*keys, "_at"]).filter("sec <= last_sec")
+        wanted.join(found, [*keys, "_at"]).filter("sec <= _last")
         .groupBy("_fid").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("_at", "raw"))), lambda x: x["raw"]).alias("affected_lines"),
             F.min_by("source_file", "_at").alias("source_file"),
             F.min_by("format", "_at").alias("log_format"),
         )
     )
-    return keyed.join(packed, "_fid", "left").withColumnRenamed("_fid", "id")
+    return keyed.drop("_first", "_last").join(packed, "_fid", "left").withColumnRenamed("_fid", "id")
 
 
 def evidence_lines(parsed: DataFrame, categories: list[str] | None = None) -> DataFrame:
@@ -363,13 +429,14 @@ def evidence_lines(parsed: DataFrame, categories: list[str] | None = None) -> Da
         "failed_login": (failed, ip),
         "credential_stuffing": (failed, ip),
         "success_after_failures": (failed | ok, ip),
-        "scan": (F.col("path").isNotNull(), ip),
-        "exfiltration": (F.col("bytes_sent").isNotNull(), ip),
+        "scan": (F.col("target").isNotNull(), ip),
+        "exfiltration": (F.col("sent").isNotNull(), ip),
         "beacon": (always, ip),
         "privilege_escalation": (always, F.col("privileged")),
         "account_change": (always, F.col("changed")),
+        "log_restart": (always, F.col("restarted")),
         "lateral_movement": (F.col("peer").isNotNull(), ip),
-        **{c: (F.array_contains("rules", c), ip) for c in rules.REQUEST_RULES},
+        **{c: (F.array_contains("rules", c), F.col("origin")) for c in rules.REQUEST_RULES},
     }
 
     def hit(category: str, when: Column, subject: Column) -> Column:
@@ -389,9 +456,8 @@ def to_alerts(findings: DataFrame, generated_at: Column | None = None) -> DataFr
     def text(i: int) -> Column:
         return F.replace(lookup({k: r[i] for k, r in rules.RESPONSES.items()}, c), F.lit("{s}"), s)
 
-    if "id" not in findings.columns:
-        findings = findings.withColumn("id", alert_id(c, s, F.col("first_sec"), F.col("last_sec")))
     shaped = findings.withColumns({
+        "id": finding_id(),
         "title": text(0),
         "description": F.concat(text(0), F.lit(" ("), F.col("n").cast("string"), F.lit(")")),
         "recommendation": text(1),
@@ -406,8 +472,9 @@ def to_alerts(findings: DataFrame, generated_at: Column | None = None) -> DataFr
 
 def detect_all(parsed: DataFrame) -> DataFrame:
     """Findings of all detectors that need nothing but the parsed lines, with their default thresholds."""
+    # HIGH bands are bursts, which brute_force finds one by one
     found = [
-        brute_force(parsed), credential_stuffing(parsed), success_after_failures(parsed), request_attacks(parsed),
+        brute_force(parsed), failure_bands(parsed).filter("severity <> 'HIGH'"), clears(parsed), credential_stuffing(parsed), success_after_failures(parsed), request_attacks(parsed),
         scan(parsed), exfiltration(parsed), privilege_escalation(parsed), account_change(parsed), beacon(parsed),
     ]
     return reduce(DataFrame.unionByName, found)

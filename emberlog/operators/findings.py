@@ -18,6 +18,7 @@ ERROR_TITLE = "Analysis error"
 ERROR_TEXT = "LLM response was not valid JSON: "
 QUOTED_CHARS = 300
 # ----------------------------------------------------------------------------------
+NO_ANSWER = "The scoring model gave no answer."
 ERROR_ADVICE = "Check that the scoring model is running and reachable."
 
 
@@ -29,12 +30,16 @@ def cleanup(raw: Column) -> Column:
 
 
 def decode(cleaned: Column) -> Column:
-    """Members of the leading JSON object, each as VARIANT; text after the object is ignored, null if malformed."""
-    return F.from_json(cleaned, "map<string,variant>")
+    """Members of the leading JSON object, each as VARIANT; text after the object is ignored, null if malformed.
+
+    Of a member given twice the last one counts, as inside of items (``session.configure``).
+    """
+    return F.from_json(cleaned, "map<string,variant>", {"allowSingleQuotes": "false"})
 
 
 def _member(decoded: Column, name: str) -> Column:
-    return F.try_element_at(decoded, F.lit(name))
+    given = F.filter(F.map_entries(decoded), lambda e: e["key"] == name)
+    return F.try_element_at(given, F.lit(-1))["value"]
 
 
 def items(decoded: Column) -> Column:
@@ -97,7 +102,8 @@ def needs_repair(decoded: Column) -> Column:
     """No object among the items, but a text in their place."""
     listed = items(decoded)
     text = F.exists(listed, lambda i: F.schema_of_variant(i) == "STRING")
-    bare = F.schema_of_variant(_member(decoded, "alerts")) == "STRING"
+    bare = F.try_variant_get(_member(decoded, "alerts"), "$", "string") != ""
+    bare = bare & (F.schema_of_variant(_member(decoded, "alerts")) == "STRING")
     return F.coalesce(
         decoded.isNotNull() & ~F.exists(listed, _is_object) & (text | F.coalesce(bare, F.lit(False))),
         F.lit(False),
@@ -161,7 +167,8 @@ def alerts_from_responses(responses: DataFrame, generated_at: Column | None = No
             "pos": F.lit(-1),
             "severity": F.lit("INFO"),
             "title": F.lit(ERROR_TITLE),
-            "description": F.concat(F.lit(ERROR_TEXT), F.left("response", F.lit(QUOTED_CHARS))),
+            "description": F.when(F.col("response").isNull(), NO_ANSWER).otherwise(
+                F.concat(F.lit(ERROR_TEXT), F.left("response", F.lit(QUOTED_CHARS)))),
             "recommendation": F.lit(ERROR_ADVICE),
             "iocs": F.array().cast("array<string>"),
             "affected_lines": F.slice("first_lines", 1, MAX_AFFECTED_LINES),

@@ -29,7 +29,6 @@ LEVEL_NAMES = {
     "audit failure": "WARNING", "audit success": "INFO",
 }
 HEADER_MESSAGE = "[CSV header]"
-MAX_FIELD_CHARS = 131072
 # ----------------------------------------------------------------------------------
 
 NAMED = (
@@ -96,11 +95,10 @@ def extra(row: Column) -> Column:
 
 
 def tokens(raw: Column, header: Column) -> Column:
-    """Column map of a data line; null when the field count differs from the header's or a field is oversized."""
+    """Column map of a data line; null when the field count differs from the header's."""
 
     def fitting(values: Column) -> Column:
-        oversized = F.exists(values, lambda v: F.length(v) > MAX_FIELD_CHARS)
-        return F.when((F.size(values) == F.size(header)) & ~oversized, row_map(header, values))
+        return F.when(F.size(values) == F.size(header), row_map(header, values))
 
     return let(trimmed_fields(raw), fitting)
 

@@ -121,11 +121,13 @@ def first_n(rows: DataFrame, n: int) -> DataFrame:
 
 
 def build(sources: list[DataFrame], per_source: int = 0) -> DataFrame:
-    """One table of all sources, one row per id."""
-    rows = conform(sources[0], INTEL)
-    for more in sources[1:]:
-        rows = rows.unionByName(conform(more, INTEL))
-    return first_n(rows, per_source)
+    """One table of all sources, one row per id: that of the last source that has it, by text if one has several."""
+    numbered = [conform(rows, INTEL).withColumn("_from", F.lit(i)) for i, rows in enumerate(sources)]
+    rows = numbered[0]
+    for more in numbered[1:]:
+        rows = rows.unionByName(more)
+    newest = Window.partitionBy("id").orderBy(F.col("_from").desc(), F.col("text").desc())
+    return first_n(rows.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", "_from"), per_source)
 
 
 def upsert(current: DataFrame, new: DataFrame) -> DataFrame:

@@ -45,14 +45,14 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, header: list[str] | No
 
     With ``fmt`` all lines are read in that format. Without it the table needs a ``format`` column naming each
     line's format; ``unknown`` and other names are read as syslog, the most permissive grammar. CSV lines need a
-    ``header`` (argument, or column of names as added by ``parse_corpus``).
+    ``header`` (column of names as added by ``parse_corpus``, or argument: then the files have no header line).
     """
     raw = F.col("raw")
     want = F.lit(fmt) if fmt else F.col("format")
     if header is not None:
         lines = lines.withColumn("header", F.lit([h.strip() for h in header]))
     has_header = "header" in lines.columns
-    first = _is_first(lines) if "header_at" in lines.columns else F.lit(False)
+    first = _is_first(lines) if "header_at" in lines.columns and header is None else F.lit(False)
     wanted = [fmt] if fmt else [*LOG_FORMATS, *_registered]
 
     def only(name: str, value: Column) -> Column:
@@ -125,6 +125,6 @@ def parse_corpus(lines: DataFrame, fmt: str | None = None, dense: bool = False,
     The per-file table is joined by broadcast when counted small, else by a salted join, because one file may hold
     a large share of all lines.
     """
-    if fmt and fmt != "windows_csv":
+    if fmt and (fmt != "windows_csv" or options.get("header") is not None):
         return parse_lines(lines, fmt, **options)
     return parse_lines(attach(lines, file_table(lines, fmt, dense), ["source_file"]), **options)

@@ -36,6 +36,23 @@ UID_ZERO = r"\bUID=0\b"
 CHANGED_USER = (r"(?i)change user '([^']+)'", ["change user '"])
 MODE_CHANGE = (r"(?i)\bchmod\b.*\b[0-7]?777\b|\bchmod\b.*\bu\+s\b", ["chmod"])
 
+WINDOWS_ACCOUNT = (
+    r"(?is)(?:user account was (?:created|changed|enabled|deleted)|attempt was made to (?:change|reset) an account|member was added to a security-enabled)"
+    r".*?(?:new account|target account|member):.*?name:\s*([\w.$@\\=-]+)", ["account was ", "member was added", "an account"])
+LOG_RESTART = (r"(?i)audit log was cleared|event logging service (?:has shut down|was (?:started|stopped))|rsyslogd.*\b(?:start|exiting)",
+               ["log was cleared", "logging service", "rsyslogd"])
+PORT = (r"\b(?:DPT|dst_port|dport)=(\d{1,5})\b", ["dpt=", "dst_port=", "dport="])
+
+# Extra fields, in order, that hold what formats without a column for it tell of a request or a connection.
+PATH_FIELDS = ["path", "request_path", "uri", "request_uri", "url", "request"]
+AGENT_FIELDS = ["user_agent", "userAgent", "http_user_agent", "agent"]
+STATUS_FIELDS = ["status_code", "statusCode", "http_status", "response_code"]
+BYTES_FIELDS = ["bytes_sent", "bytes", "body_bytes_sent", "bytes_out", "response_size"]
+PORT_FIELDS = ["dst_port", "dest_port", "destination_port", "dpt"]
+
+# Categories whose findings are single moments, so that their last second tells them apart.
+MOMENTS = ["success_after_failures"]
+
 # category: (title, recommendation, remediation action, command, undo command); {s} is the subject
 RESPONSES = {
     "brute_force": (
@@ -81,6 +98,8 @@ RESPONSES = {
     "account_change": (
         "Account change for {s}", "Confirm the change; lock the account if nobody asked for it.",
         "disable_account", "usermod -L {s}", "usermod -U {s}"),
+    "log_restart": (
+        "Log cleared or restarted on {s}", "Confirm with the system owner.", "none", "", ""),
     "failed_login": (
         "Failed logins from {s}", "Watch the source.", "none", "", ""),
 }

@@ -15,19 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores, dealt out evenly before costly text work; larger tables are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def _address(prefix: str, number: Column, parts: int) -> Column:
+    """An address whose last ``parts`` parts are a number in base 256."""
+    shown = [F.shiftright(number, 8 * k).bitwiseAND(255).cast("string") for k in reversed(range(parts))]
+    return F.concat_ws(".", F.lit(prefix), *shown)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the address ``10.0.{user div 256}.{user mod 256}`` and the time cut to seconds."""
-    user = F.col("user_id")
-    ip = F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string"))
-    return spread(table(spark, sf_dir, "events")).withColumns({
+    """Events with the user's number as the last three parts of the address ``10.x.y.z`` and the time cut to seconds."""
+    return table(spark, sf_dir, "events").withColumns({
         "at": F.date_trunc("second", F.col("ts").cast("timestamp")),
-        "ip": ip,
+        "ip": _address("10", F.col("user_id"), 3),
     })
 
 
@@ -194,7 +192,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document; line numbers leave room for 2**20 lines per document."""
     return (
-        spread(table(spark, sf_dir, "documents"))
+        table(spark, sf_dir, "documents")
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .filter(F.col("raw").rlike(r"\S"))
         .select(F.lit("notes.txt").alias("source_file"),
@@ -216,7 +214,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alert per order."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     severity = _pick(SEVERITIES, F.left("o_orderpriority", F.lit(1)).cast("int") - 1)
-    ip = F.concat(F.lit("10.1."), F.floor(c / 256).cast("string"), F.lit("."), (c % 256).cast("string"))
+    ip = _address("10", c + 65536, 3)
     second = (
         F.when(k % 5 == 0, F.concat(F.lit("c"), (c % 500).cast("string"), F.lit("@example.com")))
         .when(k % 5 == 1, F.concat(F.lit("/var/log/app/"), (k % 50).cast("string")))
@@ -257,7 +255,7 @@ def line_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alert per order line, with one indicator of each kind in turn; line 7 names its indicator twice."""
     p, n = F.col("l_partkey"), F.col("l_linenumber")
     value = (
-        F.when(n % 5 == 0, F.concat(F.lit("10.2."), F.floor(p / 256).cast("string"), F.lit("."), (p % 256).cast("string")))
+        F.when(n % 5 == 0, _address("11", p, 3))
         .when(n % 5 == 1, F.md5((p % 300).cast("string")))
         .when(n % 5 == 2, F.concat(F.lit("p"), (p % 400).cast("string"), F.lit("@example.org")))
         .when(n % 5 == 3, F.when(p % 2 == 0, F.concat(F.lit("/opt/"), (p % 90).cast("string"))).otherwise(
@@ -340,7 +338,7 @@ def attack_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         references.alias("external_references"),
         phases.alias("kill_chain_phases"),
     )
-    return spread(table(spark, sf_dir, "documents")).select(F.from_json(F.to_json(obj), ATTACK_OBJECT).alias("o")).select("o.*")
+    return table(spark, sf_dir, "documents").select(F.from_json(F.to_json(obj), ATTACK_OBJECT).alias("o")).select("o.*")
 
 
 def cve_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +365,7 @@ def cve_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("cve"),
         impact.alias("impact"),
     )
-    return spread(table(spark, sf_dir, "documents")).select(F.from_json(F.to_json(item), CVE_ITEM).alias("o")).select("o.*")
+    return table(spark, sf_dir, "documents").select(F.from_json(F.to_json(item), CVE_ITEM).alias("o")).select("o.*")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

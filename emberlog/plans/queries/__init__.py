@@ -18,7 +18,7 @@ e AS (
          date_trunc('second', ts) AS seen,
          CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec,
          strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at_text,
-         '10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS ip
+         '10.' || (user_id // 65536 % 256) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip
   FROM events
 )"""
 

@@ -18,7 +18,7 @@ _A = """WITH a AS (
     'Status ' || o_orderstatus || ' customer ' || o_custkey AS title,
     'Total ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' ' || o_orderpriority || ' for order ' || o_orderkey || ' ' || repeat('z', 90) AS description,
     '/var/log/f' || (o_custkey % 10) AS source_file,
-    '10.1.' || (o_custkey // 256) || '.' || (o_custkey % 256) AS ip,
+    '10.' || ((o_custkey + 65536) // 65536 % 256) || '.' || (o_custkey // 256 % 256) || '.' || (o_custkey % 256) AS ip,
     strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso
   FROM orders),
 b AS (
@@ -128,7 +128,7 @@ def remediation_plan(spark, sf_dir):
 
 _V = """WITH v AS (
   SELECT l_shipdate AS seen, l_suppkey, l_linenumber AS n, CASE l_linenumber % 5
-    WHEN 0 THEN '10.2.' || (l_partkey // 256) || '.' || (l_partkey % 256) WHEN 1 THEN md5(CAST(l_partkey % 300 AS VARCHAR))
+    WHEN 0 THEN '11.' || (l_partkey // 65536 % 256) || '.' || (l_partkey // 256 % 256) || '.' || (l_partkey % 256) WHEN 1 THEN md5(CAST(l_partkey % 300 AS VARCHAR))
     WHEN 2 THEN 'p' || (l_partkey % 400) || '@example.org'
     WHEN 3 THEN CASE WHEN l_partkey % 2 = 0 THEN '/opt/' || (l_partkey % 90) ELSE 'C:\\tmp\\' || (l_partkey % 90) END
     ELSE 'word' || (l_partkey % 70) END AS value,

@@ -8,8 +8,12 @@ from emberlog.operators import detectors as det
 from emberlog.operators import rules
 from emberlog.operators.parse import parse_lines
 from emberlog.plans import fixtures as fx
+from emberlog.plans.analyze import analyze_lines
 from emberlog.plans.queries import EVENTS_SQL, query
-from emberlog.session import materialize
+from emberlog.session import materialize, scratch_path
+from emberlog.sources.alert_tables import read_alerts
+from emberlog.sources.lines import scan_lines
+from emberlog.streaming.watch import watch
 
 DAY = 86_400
 
@@ -47,6 +51,53 @@ def detect_brute_force(spark, sf_dir):
     return det.brute_force(_bsd(spark, sf_dir), DAY, 3)
 
 
+_BURSTS = _WINDOWED + f""",
+h AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY ip ORDER BY sec) < {DAY} THEN 0 ELSE 1 END AS step FROM w WHERE c >= 3),
+r AS (SELECT *, sum(step) OVER (PARTITION BY ip ORDER BY sec) AS run FROM h)
+SELECT 'Brute force from ' || ip AS title, ip AS subject, min(sec) AS first_sec, max(sec) AS last_sec, CAST(max(c) AS BIGINT) AS n FROM r GROUP BY ip, run"""
+
+
+def _bursts(parsed):
+    return det.brute_force(parsed, DAY, 3)
+
+
+def _stored(spark, out):
+    return read_alerts(spark, out).select(
+        "title", F.element_at("iocs", 1).alias("subject"), F.unix_seconds("timestamp_first").alias("first_sec"),
+        F.unix_seconds("timestamp_last").alias("last_sec"), F.regexp_extract("description", r"\((\d+)\)$", 1).cast("bigint").alias("n"))
+
+
+def _write_lines(lines, folder, part):
+    lines.filter(part).select("raw").write.mode("append").text(folder)
+
+
+@query(_BURSTS)
+def analyze_two_runs(spark, sf_dir):
+    """The log of every other user, then that of the rest, analysed into one store, which keeps the alerts of both runs."""
+    lines, out = fx.bsd(spark, sf_dir), scratch_path(spark, "store")
+    odd = F.pmod(F.regexp_extract("raw", r"from 10\.\d+\.\d+\.(\d+) ", 1).cast("int"), F.lit(2))
+    for half in (0, 1):
+        folder = scratch_path(spark, f"run-{half}")
+        _write_lines(lines, folder, odd == half)
+        analyze_lines(scan_lines(spark, folder), out, fmt="syslog", detect=_bursts, base_year=2024)
+    return _stored(spark, out)
+
+
+@query(_BURSTS)
+def watch_split_log(spark, sf_dir):
+    """One log watched as three segments, one micro-batch each: bursts over two segments come out as they are in one log."""
+    lines, folder, out = fx.bsd(spark, sf_dir), scratch_path(spark, "segments"), scratch_path(spark, "store")
+    ends = [None, *(F.lit(t).cast("timestamp") for t in ("2024-01-11 12:00:00", "2024-01-21 07:00:00")), None]
+    timed = parse_lines(lines, "syslog", base_year=2024).select("raw", "event_ts")
+    for k in range(3):
+        part = F.lit(True)
+        part = part if ends[k] is None else part & (F.col("event_ts") >= ends[k])
+        part = part if ends[k + 1] is None else part & (F.col("event_ts") < ends[k + 1])
+        _write_lines(timed.repartition(1), folder, part)
+        watch(spark, folder, out, f"{out}-checkpoint", fmt="syslog", available_now=True, detect=_bursts, lookback=31 * DAY, base_year=2024).awaitTermination()
+    return _stored(spark, out)
+
+
 @query(_WINDOWED + """
 SELECT 'failed_login' AS category, CASE WHEN max(c) >= 4 THEN 'HIGH' WHEN max(c) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
        ip AS subject, min(sec) AS first_sec, max(sec) AS last_sec, CAST(max(c) AS BIGINT) AS n FROM w GROUP BY ip""")
@@ -73,10 +124,14 @@ def detect_success_after_failures(spark, sf_dir):
     return det.success_after_failures(_bsd(spark, sf_dir))
 
 
+# every 97th access line has no address; its findings are kept under the file
+_ORIGIN = "CASE WHEN event_id % 97 = 0 THEN 'clf.log' ELSE ip END"
+
+
 def _request_sql(category: str, severity: str, where: str) -> str:
     return f"""WITH {EVENTS_SQL}
-SELECT '{category}' AS category, {severity} AS severity, ip AS subject, min(sec) AS first_sec, max(sec) AS last_sec,
-       count(*) AS n FROM e WHERE event_id % 97 <> 0 AND {where} GROUP BY ip"""
+SELECT '{category}' AS category, {severity} AS severity, {_ORIGIN} AS subject, min(sec) AS first_sec, max(sec) AS last_sec,
+       count(*) AS n FROM e WHERE {where} GROUP BY {_ORIGIN}"""
 
 
 @query(_request_sql("sql_injection", "'HIGH'", "event_id % 10 = 0"))
@@ -164,11 +219,13 @@ def detect_beacon(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS_SQL}, c AS (
-  SELECT ip, CASE event_id % 10 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'path_traversal' WHEN 2 THEN 'xss' ELSE 'command_injection' END AS category,
-         sec FROM e WHERE event_id % 97 <> 0 AND event_id % 10 < 4
-  UNION ALL SELECT ip, 'suspicious_agent', sec FROM e WHERE event_id % 97 <> 0 AND event_id % 4 = 1)
-SELECT category, ip AS subject, 'block_ip' AS action, 'iptables -I INPUT -s ' || ip || ' -j DROP' AS command,
-       true AS reversible, 'iptables -D INPUT -s ' || ip || ' -j DROP' AS undo_command FROM c GROUP BY category, ip""")
+  SELECT {_ORIGIN} AS ip, CASE event_id % 10 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'path_traversal' WHEN 2 THEN 'xss' ELSE 'command_injection' END AS category,
+         sec FROM e WHERE event_id % 10 < 4
+  UNION ALL SELECT {_ORIGIN}, 'suspicious_agent', sec FROM e WHERE event_id % 4 = 1),
+d AS (SELECT DISTINCT category, ip, ip <> 'clf.log' AS addressed FROM c)
+SELECT category, ip AS subject, CASE WHEN addressed THEN 'block_ip' END AS action,
+       CASE WHEN addressed THEN 'iptables -I INPUT -s ' || ip || ' -j DROP' END AS command, CASE WHEN addressed THEN true END AS reversible,
+       CASE WHEN addressed THEN 'iptables -D INPUT -s ' || ip || ' -j DROP' END AS undo_command FROM d""")
 def remediation_template(spark, sf_dir):
     found = det.request_attacks(_clf(spark, sf_dir))
     step = det.remediation_for(F.col("category"), F.col("subject"))
@@ -176,7 +233,8 @@ def remediation_template(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS_SQL},
-t AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY sec, event_id) AS rn FROM e WHERE event_id % 97 <> 0 AND event_id % 4 = 1)
+o AS (SELECT * REPLACE ({_ORIGIN} AS ip) FROM e),
+t AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY sec, event_id) AS rn FROM o WHERE event_id % 4 = 1)
 SELECT ip AS subject, ip AS iocs, 'Scanner user agent from ' || ip AS title, 'clf.log' AS source_file, 'clf' AS log_format,
        least(count(*), 10) AS n_lines, strftime(min(seen), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(seen), '%Y-%m-%d %H:%M:%S') AS last_at,
        string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) FILTER (rn <= 10) AS line_nos

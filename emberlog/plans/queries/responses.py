@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ def repair_resolve(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT source, doc_id, CASE WHEN doc_id % 5 <> 0 THEN '[chunk ' || doc_id || '] ' || left(text, 120) END AS line
+WITH l AS (SELECT source, doc_id, CASE WHEN doc_id % 5 <> 0 THEN '[chunk ' || doc_id || '] ' || text END AS line
            FROM documents),
 c AS (SELECT source, doc_id, string_agg(line, chr(10) ORDER BY doc_id)
         OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM l)
@@ -128,7 +130,7 @@ SELECT source AS source_file, doc_id AS chunk_index,
 def rolling_context(spark, sf_dir):
     """Documents as chunks; every fifth has neither findings nor a summary."""
     d = F.col("doc_id")
-    line = F.concat(F.lit("[chunk "), d.cast("string"), F.lit("] "), F.left("text", F.lit(120)))
+    line = F.concat(F.lit("[chunk "), d.cast("string"), F.lit("] "), F.col("text"))
     chunks = fx.table(spark, sf_dir, "documents").select(
         F.col("source").alias("source_file"), d.alias("chunk_index"), F.when(d % 5 != 0, line).alias("line"))
     return requests.rolling_context(chunks, ["source_file"]).select("source_file", "chunk_index", "context")
@@ -153,23 +155,22 @@ def analysis_requests(spark, sf_dir):
         F.md5(F.array_join("messages.content", "")).alias("text_hash"))
 
 
-@query("""SELECT 'src' AS source_file, doc_id AS chunk_index, lang AS title, CASE WHEN doc_id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity
-FROM documents""")
+@query("""SELECT 'src' AS source_file, doc_id AS chunk_index, md5('Analyze these log entries for threats:' || chr(10) || chr(10) || text) AS title,
+  CASE WHEN length(text) % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity FROM documents""")
 def scored_findings(spark, sf_dir):
-    """Documents as requests, scored by a pandas UDF; odd ones answer wrongly at first and are repaired."""
+    """Whole documents as requests, scored by a pandas UDF; those of odd length answer wrongly at first and are repaired."""
     rows = fx.table(spark, sf_dir, "documents").select(
         F.lit("src").alias("source_file"), F.col("doc_id").alias("chunk_index"),
         F.lit("syslog").alias("log_format"), F.lit(None).cast("timestamp").alias("timestamp_first"),
         F.lit(None).cast("timestamp").alias("timestamp_last"), F.array(F.lit("line")).alias("first_lines"),
-        requests.messages("rules", F.concat("lang", F.lit("|"), F.col("doc_id").cast("string"))).alias("messages"))
+        requests.messages("rules", F.col("text")).alias("messages"))
 
     @F.pandas_udf("string")
     def model(messages: pd.Series) -> pd.Series:
         def answer(m):
             asked = next(x["content"] for x in m if x["role"] == "user")
-            lang, doc_id = asked.rsplit("\n", 1)[1].split("|")
-            even = int(doc_id) % 2 == 0
-            good = f'{{"alerts":[{{"title":"{lang}","severity":"{"high" if even else "low"}"}}]}}'
+            even = (len(asked) - len(asked.split("\n\n")[0]) - 2) % 2 == 0
+            good = f'{{"alerts":[{{"title":"{hashlib.md5(asked.encode()).hexdigest()}","severity":"{"high" if even else "low"}"}}]}}'
             return good if even or m[-1]["content"] == "fix" else '{"alerts":["just text"]}'
 
         return messages.map(answer)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -25,15 +26,30 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # A missing dictionary key or array slot is a null here, never a failed job.
     spark.conf.set("spark.sql.legacy.sizeOfNull", "false")
+    # Of a key given twice in an object the last one counts.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # Python workers get rows by size as well as by number, so long texts do not add up.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
+def fix_splits(spark: SparkSession) -> None:
+    """Make two reads of the same files cut them alike, whatever executors come or go between them.
+
+    Split sizes follow the default parallelism of the moment unless a minimum number of partitions is set.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
+    """The shared folder named by the cluster; a temporary one only where none is named and all runs on one machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberlog-"))
         current = sc.getCheckpointDir()
     return current

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.session import broadcast_if_small, materialize
+from emberlog.session import broadcast_if_small, fix_splits, materialize
 
 SAMPLE_LINES = 20
-# One row per input split: 100 TB in splits of 128 MB are 800 000 rows of about 150 bytes.
-SPLIT_ROWS = 4_000_000
-SPLIT_BYTES = 512 * 2**20
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """``source_file, block_start, row_id, raw`` for every line that is not blank.
+    """``source_file, block_start, block_length, row_id, raw`` for every line that is not blank.
 
     Lines of one file are ordered by ``(block_start, row_id)``: a block is one input split, and row ids
     grow without gaps inside it because they are given after blank lines have been dropped.
@@ -25,10 +22,11 @@ def scan_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFr
         lines.select(
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block_start"),
+            F.col("_metadata.file_block_length").alias("block_length"),
             F.make_valid_utf8("value").alias("raw"),
         )
         .filter(F.col("raw").rlike(r"\S"))
-        .select("source_file", "block_start", F.monotonically_increasing_id().alias("row_id"), "raw")
+        .select("source_file", "block_start", "block_length", F.monotonically_increasing_id().alias("row_id"), "raw")
     )
 
 
@@ -48,21 +46,26 @@ def number_lines(lines: DataFrame) -> DataFrame:
     A first narrow pass counts lines per input split. The running sum of those counts (one row per split, never
     per line) gives each split its offset, so no task ever sorts or holds a whole file. The offsets are broadcast
     when counted small; otherwise the join is on the split, which bounds every group by the split size.
+
+    Both passes have to cut the files alike, so the number of splits is fixed first. A line whose split was not counted
+    with the same start and length fails the job: none is ever left out.
     """
+    fix_splits(lines.sparkSession)
+    split = ["source_file", "block_start", "block_length"]
     splits = materialize(
-        lines.groupBy("source_file", "block_start").agg(
+        lines.groupBy(*split).agg(
             F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n")
         )
     )
     earlier = Window.partitionBy("source_file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        "source_file",
-        "block_start",
+        *split,
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
+    lost = F.raise_error(F.concat(F.lit("the file was cut differently when its lines were counted: "), "source_file"))
     return (
-        lines.join(broadcast_if_small(offsets, SPLIT_ROWS, SPLIT_BYTES), ["source_file", "block_start"])
-        .select("source_file", (F.col("row_id") + F.col("_shift")).alias("line_no"), "raw")
+        lines.join(broadcast_if_small(offsets), split, "left")
+        .select("source_file", (F.col("row_id") + F.coalesce("_shift", lost.cast("bigint"))).alias("line_no"), "raw")
     )
 
 

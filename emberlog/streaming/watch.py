@@ -6,6 +6,7 @@ named by its id; a batch run again after a failure replaces its own output, so r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -17,9 +18,10 @@ from emberlog.operators import chunks as chunking
 from emberlog.operators import findings, requests
 from emberlog.operators.alerts import at_least
 from emberlog.plans.analyze import analyze_lines, answered
+from emberlog.operators.slices import DAY
 from emberlog.schema import MAX_CONTEXT_CHARS
 from emberlog.session import materialize
-from emberlog.sources.alert_tables import read_alerts, write_batch, write_ioc_delta
+from emberlog.sources.alert_tables import MODEL, WATCH, read_alerts, write_batch, write_ioc_delta
 
 # --- fixed values -----------------------------------------------------------------
 POLL = "5 seconds"
@@ -32,7 +34,7 @@ _STATE = "run_index bigint, line string, batch_id bigint"
 
 def tail_lines(spark: SparkSession, folder: str, since: str | None = None,
                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming lines of new files: ``source_file, block_start, raw``; ``since`` leaves out files last changed earlier."""
+    """Streaming lines of new files: ``source_file, block_start, block_length, raw``; ``since`` leaves out files last changed earlier."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -42,6 +44,7 @@ def tail_lines(spark: SparkSession, folder: str, since: str | None = None,
     return lines.select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_block_length").alias("block_length"),
         F.make_valid_utf8("value").alias("raw"),
     ).filter(F.col("raw").rlike(r"\S"))
 
@@ -49,15 +52,22 @@ def tail_lines(spark: SparkSession, folder: str, since: str | None = None,
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, since: str | None = None,
           fmt: str | None = None, on_alerts: Callable[[DataFrame, int], None] | None = None,
           min_severity: str = MIN_SEVERITY, available_now: bool = False, poll: str = POLL,
-          max_files_per_trigger: int | None = None, **options) -> StreamingQuery:
-    """Start watching. ``on_alerts(alerts, batch_id)`` gets each batch's alerts of at least ``min_severity``."""
+          max_files_per_trigger: int | None = None, lookback: int = DAY, **options) -> StreamingQuery:
+    """Start watching. ``on_alerts(alerts, batch_id)`` gets each batch's alerts of at least ``min_severity``.
+
+    Each batch is searched together with what came before it, ``lookback`` seconds back and more, so a burst that spans
+    batches is one finding. Lines older than those of earlier batches may leave the shorter version of a finding beside the
+    longer one. The feed is named after the checkpoint's own id: a watch with a new checkpoint never touches an old one's
+    folders.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         lines = batch.select(
-            "source_file", "block_start", F.monotonically_increasing_id().alias("row_id"), "raw")
-        analyze_lines(lines, out, batch_id, fmt, **options)
+            "source_file", "block_start", "block_length", F.monotonically_increasing_id().alias("row_id"), "raw")
+        feed = _feed(batch.sparkSession, checkpoint)
+        analyze_lines(lines, out, batch_id, fmt, feed=feed, lookback=lookback, **options)
         if on_alerts:
-            stored = read_alerts(batch.sparkSession, out, batch_id)
+            stored = read_alerts(batch.sparkSession, out, batch_id, feed)
             on_alerts(at_least(stored, min_severity), batch_id)
 
     writer = tail_lines(spark, folder, since, max_files_per_trigger).writeStream.foreachBatch(handle).option(
@@ -66,6 +76,11 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, since: st
     return writer.trigger(**trigger).start()
 
 
+def _feed(spark: SparkSession, checkpoint: str) -> str:
+    """A name for one watch: the id that its checkpoint was given."""
+    return WATCH + "-" + json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"][:8]
+
+
 def continue_numbering(chunks: DataFrame, spark: SparkSession, state: str, batch_id: int) -> DataFrame:
     """Add ``run_index``, a chunk number that goes on from the batches before: files in name order, then their chunks.
 
@@ -118,8 +133,8 @@ def score_batch(parsed: DataFrame, out: str, batch_id: int, model: Callable, sys
     rows = table.withColumn("chunk_index", F.col("run_index")).withColumn(
         "messages", requests.messages(system_text, F.col("chunk_text"), None, context))
     replies = materialize(answered(rows, model, repair_text))
-    write_batch(findings.alerts_from_responses(replies), out, batch_id)
-    write_ioc_delta(spark, out, batch_id)
+    write_batch(findings.alerts_from_responses(replies), out, batch_id, MODEL)
+    write_ioc_delta(spark, out, batch_id, MODEL)
     read = findings.read_responses(replies)
     no_items = F.array().cast("array<variant>")
     line = requests.context_line(F.col("run_index"), F.coalesce("items", no_items), F.col("chunk_summary"))

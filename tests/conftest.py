@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]").appName("emberlog-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="emberlog-"))
         .config("spark.driver.memory", "8g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

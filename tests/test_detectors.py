@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from emberlog import analyze, number_lines, parse_corpus, scan_lines
+from emberlog import analyze, number_lines, parse_corpus, parse_lines, scan_lines
 from emberlog.operators import detectors as det
-from emberlog.operators.alerts import by_ioc
-from emberlog.sources.alert_tables import read_alerts, read_iocs
+from emberlog.operators.alerts import by_ioc, by_severity
+from emberlog.sources.alert_tables import compact, read_alerts, read_current, read_iocs
 
 
 def incident() -> list[str]:
@@ -30,14 +31,14 @@ def test_incident(spark, tmp_path):
     assert {(a.severity, a.title) for a in alerts} == {
         ("HIGH", "Brute force from 198.51.100.9"), ("HIGH", "Credential stuffing from 198.51.100.9"),
         ("CRITICAL", "Login after failures from 198.51.100.9"), ("HIGH", "Privilege escalation by pi"),
-        ("CRITICAL", "Account change for ghost"), ("HIGH", "Account change for eve")}
+        ("CRITICAL", "Account change for ghost"), ("HIGH", "Account change for eve"), ("LOW", "Failed logins from 10.0.0.5")}
     brute = next(a for a in alerts if a.title.startswith("Brute"))
     assert brute.iocs == ["198.51.100.9"] and len(brute.affected_lines) >= 1 and brute.log_format == "syslog"
     assert brute.source_file.endswith("auth.log") and brute.remediation.command == "iptables -I INPUT -s 198.51.100.9 -j DROP"
     stuffing = next(a for a in alerts if a.title.startswith("Credential"))
     assert stuffing.affected_lines == incident()[1:11] and stuffing.timestamp_first == dt.datetime(2000, 2, 2, 10, 5, 0)
-    assert analyze(spark, str(tmp_path / "auth.log"), out).count() == 6  # the same batch again adds nothing
-    assert read_alerts(spark, out).count() == 6
+    assert analyze(spark, str(tmp_path / "auth.log"), out).count() == 7  # the same findings again add nothing
+    assert read_alerts(spark, out).count() == 7
     assert by_ioc(read_alerts(spark, out), "198.51.100.9").count() == 3
     assert {r.value: r.alert_count for r in read_iocs(spark, out).collect()}["198.51.100.9"] == 3
 
@@ -121,3 +122,65 @@ def test_baseline_and_text_pairs_through_files(spark, tmp_path):
     known = spark.createDataFrame([("10.0.0.0", "10.0.9.9")], "src string, dst string")
     alerts = analyze(spark, str(tmp_path / "j.log"), str(tmp_path / "out"), baseline=known).collect()
     assert [(a.title, len(a.affected_lines), a.severity) for a in alerts] == [("New internal connection from 10.0.0.1", 2, "MEDIUM")]
+
+
+def test_runs_keep_each_others_alerts(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for k in (1, 2):
+        (tmp_path / f"{k}.log").write_text("\n".join(line.replace("198.51.100.9", f"198.51.100.{k}") for line in incident()))
+        analyze(spark, str(tmp_path / f"{k}.log"), out)
+    assert {f"198.51.100.{k}" for k in (1, 2)} <= {r.value for r in read_iocs(spark, out).collect()}
+    compact(spark, out)
+    high = by_severity(read_current(spark, out), "HIGH")
+    assert high.count() == by_severity(read_alerts(spark, out), "HIGH").count()
+    plan = high._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [severity" in plan or "PartitionFilters: [isnotnull(severity" in plan or "severity#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_files_cut_otherwise_fail_the_job(spark, tmp_path):
+    """Lines are numbered by a count per split; a read that cuts the files in other splits must not lose any."""
+    (tmp_path / "a.log").write_text("\n".join(f"line {i}" for i in range(200_000)))
+    numbered = number_lines(scan_lines(spark, str(tmp_path)))
+    assert numbered.agg(F.countDistinct("line_no"), F.max("line_no")).first() == (200_000, 200_000)
+    before = spark.conf.get("spark.sql.files.minPartitionNum")
+    fresh = number_lines(scan_lines(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        with pytest.raises(Exception, match="cut differently"):
+            fresh.agg(F.count("line_no")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.conf.get("spark.sql.files.minPartitionNum") == before
+
+
+def attacks(path):
+    bad = "/x?q=%2527%2520OR%25201%253D1"  # encoded twice
+    json_lines = [f'{{"time":"2024-03-03T04:00:{i:02d}","client_ip":"198.51.100.8","path":"{bad if i == 1 else f"/p/{i}"}","status_code":{404 if i > 30 else 200},'
+                  f'"user_agent":"{"sqlmap/1" if i == 2 else "x"}","bytes_sent":{10**9 if i == 3 else 5},"message":"m"}}' for i in range(60)]
+    (path / "app.json").write_text("\n".join(json_lines))
+    (path / "fw.log").write_text("\n".join(
+        f"2024-03-03 05:00:{i:02d} fw kernel[1]: DROP IN=eth0 SRC=198.51.100.7 DST=10.0.0.1 PROTO=TCP DPT={1000 + i}" for i in range(25)))
+    (path / "app.log").write_text("2024-03-03 06:00:00 web app[1]: request body <script>alert(1)</script>\n2024-03-03 06:00:01 web app[1]: fine")
+
+
+def test_rules_on_every_format(spark, tmp_path):
+    attacks(tmp_path)
+    parsed = parse_corpus(number_lines(scan_lines(spark, str(tmp_path))))
+    found = {(r.category, r.subject) for r in det.detect_all(parsed).collect()}
+    assert {("sql_injection", "198.51.100.8"), ("suspicious_agent", "198.51.100.8"), ("exfiltration", "198.51.100.8"), ("scan", "198.51.100.8"),
+            ("scan", "198.51.100.7"), ("xss", "web")} <= found
+
+
+def test_windows_account_events(spark):
+    text = "A user account was created. Subject: Account Name: admin New Account: Account Name: ghost"
+    rows = parse_lines(spark.createDataFrame([("e.csv", 1, f'x,"{text}"'), ("e.csv", 2, 'x,"The audit log was cleared."')], "source_file string, line_no bigint, raw string"),
+                       "windows_csv", header=["Level", "Message"])
+    got = {(r.category, r.severity, r.subject) for r in det.account_change(rows).unionByName(det.clears(rows)).collect()}
+    assert got == {("account_change", "HIGH", "ghost"), ("log_restart", "INFO", "e.csv")}
+
+
+def test_evidence_of_lines_without_a_time(spark, tmp_path):
+    (tmp_path / "a.log").write_text("no time: request /x?f=../../etc/passwd\nother")
+    out = str(tmp_path / "out")
+    alert = analyze(spark, str(tmp_path / "a.log"), out).first()
+    assert alert.affected_lines == ["no time: request /x?f=../../etc/passwd"] and alert.source_file.endswith("a.log") and alert.timestamp_first is None

@@ -103,3 +103,16 @@ def test_scoring_round(spark):
 
     got = {(r.chunk_index, r.title) for r in score_requests(reqs, model, "fix it").collect()}
     assert got == {(0, "zero"), (1, "repaired"), (3, "Analysis error")}
+
+
+def test_answers_out_of_shape(spark):
+    rows = [(0, "{'alerts': [{'title': 'x'}]}"), (1, '{"alerts": [{"title": "a"}], "alerts": [{"title": "b"}]}'),
+            (2, '{"alerts": [{"title": "a", "title": "c"}]}'), (3, None), (4, '{"alerts": ""}'), (5, '{"alerts": "text"}')]
+    answers = spark.createDataFrame(rows, "chunk_index bigint, response string").withColumns({
+        "source_file": F.lit("f"), "log_format": F.lit("syslog"), "first_lines": F.array(F.lit("l")),
+        "timestamp_first": F.lit(None).cast("timestamp"), "timestamp_last": F.lit(None).cast("timestamp")})
+    got = {r.chunk_index: (r.title, r.description) for r in findings.alerts_from_responses(answers).collect()}
+    assert got[0][0] == got[3][0] == findings.ERROR_TITLE and got[0][1].startswith(findings.ERROR_TEXT) and got[3][1] == findings.NO_ANSWER
+    assert got[1][0] == "b" and got[2][0] == "c" and set(got) == {0, 1, 2, 3}
+    again = {r.chunk_index for r in findings.read_responses(answers).filter("needs_repair").collect()}
+    assert again == {5}

@@ -21,7 +21,7 @@ def db():
     return db
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, db, name):
     got = entry.queries()[name](spark, SF_DIR).toPandas()
     want = db.sql(entry.oracle_sql()[name]).df()

@@ -33,7 +33,33 @@ def test_watch(spark, tmp_path):
     run()  # nothing new
     assert seen == [(0, ["Brute force from 203.0.113.1"]), (1, ["Brute force from 203.0.113.1"])]
     assert read_alerts(spark, out).count() == 2
-    assert {r.value: r.alert_count for r in read_ioc_counters(spark, out).collect()} == {"203.0.113.1": 2}
+    # one burst over both batches, stored twice, and two failures of another source
+    assert {r.title for r in read_alerts(spark, out).collect()} == {"Brute force from 203.0.113.1", "Failed logins from 203.0.113.2"}
+    assert {r.value: r.alert_count for r in read_ioc_counters(spark, out).collect()} == {"203.0.113.1": 2, "203.0.113.2": 1}
+
+
+def test_a_burst_over_two_batches(spark, tmp_path):
+    """Eight failures in each of two files, read one at a time, are the burst that they are in one file."""
+    lines = failures("203.0.113.7", 1, 16)
+    for folder, parts in (("two", (lines[:8], lines[8:])), ("one", (lines,))):
+        (tmp_path / folder).mkdir()
+        for k, part in enumerate(parts):
+            (tmp_path / folder / f"{k}.log").write_text("\n".join(part))
+            os.utime(tmp_path / folder / f"{k}.log", (1_700_000_000 + k, 1_700_000_000 + k))
+        w.watch(spark, str(tmp_path / folder), str(tmp_path / f"{folder}-out"), str(tmp_path / f"{folder}-cp"), available_now=True,
+                max_files_per_trigger=1).awaitTermination()
+    got = {f: sorted((a.id, a.title, a.timestamp_first, a.timestamp_last, a.description) for a in read_alerts(spark, str(tmp_path / f"{f}-out")).filter(
+        "severity = 'HIGH'").collect()) for f in ("one", "two")}
+    assert len(got["one"]) == 1 and got["one"] == got["two"]
+
+
+def test_a_new_checkpoint_starts_a_new_feed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out = str(tmp_path / "out")
+    for k in (1, 2):
+        (tmp_path / "in" / "a.log").write_text("\n".join(failures(f"203.0.113.{k}", 1, 12)))
+        w.watch(spark, str(tmp_path / "in"), out, str(tmp_path / f"cp{k}"), available_now=True).awaitTermination()
+    assert {r.title for r in read_alerts(spark, out).collect()} == {"Brute force from 203.0.113.1", "Brute force from 203.0.113.2"}
 
 
 def test_since_leaves_out_old_files(spark, tmp_path):
