@@ -55,28 +55,31 @@ def op1_mixing(spark, sf_dir):
 
 
 @query(r"""
-WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+WITH ended AS (SELECT doc_id, regexp_replace(text, '([.!?][ \t]+|\n)', '\1' || chr(1), 'g') AS t FROM documents),
+cut AS (SELECT doc_id, string_split(regexp_replace(t, '([ \t])(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM ended),
 every AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM cut),
 worded AS (
-  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM every),
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM every),
 placed AS (
   SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM worded WHERE words > 0),
 runs AS (
-  SELECT doc_id, pos, max(pos) OVER run AS last, sum(words) OVER run AS n, list(line) OVER run AS content FROM placed
-  WINDOW run AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+  SELECT doc_id, pos, max(pos) OVER ahead AS last, sum(words) OVER ahead AS n, list(line) OVER ahead AS content FROM placed
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)
+  UNION SELECT doc_id, min(pos) OVER back, pos, sum(words) OVER back, list(line) OVER back FROM placed
+  WINDOW back AS (PARTITION BY doc_id ORDER BY start + words RANGE BETWEEN 39 PRECEDING AND CURRENT ROW)),
 firsts AS (
-  SELECT *, first_value(doc_id) OVER before AS first_doc, first_value(last) OVER before AS first_last FROM runs WHERE n >= 50
+  SELECT *, first_value(doc_id) OVER before AS first_doc, first_value(last) OVER before AS first_last FROM runs WHERE n >= 40
   WINDOW before AS (PARTITION BY content ORDER BY doc_id, pos)),
 later AS (SELECT doc_id, pos, last FROM firsts WHERE doc_id <> first_doc OR pos > first_last),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later),
 kept AS (
-  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS lines_deleted
+  SELECT e.doc_id, string_agg(e.line, '' ORDER BY e.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS lines_deleted
   FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(lines_deleted, 0)::BIGINT AS lines_deleted
 FROM documents d LEFT JOIN kept k USING (doc_id)""")
 def op10_line_dedup(spark, sf_dir):
-    """All documents without later copies of passages of 50 words or more."""
+    """All documents without later copies of passages (runs of whole lines of 40 words or more)."""
     deduped = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     deleted = F.aggregate("deleted_runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     return deduped.select("doc_id", "text", deleted.alias("lines_deleted"))
