@@ -28,8 +28,8 @@ def _conversations(spark, sf_dir):
     """Tokens per conversation; its first answer stands for the summary."""
     rows = fx.table(spark, sf_dir, "conversations")
     told = F.when(F.col("role") == "assistant", F.col("turn"))
-    summaries = rows.groupBy("conv_id").agg(F.min_by("text", told).alias("summary"))
-    return budget.messages_tokens(rows, ["conv_id"], "text").join(summaries, "conv_id")
+    return rows.groupBy("conv_id").agg(
+        F.sum(budget.message_tokens(F.col("text"))).alias("tokens"), F.min_by("text", told).alias("summary"))
 
 
 @query(f"WITH {_CONV} SELECT conv_id, tokens FROM c")

@@ -28,12 +28,14 @@ _LOGIN = f"""CASE WHEN event_type = 'error'
 
 
 @query(_E + f"""
-SELECT event_id AS line_no, coalesce({_FACILITY}, CAST((event_id % 192) // 8 AS VARCHAR)) AS facility, {_LEVEL} AS level
-FROM e""")
+SELECT source_file, event_id AS line_no, coalesce({_FACILITY}, CAST((event_id % 192) // 8 AS VARCHAR)) AS facility, {_LEVEL} AS level
+FROM e, (VALUES ('bsd.log'), ('rfc5424.log')) v(source_file)""")
 def syslog_pri_decode(spark, sf_dir):
-    pri = syslog.pri_of(F.col("raw"))
-    return fx.rfc5424(spark, sf_dir).select(
-        "line_no", syslog.facility(pri).alias("facility"), syslog.level(pri).alias("level"))
+    """Priorities of lines of both grammars, as the parser reads them."""
+    pri = F.concat(F.lit("<"), (F.col("line_no") % 192).cast("string"), F.lit(">"))
+    bsd = fx.bsd(spark, sf_dir).withColumn("raw", F.concat(pri, "raw"))
+    lines = bsd.unionByName(fx.rfc5424(spark, sf_dir).withColumn("source_file", F.lit("rfc5424.log")))
+    return parse_lines(lines, "syslog").select("source_file", "line_no", "facility", "level")
 
 
 @query(_E + """
