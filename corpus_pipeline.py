@@ -34,9 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words or more are deleted; documents of which nothing is left go."""
     configure(spark)
-    runs = free_name(docs, "deleted")
-    deduped = linededup.dedup_lines(docs, runs=runs)
-    kept = deduped.filter((F.size(runs) == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    runs, passages = free_name(docs, "deleted"), free_name(docs, "copied")
+    deduped = linededup.dedup_lines(docs, runs=runs, passage_words=linededup.PASSAGE_WORDS, passages=passages)
+    kept = deduped.filter(((F.size(runs) == 0) & (F.size(passages) == 0)) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return _shape(kept, docs)
 
 
