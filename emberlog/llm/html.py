@@ -224,9 +224,10 @@ def _neighbours(rows: Iterator[dict]) -> Iterator[tuple[dict, list[int]]]:
 def boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, version, drop): of pages, the blocks shared with the nearest page of the host by URL path that are no main part.
 
-    Pages are put in order of host and path over all tasks, so a host with a third of all pages is many tasks' work. Each page
-    is aligned with the one before or after it on its host, whichever shares more of the path (the one before if equal). Pages
-    at the border of two tasks, two from each end, are aligned in one further task: a few rows for each partition.
+    Pages of one host with equal blocks (re-crawls, mirrors, repeated rows) are one page, at the least of their paths: a page
+    is compared with one that differs, and all its copies lose the same blocks. Pages are put in order of host and path over
+    all tasks, so a host with a third of all pages is many tasks' work. Each page is aligned with the one before or after it
+    on its host, whichever shares more of the path (the one before if equal). Pages at the border of two tasks, two from each end, are aligned in one further task: a few rows for each partition.
     """
     spark = pages.sparkSession
     kind = pages.schema[key].dataType.simpleString()
@@ -246,12 +247,14 @@ def boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     shape = f"key {kind}, version long, host string, path string, lines array<long>, main array<boolean>"
     named = pages.select(F.col(key).alias("key"), F.xxhash64(url, html).alias("version"), F.col(url).alias("url"), F.col(html).alias("html"))
     lines = stored(named.mapInArrow(read, shape), "lines")
-    order = ["host", "path", "key", "version"]
+    distinct = lines.filter("host IS NOT NULL").groupBy("host", F.xxhash64("lines").alias("content")).agg(
+        F.min("path").alias("path"), F.first("lines").alias("lines"), F.max(~F.exists("main", lambda m: m)).alias("plain"))
+    order = ["host", "path", "content"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     schema = pa.schema([
-        ("key", _arrow(kind)), ("version", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())),
-        ("main", pa.list_(pa.bool_())), ("shared", pa.list_(pa.int32())), ("at_end", pa.bool_()), ("border", pa.bool_())])
+        ("host", pa.string()), ("content", pa.int64()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("plain", pa.bool_()),
+        ("shared", pa.list_(pa.int32())), ("at_end", pa.bool_()), ("border", pa.bool_())])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition: its rows but for the first and last, which are not settled here, and as border rows two from each end."""
@@ -278,17 +281,15 @@ def boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         if done:
             yield pa.RecordBatch.from_pylist(done, schema)
 
-    result = shape + ", shared array<int>, at_end boolean, border boolean"
-    ordered = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    result = "host string, content long, path string, lines array<long>, plain boolean, shared array<int>, at_end boolean, border boolean"
+    ordered = stored(distinct, "distinct").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     aligned = stored(ordered.mapInArrow(align, result), "aligned")
     borders = aligned.filter("border").repartition(1).sortWithinPartitions(*order).mapInArrow(settle, result)
     every = aligned.filter("not border").unionByName(borders)
-    drop = F.filter("shared", lambda k: ~F.element_at("main", k + 1))
-    return every.filter(~F.exists("main", lambda m: m)).select("key", "version", drop.alias("drop")).filter(F.size("drop") > 0)
-
-
-def _arrow(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+    found = stored(every.filter("plain AND size(shared) > 0").select("host", "content", "shared"), "shared")
+    plain = lines.filter(~F.exists("main", lambda m: m) & F.col("host").isNotNull()).select("key", "version", "host", F.xxhash64("lines").alias("content"))
+    # both sides stored, so the rows of a page with many copies can be split
+    return stored(plain, "plain").join(found, ["host", "content"]).select("key", "version", F.col("shared").alias("drop"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
@@ -297,7 +298,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     Blocks of menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go by their elements,
     roles and names. If a page marks an article or a main part, its blocks are the text. Of other pages the blocks shared with
     the nearest page of the host go. A null or empty page has an empty text; a page without a host or alone on its host has no
-    neighbour; rows equal in key, URL and page are one page; an empty table gives an empty one.
+    neighbour; pages of a host with equal blocks are one page; an empty table gives an empty one.
     """
     inner, names = hidden(pages)
     key_, url_, html_ = names[key], names[url], names[html]

@@ -77,3 +77,17 @@ def test_awkward_rows(spark):
     assert by[None, "http://two.org/x"] == by[4, "http://two.org/x"] == by[None, None] == ""
     assert by[5, "http://two.org/y"].count("\n\n") == 19_999
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_copies_of_unmarked_pages_keep_their_text(spark):
+    """Repeated rows, re-crawls and mirrors of a page are one page: it is compared with one that differs, if there is one."""
+    bare = lambda i: f"<body><p>story {i} text</p><p>more {i}</p></body>"
+    rows = [(1, "http://h.org/a/1", story(1)), (1, "http://h.org/a/1", story(1)), (2, "http://h.org/a/1", story(1)), (3, "http://h.org/z/1?x", story(1)),
+            (None, "http://h.org/a/0", story(1)), (4, "http://h.org/a/2", story(2)), (5, "http://h.org/b/2", story(2) + " <!-- other -->"),
+            (6, "http://alone.org/a", bare(6)), (6, "http://alone.org/a", bare(6)), (7, "http://alone.org/b", bare(6)),
+            (8, "http://m.org/a", bare(8)), (9, "http://m.org/b", f"<article>{bare(8)}</article>"), (10, "http://m.org/c", bare(8))]
+    rows += [(100 + i, f"http://many.org/{i % 7}/{i}", story(100 if i % 3 else 101)) for i in range(90)]
+    pages = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    want = {1: 1, 2: 1, 3: 1, None: 1, 4: 2, 5: 2, 6: 6, 7: 6, 8: 8, 9: 8, 10: 8} | {100 + i: 100 if i % 3 else 101 for i in range(90)}
+    got = html.extract(pages).collect()
+    assert len(got) == len(rows) and {(r.page_id, r.text) for r in got} == {(k, f"story {i} text\n\nmore {i}") for k, i in want.items()}
