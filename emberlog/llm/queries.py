@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, simhash, toxicity, warc
+from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, pieces, simhash, toxicity, warc
 from emberlog.llm.common import table
 from emberlog.session import broadcast_if_small
 
@@ -181,3 +181,11 @@ def op7_warc(spark, sf_dir):
     shown = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
     return found.select(page("record_id").alias("page_id"), "url", F.col("at").alias("revisit_ms"), "outcome",
                         page("response_id").alias("response_page_id"), F.col("response_at").alias("response_ms"), shown.alias("headers"))
+
+
+@query()
+def op13_sentencepiece(spark, sf_dir):
+    """Every whole document encoded with a public vocabulary and decoded again: digests of ids and text."""
+    import public_tokenizers
+
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
