@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, pieces, simhash, toxicity, warc
+from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, pieces, simhash, spelling, toxicity, warc
 from emberlog.llm.common import table
 from emberlog.session import broadcast_if_small
 
@@ -189,3 +189,43 @@ def op13_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(r"""
+WITH polynomial AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256))::BIGINT AS b)),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, times, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(hx), 2), lambda i: ('0x' || hx[i:i + 1])::BIGINT)),
+    lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM counted, polynomial),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed),
+vocab AS (SELECT word, sum(times)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS (SELECT word, n, j, substr(word, 1, j - 1) || substr(word, j + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS j FROM vocab)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.j = b.j AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN vocab v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cut c JOIN vocab v ON c.rest = v.word),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM pairs GROUP BY word),
+formed AS (
+  SELECT v.word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM vocab v LEFT JOIN near USING (word)),
+followed AS (
+  WITH RECURSIVE f AS (
+    SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT f.word, g.form FROM f JOIN formed g ON f.root = g.word WHERE g.form IS NOT NULL)
+  SELECT f.word, f.root FROM f JOIN formed g ON f.root = g.word WHERE g.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near::BIGINT AS n_near, form_n FROM formed LEFT JOIN followed USING (word)""")
+def op11_spelling(spark, sf_dir):
+    """The words of all documents (a letter missing here and there), the words near each, and the common form each belongs to."""
+    found = spelling.runs(table(spark, sf_dir, "documents"), least=7)
+    place = F.crc32(F.encode(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word")), "UTF-8"))
+    slip = spelling.without_letter(F.col("word"), (F.col("_h") % F.char_length("word")).cast("int"))
+    words = found.withColumn("_h", place).select(F.when(F.col("_h") % 31 == 0, slip).otherwise(F.col("word")).alias("word"))
+    return spelling.group_variants(spelling.vocabulary(words))
