@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, pieces, simhash, spelling, toxicity, warc
-from emberlog.llm.common import table
+from emberlog.llm import chat, decontam, embeddings, html, langid, linededup, mixing, pieces, simhash, spelling, toxicity, trie, warc
+from emberlog.llm.common import stored, table
 from emberlog.session import broadcast_if_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,41 @@ def op11_spelling(spark, sf_dir):
     slip = spelling.without_letter(F.col("word"), (F.col("_h") % F.char_length("word")).cast("int"))
     words = found.withColumn("_h", place).select(F.when(F.col("_h") % 31 == 0, slip).otherwise(F.col("word")).alias("word"))
     return spelling.group_variants(spelling.vocabulary(words))
+
+
+@query(r"""
+WITH crc AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256))::BIGINT AS b)),
+said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM said), crc),
+rebuilt AS (
+  SELECT c.conv_id, p, t FROM convs c JOIN said s ON s.conv_id = c.conv_id - c.conv_id % 100 AND p < h
+  UNION ALL SELECT c.conv_id, p, t FROM convs c JOIN said s ON s.conv_id = c.conv_id AND p >= h),
+deep AS (
+  SELECT conv_id, row_number() OVER w AS depth, list(t) OVER w AS path FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING)),
+placed AS (SELECT conv_id, 0 AS depth, deep.path[1:0] AS path FROM convs LEFT JOIN (SELECT path FROM deep LIMIT 1) deep ON true UNION ALL SELECT * FROM deep),
+sizes AS (SELECT conv_id, max(depth) AS m FROM placed GROUP BY conv_id),
+nodes AS (
+  SELECT depth, coalesce(path, []) AS path, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (m = depth), '') AS ends
+  FROM placed JOIN sizes USING (conv_id) GROUP BY ALL),
+kids AS (SELECT a.depth, a.path, count(b.path) AS n_children FROM nodes a LEFT JOIN nodes b ON b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path GROUP BY a.depth, a.path),
+full_nodes AS (SELECT * FROM nodes JOIN kids USING (depth, path)),
+below AS (
+  SELECT a.depth, a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(CASE WHEN b.depth > 0 THEN (b.n - 1) * length(b.path[b.depth].text) ELSE 0 END) AS saved
+  FROM full_nodes a JOIN full_nodes b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY a.depth, a.path)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN below USING (depth, path) LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.path = f.path[1:f.depth - 1]""")
+def op12_prefix_trie(spark, sf_dir):
+    """All conversations, each rebuilt on the first turns of one it shares with others, as a trie of their prefixes."""
+    own = stored(trie.conversations(table(spark, sf_dir, "conversations")), "conversations")
+    shared = own.select(F.col("conv_id").alias("_base"), F.col("turns").alias("_turns"))
+    turns = own.withColumn("_base", F.col("conv_id") - F.col("conv_id") % 100).withColumn("_h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6)
+    none = F.slice("turns", 1, 0)
+    rebuilt = F.concat(F.slice(F.coalesce("_turns", none), F.lit(1), F.col("_h").cast("int")), F.slice("turns", F.col("_h").cast("int") + 1, F.size("turns")))
+    return trie.prefix_trie(turns.join(shared, "_base", "left").select("conv_id", rebuilt.alias("turns")))
