@@ -117,17 +117,20 @@ def target_port() -> Column:
     return F.coalesce(*[F.try_element_at("extra", F.lit(k)) for k in rules.PORT_FIELDS], _named(rules.PORT))
 
 
-def matching_rules() -> Column:
-    """Names of the request rules a line matches.
+def matching_rules(categories: list[str] | None = None) -> Column:
+    """Names of the request rules a line matches, of all rules or of ``categories``.
 
     Paths are tested percent-decoded twice at most. Lines of other formats that name no path are tested by their message.
     """
+    asked = {c: r for c, r in rules.REQUEST_RULES.items() if categories is None or c in categories}
 
-    def flags(text: Column) -> Column:
+    def flags(text: Column | None) -> Column:
         tested = {"decoded_path": text, "user_agent": user_agent()}
-        hits = [F.when(tested[col].rlike(pattern), c) for c, (_, col, pattern) in rules.REQUEST_RULES.items()]
-        return F.array_compact(F.array(*hits))
+        hits = [F.when(tested[col].rlike(pattern), c) for c, (_, col, pattern) in asked.items()]
+        return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
+    if not any(col == "decoded_path" for _, col, _ in asked.values()):
+        return flags(None)
     once = let(requested(), lambda p: F.coalesce(F.try_url_decode(p), p))
     twice = let(once, lambda p: F.when(p.contains("%"), F.coalesce(F.try_url_decode(p), p)).otherwise(p))
     message = F.when(F.col("format") != "clf", F.col("message"))
@@ -141,12 +144,13 @@ def internal_peer() -> Column:
     return F.when(is_private_ip(F.col("source_ip")), peer)
 
 
-def tag(parsed: DataFrame) -> DataFrame:
+def tag(parsed: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Add everything the detectors read out of texts, so that a stored table pays for it once.
 
     ``sec, login_failed, login_ok, login_user, privileged, changed, made_root, peer, rules``, and ``origin`` (address, else
     host, else file), ``target`` (path, else port), ``answered`` (status) and ``sent`` (bytes). A table that has the tags
-    already is returned as it is; tags a detector does not use are never computed.
+    already is returned as it is; tags a detector does not use are never computed. With ``categories`` only these request
+    rules are tested.
     """
     if "rules" in parsed.columns:
         return parsed
@@ -160,7 +164,7 @@ def tag(parsed: DataFrame) -> DataFrame:
         "restarted": cleared_log(),
         "made_root": _matches(rules.NEW_USER) & F.col("message").rlike(rules.UID_ZERO),
         "peer": internal_peer(),
-        "rules": matching_rules(),
+        "rules": matching_rules(categories),
         "origin": F.coalesce("source_ip", "host", "source_file"),
         "target": F.coalesce(requested(), F.concat(F.lit(":"), target_port())),
         "answered": answer_status(),
@@ -224,7 +228,7 @@ def success_after_failures(parsed: DataFrame, window_seconds: int = 3600, min_fa
 
 def matched_rules(parsed: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Lines with the request rules they match, one row per line and rule; one pass for all rules, no join."""
-    lines = tag(parsed).withColumn("category", F.explode("rules"))
+    lines = tag(parsed, categories).withColumn("category", F.explode("rules"))
     return lines.filter(F.col("category").isin(categories)) if categories else lines
 
 

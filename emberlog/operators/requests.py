@@ -39,11 +39,12 @@ def rolling_context(chunks: DataFrame, keys: list[str], order: str = "chunk_inde
     Only a bounded tail can matter: a line takes at least 11 characters (``[chunk 0] x``) and a line feed, so
     ``max_chars // 12 + 2`` lines always exceed the cut. Chunks with a line are numbered densely and cut into
     blocks; each block also gets that many lines of the one before it. Chunks without a line take over the context
-    that stood before them.
+    that stood before them. Of a line longer than the cut only its end travels: it is cut within that line whatever follows.
     """
     tail = max_chars // 12 + 2
     block = max(block, tail)
-    lined = dense_position(chunks.filter(F.col(line).isNotNull()).select(*keys, order, line), keys, order, "_n", block)
+    ends = F.right(line, F.lit(max_chars + 1)).alias(line)
+    lined = dense_position(chunks.filter(F.col(line).isNotNull()).select(*keys, order, ends), keys, order, "_n", block)
     own = F.floor(F.col("_n") / block)
     frame = Window.partitionBy(*keys, "_part").orderBy("_n").rowsBetween(-(tail - 1), 0)
     text = F.array_join(F.collect_list(line).over(frame), "\n")

@@ -376,3 +376,27 @@ def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.concat(F.lit("intel "), F.col("vec_id").cast("string"), F.lit(" label "), F.col("label").cast("string")).alias("text"))
+
+
+def grow(part: str, log: str, before: bytes, hold: int) -> bytes:
+    """Append the text files of the folder ``part`` to the file ``log``, after the bytes ``before``; the last ``hold`` bytes are given back.
+
+    Streams through this process a megabyte at a time, as the process that writes a log would.
+    """
+    from pyarrow import fs
+
+    from emberlog.streaming.tail import file_system
+
+    (source, parts), (target, path) = file_system(part), file_system(log)
+    target.create_dir(path.rpartition("/")[0])
+    held = before
+    with target.open_append_stream(path) as out:
+        for info in sorted(source.get_file_info(fs.FileSelector(parts)), key=lambda f: f.path):
+            if not info.base_name.startswith("part-"):
+                continue
+            with source.open_input_stream(info.path) as file:
+                while data := file.read(1 << 20):
+                    held += data
+                    out.write(held[:len(held) - hold])
+                    held = held[len(held) - hold:]
+    return held

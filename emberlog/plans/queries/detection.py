@@ -242,6 +242,7 @@ FROM t GROUP BY ip""")
 def detector_evidence(spark, sf_dir):
     """The first ten lines behind each finding; the line numbers stand in for the raw text."""
     parsed = _clf(spark, sf_dir).withColumn("raw", F.col("line_no").cast("string"))
+    parsed = materialize(det.tag(parsed, ["suspicious_agent"]).filter(F.size("rules") > 0))  # no other line can stand behind one
     found = materialize(det.request_attacks(parsed, ["suspicious_agent"]))
     found = det.with_evidence(found, det.evidence_lines(parsed, ["suspicious_agent"]))
     fmt = "yyyy-MM-dd HH:mm:ss"

@@ -1,7 +1,7 @@
 """Watch a folder of log files: every micro-batch of new files is parsed, searched and stored.
 
-The file source reads whole new files, so a growing file should be fed as rotated segments. Every batch writes to folders
-named by its id; a batch run again after a failure replaces its own output, so results are counted once.
+The file source reads whole new files, as rotated segments are; files that grow are followed by ``tail.follow_lines``. Every
+batch writes to folders named by its id; a batch run again after a failure replaces its own output, so results are counted once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from emberlog.plans.analyze import analyze_lines, answered
 from emberlog.operators.slices import DAY
 from emberlog.schema import MAX_CONTEXT_CHARS
 from emberlog.session import materialize
+from emberlog.streaming.tail import follow_lines
 from emberlog.sources.alert_tables import MODEL, WATCH, read_alerts, write_batch, write_ioc_delta
 
 # --- fixed values -----------------------------------------------------------------
@@ -52,13 +53,13 @@ def tail_lines(spark: SparkSession, folder: str, since: str | None = None,
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, since: str | None = None,
           fmt: str | None = None, on_alerts: Callable[[DataFrame, int], None] | None = None,
           min_severity: str = MIN_SEVERITY, available_now: bool = False, poll: str = POLL,
-          max_files_per_trigger: int | None = None, lookback: int = DAY, **options) -> StreamingQuery:
+          max_files_per_trigger: int | None = None, lookback: int = DAY, follow: bool = False, **options) -> StreamingQuery:
     """Start watching. ``on_alerts(alerts, batch_id)`` gets each batch's alerts of at least ``min_severity``.
 
     Each batch is searched together with what came before it, ``lookback`` seconds back and more, so a burst that spans
     batches is one finding. Lines older than those of earlier batches may leave the shorter version of a finding beside the
     longer one. The feed is named after the checkpoint's own id: a watch with a new checkpoint never touches an old one's
-    folders.
+    folders. With ``follow`` files may grow: each batch is what was appended since the one before (``tail.follow_lines``).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -70,7 +71,8 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, since: st
             stored = read_alerts(batch.sparkSession, out, batch_id, feed)
             on_alerts(at_least(stored, min_severity), batch_id)
 
-    writer = tail_lines(spark, folder, since, max_files_per_trigger).writeStream.foreachBatch(handle).option(
+    lines = follow_lines(spark, folder) if follow else tail_lines(spark, folder, since, max_files_per_trigger)
+    writer = lines.writeStream.foreachBatch(handle).option(
         "checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": poll}
     return writer.trigger(**trigger).start()
