@@ -18,7 +18,7 @@ from emberlog.operators import rules
 from emberlog.operators.findings import alert_id
 from emberlog.operators.formats.clf import bytes_number
 from emberlog.operators.joins import attach
-from emberlog.operators.slices import DAY, gap_stats, islands, trailing
+from emberlog.operators.slices import DAY, distinct_trailing, following, gap_stats, islands, trailing
 from emberlog.schema import ALERT, MAX_AFFECTED_LINES, REMEDIATION, conform
 from emberlog.session import materialize
 
@@ -214,6 +214,14 @@ def credential_stuffing(parsed: DataFrame, window_seconds: int = 3600, min_users
     return _finding(users.filter(F.col("users") >= min_users), "credential_stuffing", "HIGH", "source_ip", "users")
 
 
+def sliding_stuffing(parsed: DataFrame, window_seconds: int = 3600, min_users: int = 5) -> DataFrame:
+    """Runs of seconds at which a source failed for ``min_users`` names or more within the trailing window; ``n`` is the most."""
+    tries = tag(parsed).filter("login_failed AND source_ip IS NOT NULL AND sec IS NOT NULL").select("source_ip", "sec", "login_user")
+    users = distinct_trailing(tries, ["source_ip"], "login_user", window_seconds, "users").filter(F.col("users") >= min_users)
+    runs = islands(users, ["source_ip"], window_seconds, peak=(F.max, "users"))
+    return _finding(runs, "credential_stuffing", "HIGH", "source_ip", "peak")
+
+
 def success_after_failures(parsed: DataFrame, window_seconds: int = 3600, min_failures: int = 1) -> DataFrame:
     """Logins that succeed in a second after failures of the same source; ``n`` counts those failures."""
     seen = trailing(
@@ -271,6 +279,21 @@ def scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, m
     return _finding(hits, "scan", "HIGH", "source_ip", "n")
 
 
+def sliding_scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, min_missing: int = 20, target: str = "target") -> DataFrame:
+    """Runs of seconds at which a source touched many distinct targets, or missing pages, within the trailing window.
+
+    Unlike ``scan`` no border between windows can hide one. ``n`` is the most that any of the windows holds.
+    """
+    lines = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL").select(
+        "source_ip", "sec", F.col(target).alias("target"), (F.col("answered") == 404).alias("missing"))
+    key = ["source_ip"]
+    targets = distinct_trailing(lines, key, "target", window_seconds, "n").filter(F.col("n") >= min_targets)
+    misses = lines.filter("missing").groupBy(*key, "sec").agg(F.count(F.lit(1)).alias("misses"))
+    missing = trailing(misses, key, window_seconds, n=F.sum("misses")).filter(F.col("n") >= min_missing).select(*key, "sec", "n")
+    hot = targets.unionByName(missing).groupBy(*key, "sec").agg(F.max("n").alias("n"))
+    return _finding(islands(hot, key, window_seconds, peak=(F.max, "n")), "scan", "HIGH", "source_ip", "peak")
+
+
 def exfiltration(parsed: DataFrame, min_bytes: int = 10**9, window_seconds: int = DAY) -> DataFrame:
     """Destinations that were sent ``min_bytes`` or more within one fixed window (a day)."""
     sent = tag(parsed).select(
@@ -281,6 +304,33 @@ def exfiltration(parsed: DataFrame, min_bytes: int = 10**9, window_seconds: int
     return _finding(slots.filter(F.col("bytes") >= min_bytes), "exfiltration", "HIGH", "source_ip", "bytes")
 
 
+def _median(values: Column) -> Column:
+    """The median of an array of numbers; null if it is empty."""
+    middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / F.lit(2.0)
+    return let(F.sort_array(values), middle)
+
+
+def unusual_transfer(parsed: DataFrame, window_seconds: int = DAY, history: int = 14, min_history: int = 5, min_score: float = 6.0,
+                     min_bytes: int = 10**6) -> DataFrame:
+    """Destinations sent far more within one window than is their habit.
+
+    The habit are the windows with traffic among the ``history`` windows before: their median, and the median of their
+    distances to it, both untouched by single large transfers. A window's score is its distance to the median in units of
+    1.4826 times the second one (the deviation if the habit is normal), but of a tenth of the median at least. Found are
+    windows of ``min_bytes`` or more with a score of ``min_score`` or more, if the habit knows ``min_history`` windows.
+    """
+    sent = tag(parsed).select("source_ip", "sec", F.col("sent").alias("bytes")).filter("source_ip IS NOT NULL AND sec IS NOT NULL AND bytes IS NOT NULL")
+    slots = sent.groupBy("source_ip", F.floor(F.col("sec") / window_seconds).alias("slot")).agg(
+        F.sum("bytes").alias("bytes"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
+    before = Window.partitionBy("source_ip").orderBy("slot").rangeBetween(-history, -1)  # one row per source and window
+    known = slots.withColumn("_before", F.collect_list("bytes").over(before)).filter((F.size("_before") >= min_history) & (F.col("bytes") >= min_bytes))
+    known = known.withColumn("_median", _median(F.col("_before")))
+    away = _median(F.transform("_before", lambda b: F.abs(b - F.col("_median"))))
+    unit = F.greatest(away * 1.4826, F.col("_median") * 0.1, F.lit(1.0))
+    odd = known.filter((F.col("bytes") - F.col("_median")) / unit >= min_score)
+    return _finding(odd, "unusual_transfer", "MEDIUM", "source_ip", "bytes")
+
+
 # --- hosts and accounts -------------------------------------------------------------------
 
 
@@ -342,6 +392,58 @@ def beacon(parsed: DataFrame, min_gaps: int = 5, max_cv: float = 0.1, min_mean_g
     return _finding(regular, "beacon", "HIGH", "source_ip", "gaps")
 
 
+#: Parts that each doubling of a gap is cut into: a period is found to about six hundredths of itself.
+OCTAVE = 16
+
+
+def _bin(gap: Column) -> Column:
+    """Where a gap lies on a scale of OCTAVE parts per doubling."""
+    power = F.length(F.bin(gap)) - 1
+    return (power * OCTAVE + F.floor(gap * OCTAVE / F.pow(F.lit(2.0), power)) - OCTAVE).cast("int")
+
+
+def _bin_start(place: Column) -> Column:
+    return F.pow(F.lit(2.0), F.floor(place / OCTAVE)) * (OCTAVE + F.pmod(place, F.lit(OCTAVE))) / OCTAVE
+
+
+def gap_histogram(parsed: DataFrame, reach: int = 8) -> DataFrame:
+    """``source_ip, target, bin, gaps, total``: gaps between a visit and the ``reach`` next ones of the same pair, by length.
+
+    Beats stay at their distance however many other visits come between, as long as fewer than ``reach`` do.
+    """
+    visits = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL").select("source_ip", F.coalesce("target", F.lit("")).alias("target"), "sec")
+    later = following(visits, ["source_ip", "target"], reach)
+    gaps = later.select("source_ip", "target", F.explode(F.transform("later", lambda t: t - F.col("sec"))).alias("gap"))
+    return gaps.groupBy("source_ip", "target", _bin(F.col("gap")).alias("bin")).agg(F.count(F.lit(1)).alias("gaps"), F.sum("gap").alias("total"))
+
+
+def periodic_contact(parsed: DataFrame, min_beats: int = 8, min_period: float = 30, min_share: float = 0.5, min_excess: float = 4.0,
+                     reach: int = 8) -> DataFrame:
+    """Sources that come back to a target at a period, amid other visits and with beats missed.
+
+    A period is two neighbouring bins of ``gap_histogram``, so that jitter across a border does no harm. It is a beat if as many
+    gaps lie there as ``min_share`` of the beats that fit between the pair's first and last visit, and ``min_excess`` times as
+    many as visits at random moments would put there (n visits in T seconds make about n * n / T * width gaps of a bin's
+    width). Of a pair's periods the one with most gaps counts, the shortest of several. ``n`` is the period in seconds.
+    """
+    pair = ["source_ip", "target"]
+    bins = gap_histogram(parsed, reach)
+    both = bins.unionByName(bins.withColumn("bin", F.col("bin") - 1)).groupBy(*pair, "bin").agg(F.sum("gaps").alias("gaps"), F.sum("total").alias("total"))
+    timed = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL").withColumn("target", F.coalesce("target", F.lit("")))
+    seconds = timed.groupBy(*pair, "sec").agg(F.lit(1).alias("_one")).groupBy(*pair).agg(
+        F.count(F.lit(1)).alias("visits"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
+    found = both.filter(F.col("gaps") >= min_beats).join(seconds, pair)
+    span, period = F.col("last_sec") - F.col("first_sec"), F.col("total") / F.col("gaps")
+    width = _bin_start(F.col("bin") + 2) - _bin_start(F.col("bin"))
+    beats = found.filter(
+        (period >= min_period) & (F.col("gaps") * period >= min_share * span) & (F.col("gaps") * span >= min_excess * F.col("visits") * F.col("visits") * width))
+    best = beats.withColumn("period", F.floor(period)).groupBy(*pair, "first_sec", "last_sec").agg(
+        F.min(F.struct((-F.col("gaps")).alias("few"), F.col("period"))).alias("_best"))
+    per_source = best.groupBy("source_ip").agg(F.min(F.struct("_best", "target", "first_sec", "last_sec")).alias("_b")).select(
+        "source_ip", "_b.first_sec", "_b.last_sec", F.col("_b._best.period").alias("period"))
+    return _finding(per_source, "periodic_contact", "MEDIUM", "source_ip", "period")
+
+
 def c2_sources(parsed: DataFrame) -> DataFrame:
     """Lines from sources that asked for a known command-and-control path at least once."""
     known = materialize(matched_rules(parsed, ["c2_path"]).select("source_ip").distinct())
@@ -435,7 +537,9 @@ def evidence_lines(parsed: DataFrame, categories: list[str] | None = None) -> Da
         "success_after_failures": (failed | ok, ip),
         "scan": (F.col("target").isNotNull(), ip),
         "exfiltration": (F.col("sent").isNotNull(), ip),
+        "unusual_transfer": (F.col("sent").isNotNull(), ip),
         "beacon": (always, ip),
+        "periodic_contact": (always, ip),
         "privilege_escalation": (always, F.col("privileged")),
         "account_change": (always, F.col("changed")),
         "log_restart": (always, F.col("restarted")),
@@ -478,7 +582,8 @@ def detect_all(parsed: DataFrame) -> DataFrame:
     """Findings of all detectors that need nothing but the parsed lines, with their default thresholds."""
     # HIGH bands are bursts, which brute_force finds one by one
     found = [
-        brute_force(parsed), failure_bands(parsed).filter("severity <> 'HIGH'"), clears(parsed), credential_stuffing(parsed), success_after_failures(parsed), request_attacks(parsed),
-        scan(parsed), exfiltration(parsed), privilege_escalation(parsed), account_change(parsed), beacon(parsed),
+        brute_force(parsed), failure_bands(parsed).filter("severity <> 'HIGH'"), clears(parsed), sliding_stuffing(parsed), success_after_failures(parsed),
+        request_attacks(parsed), sliding_scan(parsed), exfiltration(parsed), unusual_transfer(parsed), privilege_escalation(parsed),
+        account_change(parsed), beacon(parsed), periodic_contact(parsed),
     ]
     return reduce(DataFrame.unionByName, found)

@@ -92,6 +92,10 @@ RESPONSES = {
         "block_ip", "iptables -I INPUT -s {s} -j DROP", "iptables -D INPUT -s {s} -j DROP"),
     "beacon": (
         "Regular beacon from {s}", "Inspect the host for malware and capture its traffic.", "none", "", ""),
+    "periodic_contact": (
+        "Contact at a fixed period from {s}", "Inspect the host for malware and capture its traffic.", "none", "", ""),
+    "unusual_transfer": (
+        "Unusual outbound transfer to {s}", "Compare with what is usually sent there.", "none", "", ""),
     "exfiltration": (
         "Large outbound transfer to {s}", "Check what was sent and whether it was meant to be.",
         "block_ip", "iptables -I OUTPUT -d {s} -j DROP", "iptables -D OUTPUT -d {s} -j DROP"),

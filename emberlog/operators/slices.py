@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.ordered import ROWS_PER_BLOCK, dense_position
+
 DAY = 86_400
 
 
@@ -65,6 +67,56 @@ def islands(df: DataFrame, keys: list[str], gap: int, width: int = DAY, **sums:
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], value: str, out: str, width: int = DAY) -> DataFrame:
+    """Add ``out``: the sum of ``value`` from a key's first second to this one. Seconds are distinct per key.
+
+    Sums run inside slices; what stood before a slice comes from one row per slice.
+    """
+    sliced = df.withColumn("_slice", _slice_of(F.col("sec"), width))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total")).select(
+        *keys, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        sliced.withColumn(out, F.sum(value).over(inside))
+        .join(before.hint("merge"), [*keys, "_slice"])
+        .withColumn(out, F.col(out) + F.col("_before"))
+        .drop("_slice", "_before")
+    )
+
+
+def distinct_trailing(df: DataFrame, keys: list[str], value: str, seconds: int, out: str, width: int = DAY) -> DataFrame:
+    """``keys, sec, out``: how many distinct values occur in ``[sec - seconds, sec]``, at every second that has one.
+
+    A value stays in the window from a visit until ``seconds`` after it, so visits no further apart are one stay. The number of
+    values is the number of stays begun and not ended: a running sum of steps, with no set of values held anywhere.
+    """
+    visits = df.filter(F.col(value).isNotNull()).groupBy(*keys, value, "sec").agg(F.lit(1).alias("_one"))
+    stays = islands(visits, [*keys, value], seconds + 2, width)
+    step = F.array(F.struct(F.col("first_sec").alias("sec"), F.lit(1).alias("_step")),
+                   F.struct((F.col("last_sec") + (seconds + 1)).alias("sec"), F.lit(-1).alias("_step")))
+    steps = stays.select(*keys, F.explode(step).alias("_s")).select(*keys, "_s.sec", "_s._step", F.lit(0).alias("_seen"))
+    rows = steps.unionByName(visits.select(*keys, "sec", F.lit(0).alias("_step"), F.lit(1).alias("_seen")))
+    moments = rows.groupBy(*keys, "sec").agg(F.sum("_step").alias("_step"), F.max("_seen").alias("_seen"))
+    return running_sum(moments, keys, "_step", out, width).filter("_seen = 1").select(*keys, "sec", out)
+
+
+def following(df: DataFrame, keys: list[str], steps: int, block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """``keys, sec, later``: the next ``steps`` distinct seconds of the key after each, as an array.
+
+    Rows are cut into blocks of a key's rows; the first rows of a block also stand at the end of the one before.
+    """
+    seconds = dense_position(df.select(*keys, "sec").distinct(), keys, "sec", "_n", block)
+    own = F.floor(F.col("_n") / block)
+    into = F.sequence(F.greatest(own - F.when(F.col("_n") % block < steps, 1).otherwise(0), F.lit(0)), own)
+    ahead = Window.partitionBy(*keys, "_part").orderBy("_n").rowsBetween(1, steps)
+    return (
+        seconds.withColumn("_part", F.explode(into))
+        .withColumn("later", F.collect_list("sec").over(ahead))
+        .filter(F.col("_part") == own).select(*keys, "sec", "later")
+    )
+
+
 def gap_stats(df: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
     """Per key the number, mean and population deviation of gaps between consecutive distinct seconds.
 

@@ -253,4 +253,69 @@ def detector_evidence(spark, sf_dir):
         F.array_join("affected_lines", ",").alias("line_nos"))
 
 
+def _runs_sql(hot: str, gap: int, category: str) -> str:
+    """Runs of the hot seconds (ip, sec, n) of ``hot`` less than ``gap`` apart, as findings."""
+    return f"""
+g AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY ip ORDER BY sec) < {gap} THEN 0 ELSE 1 END AS step FROM {hot}),
+r AS (SELECT *, sum(step) OVER (PARTITION BY ip ORDER BY sec) AS run FROM g)
+SELECT '{category}' AS category, 'HIGH' AS severity, ip AS subject, min(sec) AS first_sec, max(sec) AS last_sec, CAST(max(n) AS BIGINT) AS n FROM r GROUP BY ip, run"""
+
+
+@query(f"""WITH {EVENTS_SQL},
+v AS (SELECT ip, sec, event_type = 'click' AS miss,
+  CASE event_id % 10 WHEN 5 THEN '-' WHEN 4 THEN 'GET ' || (event_id % 50) ELSE CAST(event_id % 50 AS VARCHAR) END AS target FROM e WHERE event_id % 97 <> 0),
+c AS (SELECT m.ip, m.sec, count(DISTINCT target) AS targets, count(*) FILTER (miss) AS missing, bool_or(miss AND v.sec = m.sec) AS missed
+  FROM (SELECT DISTINCT ip, sec FROM v) m JOIN v ON v.ip = m.ip AND v.sec BETWEEN m.sec - {3 * DAY} AND m.sec GROUP BY m.ip, m.sec),
+h AS (SELECT ip, sec, greatest(CASE WHEN targets >= 11 THEN targets ELSE 0 END, CASE WHEN missed AND missing >= 5 THEN missing ELSE 0 END) AS n
+  FROM c WHERE targets >= 11 OR missed AND missing >= 5),""" + _runs_sql("h", 3 * DAY, "scan"))
+def detect_scan_sliding(spark, sf_dir):
+    """Distinct targets and missing pages in every window of three days, wherever it starts."""
+    return det.sliding_scan(_clf(spark, sf_dir), 3 * DAY, min_targets=11, min_missing=5)
+
+
+@query(f"""WITH {EVENTS_SQL},
+v AS (SELECT ip, sec, event_id % 5 AS name FROM e WHERE event_type = 'error'),
+h AS (SELECT m.ip, m.sec, count(DISTINCT name) AS n FROM (SELECT DISTINCT ip, sec FROM v) m JOIN v ON v.ip = m.ip AND v.sec BETWEEN m.sec - {3 * DAY} AND m.sec
+  GROUP BY m.ip, m.sec HAVING count(DISTINCT name) >= 3),""" + _runs_sql("h", 3 * DAY, "credential_stuffing"))
+def detect_stuffing_sliding(spark, sf_dir):
+    return det.sliding_stuffing(_bsd(spark, sf_dir), 3 * DAY, 3)
+
+
+_LEADS = ", ".join(f"lead(sec, {j}) OVER w - sec" for j in range(1, 9))
+_GAPS_SQL = f"""WITH {EVENTS_SQL},
+d AS (SELECT DISTINCT ip, sec FROM e),
+l AS (SELECT ip, unnest([{_LEADS}]) AS gap FROM d WINDOW w AS (PARTITION BY ip ORDER BY sec)),
+k AS (SELECT ip, gap, len(bin(gap)) - 1 AS p FROM l WHERE gap IS NOT NULL),
+h AS (SELECT ip, CAST(p * 16 + floor(gap * 16 / 2.0::DOUBLE ** p) - 16 AS INT) AS bin, count(*) AS gaps, CAST(sum(gap) AS BIGINT) AS total FROM k GROUP BY ip, 2)"""
+
+
+@query(_GAPS_SQL + " SELECT ip AS source_ip, bin, gaps, total FROM h")
+def beacon_gap_histogram(spark, sf_dir):
+    return det.gap_histogram(_bsd(spark, sf_dir)).select("source_ip", "bin", "gaps", "total")
+
+
+@query(_GAPS_SQL + """,
+b AS (SELECT ip, bin, sum(gaps) AS gaps, sum(total) AS total FROM (SELECT ip, bin, gaps, total FROM h UNION ALL SELECT ip, bin - 1, gaps, total FROM h) GROUP BY ip, bin),
+s AS (SELECT ip, count(*) AS visits, min(sec) AS first_sec, max(sec) AS last_sec FROM d GROUP BY ip),
+w AS (SELECT *, total / gaps AS period, 2.0::DOUBLE ** floor((bin + 2) / 16.0) * (16 + (bin + 2) % 16) / 16 - 2.0::DOUBLE ** floor(bin / 16.0) * (16 + bin % 16) / 16 AS width FROM b JOIN s USING (ip)),
+f AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY gaps DESC, floor(period)) AS rn FROM w
+  WHERE gaps >= 8 AND period >= 30 AND gaps * period >= 0.1 * (last_sec - first_sec) AND gaps * (last_sec - first_sec) >= 1.5 * visits * visits * width)
+SELECT 'periodic_contact' AS category, 'MEDIUM' AS severity, ip AS subject, first_sec, last_sec, CAST(floor(period) AS BIGINT) AS n FROM f WHERE rn = 1""")
+def detect_periodic_contact(spark, sf_dir):
+    """With thresholds low enough that some of the random visits of the events pass them."""
+    return det.periodic_contact(_bsd(spark, sf_dir), 8, 30, 0.1, 1.5)
+
+
+@query(f"""WITH {EVENTS_SQL},
+s AS (SELECT ip, sec // {DAY} AS slot, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS n, min(sec) AS first_sec, max(sec) AS last_sec
+  FROM e WHERE event_id % 97 <> 0 AND event_id % 11 <> 0 GROUP BY ip, 2),
+h AS (SELECT *, list(n) OVER (PARTITION BY ip ORDER BY slot RANGE BETWEEN 14 PRECEDING AND 1 PRECEDING) AS earlier FROM s),
+m AS (SELECT *, list_aggregate(earlier, 'median') AS med FROM h WHERE len(earlier) >= 5 AND n >= 1000),
+a AS (SELECT *, list_aggregate(list_transform(earlier, lambda b: abs(b - med)), 'median') AS away FROM m)
+SELECT 'unusual_transfer' AS category, 'MEDIUM' AS severity, ip AS subject, first_sec, last_sec, n
+FROM a WHERE (n - med) / greatest(away * 1.4826::DOUBLE, med * 0.1::DOUBLE, 1.0::DOUBLE) >= 2""")
+def detect_unusual_transfer(spark, sf_dir):
+    return det.unusual_transfer(_clf(spark, sf_dir), min_score=2, min_bytes=1000)
+
+
 assert set(rules.REQUEST_RULES) <= set(rules.RESPONSES)
