@@ -215,11 +215,14 @@ def credential_stuffing(parsed: DataFrame, window_seconds: int = 3600, min_users
 
 
 def sliding_stuffing(parsed: DataFrame, window_seconds: int = 3600, min_users: int = 5) -> DataFrame:
-    """Runs of seconds at which a source failed for ``min_users`` names or more within the trailing window; ``n`` is the most."""
+    """Runs of seconds at which a source failed for ``min_users`` names or more within the trailing window.
+
+    ``n`` is the most, ``first_sec`` the first try in the first of these windows.
+    """
     tries = tag(parsed).filter("login_failed AND source_ip IS NOT NULL AND sec IS NOT NULL").select("source_ip", "sec", "login_user")
     users = distinct_trailing(tries, ["source_ip"], "login_user", window_seconds, "users").filter(F.col("users") >= min_users)
-    runs = islands(users, ["source_ip"], window_seconds, peak=(F.max, "users"))
-    return _finding(runs, "credential_stuffing", "HIGH", "source_ip", "peak")
+    runs = islands(users, ["source_ip"], window_seconds, peak=(F.max, "users"), since=(F.min, "since"))
+    return _finding(runs, "credential_stuffing", "HIGH", "source_ip", "peak", "since")
 
 
 def success_after_failures(parsed: DataFrame, window_seconds: int = 3600, min_failures: int = 1) -> DataFrame:
@@ -282,16 +285,18 @@ def scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, m
 def sliding_scan(parsed: DataFrame, window_seconds: int = 3600, min_targets: int = 20, min_missing: int = 20, target: str = "target") -> DataFrame:
     """Runs of seconds at which a source touched many distinct targets, or missing pages, within the trailing window.
 
-    Unlike ``scan`` no border between windows can hide one. ``n`` is the most that any of the windows holds.
+    Unlike ``scan`` no border between windows can hide one. ``n`` is the most that any of the windows holds, ``first_sec`` the
+    first visit in the first of them.
     """
     lines = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL").select(
         "source_ip", "sec", F.col(target).alias("target"), (F.col("answered") == 404).alias("missing"))
     key = ["source_ip"]
     targets = distinct_trailing(lines, key, "target", window_seconds, "n").filter(F.col("n") >= min_targets)
     misses = lines.filter("missing").groupBy(*key, "sec").agg(F.count(F.lit(1)).alias("misses"))
-    missing = trailing(misses, key, window_seconds, n=F.sum("misses")).filter(F.col("n") >= min_missing).select(*key, "sec", "n")
-    hot = targets.unionByName(missing).groupBy(*key, "sec").agg(F.max("n").alias("n"))
-    return _finding(islands(hot, key, window_seconds, peak=(F.max, "n")), "scan", "HIGH", "source_ip", "peak")
+    missing = trailing(misses, key, window_seconds, n=F.sum("misses"), since=F.min("sec")).filter(F.col("n") >= min_missing).drop("misses")
+    hot = targets.unionByName(missing).groupBy(*key, "sec").agg(F.max("n").alias("n"), F.min("since").alias("since"))
+    runs = islands(hot, key, window_seconds, peak=(F.max, "n"), since=(F.min, "since"))
+    return _finding(runs, "scan", "HIGH", "source_ip", "peak", "since")
 
 
 def exfiltration(parsed: DataFrame, min_bytes: int = 10**9, window_seconds: int = DAY) -> DataFrame:

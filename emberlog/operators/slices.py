@@ -86,7 +86,7 @@ def running_sum(df: DataFrame, keys: list[str], value: str, out: str, width: int
 
 
 def distinct_trailing(df: DataFrame, keys: list[str], value: str, seconds: int, out: str, width: int = DAY) -> DataFrame:
-    """``keys, sec, out``: how many distinct values occur in ``[sec - seconds, sec]``, at every second that has one.
+    """``keys, sec, out, since``: how many distinct values occur in ``[sec - seconds, sec]`` and from when on, at every second that has one.
 
     A value stays in the window from a visit until ``seconds`` after it, so visits no further apart are one stay. The number of
     values is the number of stays begun and not ended: a running sum of steps, with no set of values held anywhere.
@@ -98,7 +98,8 @@ def distinct_trailing(df: DataFrame, keys: list[str], value: str, seconds: int,
     steps = stays.select(*keys, F.explode(step).alias("_s")).select(*keys, "_s.sec", "_s._step", F.lit(0).alias("_seen"))
     rows = steps.unionByName(visits.select(*keys, "sec", F.lit(0).alias("_step"), F.lit(1).alias("_seen")))
     moments = rows.groupBy(*keys, "sec").agg(F.sum("_step").alias("_step"), F.max("_seen").alias("_seen"))
-    return running_sum(moments, keys, "_step", out, width).filter("_seen = 1").select(*keys, "sec", out)
+    counted = running_sum(moments, keys, "_step", out, width).filter("_seen = 1").select(*keys, "sec", out)
+    return trailing(counted, keys, seconds, width=width, since=F.min("sec"))
 
 
 def following(df: DataFrame, keys: list[str], steps: int, block: int = ROWS_PER_BLOCK) -> DataFrame:

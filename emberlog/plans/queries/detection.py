@@ -254,19 +254,21 @@ def detector_evidence(spark, sf_dir):
 
 
 def _runs_sql(hot: str, gap: int, category: str) -> str:
-    """Runs of the hot seconds (ip, sec, n) of ``hot`` less than ``gap`` apart, as findings."""
+    """Runs of the hot seconds (ip, sec, n, since) of ``hot`` less than ``gap`` apart, as findings."""
     return f"""
 g AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY ip ORDER BY sec) < {gap} THEN 0 ELSE 1 END AS step FROM {hot}),
 r AS (SELECT *, sum(step) OVER (PARTITION BY ip ORDER BY sec) AS run FROM g)
-SELECT '{category}' AS category, 'HIGH' AS severity, ip AS subject, min(sec) AS first_sec, max(sec) AS last_sec, CAST(max(n) AS BIGINT) AS n FROM r GROUP BY ip, run"""
+SELECT '{category}' AS category, 'HIGH' AS severity, ip AS subject, min(since) AS first_sec, max(sec) AS last_sec, CAST(max(n) AS BIGINT) AS n FROM r GROUP BY ip, run"""
 
 
 @query(f"""WITH {EVENTS_SQL},
 v AS (SELECT ip, sec, event_type = 'click' AS miss,
   CASE event_id % 10 WHEN 5 THEN '-' WHEN 4 THEN 'GET ' || (event_id % 50) ELSE CAST(event_id % 50 AS VARCHAR) END AS target FROM e WHERE event_id % 97 <> 0),
-c AS (SELECT m.ip, m.sec, count(DISTINCT target) AS targets, count(*) FILTER (miss) AS missing, bool_or(miss AND v.sec = m.sec) AS missed
+c AS (SELECT m.ip, m.sec, count(DISTINCT target) AS targets, count(*) FILTER (miss) AS missing, bool_or(miss AND v.sec = m.sec) AS missed,
+    min(v.sec) AS since, min(v.sec) FILTER (miss) AS miss_since
   FROM (SELECT DISTINCT ip, sec FROM v) m JOIN v ON v.ip = m.ip AND v.sec BETWEEN m.sec - {3 * DAY} AND m.sec GROUP BY m.ip, m.sec),
-h AS (SELECT ip, sec, greatest(CASE WHEN targets >= 11 THEN targets ELSE 0 END, CASE WHEN missed AND missing >= 5 THEN missing ELSE 0 END) AS n
+h AS (SELECT ip, sec, greatest(CASE WHEN targets >= 11 THEN targets ELSE 0 END, CASE WHEN missed AND missing >= 5 THEN missing ELSE 0 END) AS n,
+    least(CASE WHEN targets >= 11 THEN since END, CASE WHEN missed AND missing >= 5 THEN miss_since END) AS since
   FROM c WHERE targets >= 11 OR missed AND missing >= 5),""" + _runs_sql("h", 3 * DAY, "scan"))
 def detect_scan_sliding(spark, sf_dir):
     """Distinct targets and missing pages in every window of three days, wherever it starts."""
@@ -275,7 +277,7 @@ def detect_scan_sliding(spark, sf_dir):
 
 @query(f"""WITH {EVENTS_SQL},
 v AS (SELECT ip, sec, event_id % 5 AS name FROM e WHERE event_type = 'error'),
-h AS (SELECT m.ip, m.sec, count(DISTINCT name) AS n FROM (SELECT DISTINCT ip, sec FROM v) m JOIN v ON v.ip = m.ip AND v.sec BETWEEN m.sec - {3 * DAY} AND m.sec
+h AS (SELECT m.ip, m.sec, count(DISTINCT name) AS n, min(v.sec) AS since FROM (SELECT DISTINCT ip, sec FROM v) m JOIN v ON v.ip = m.ip AND v.sec BETWEEN m.sec - {3 * DAY} AND m.sec
   GROUP BY m.ip, m.sec HAVING count(DISTINCT name) >= 3),""" + _runs_sql("h", 3 * DAY, "credential_stuffing"))
 def detect_stuffing_sliding(spark, sf_dir):
     return det.sliding_stuffing(_bsd(spark, sf_dir), 3 * DAY, 3)

@@ -18,13 +18,15 @@ def tagged(spark, rows):
 
 
 def runs(seconds, gap):
-    """(first, last, most) of hot seconds {sec: n} less than ``gap`` apart."""
-    out = []
+    """(first, last, most) of hot seconds {sec: (n, since)} less than ``gap`` apart; they begin with the first one's window."""
+    out, last = [], None
     for s in sorted(seconds):
-        if out and s - out[-1][1] < gap:
-            out[-1] = (out[-1][0], s, max(out[-1][2], seconds[s]))
+        n, since = seconds[s]
+        if last is not None and s - last < gap:
+            out[-1] = (min(out[-1][0], since), s, max(out[-1][2], n))
         else:
-            out.append((s, s, seconds[s]))
+            out.append((since, s, n))
+        last = s
     return out
 
 
@@ -33,7 +35,8 @@ def test_distinct_values_in_every_window(spark, seed, window, span):
     r = random.Random(seed)
     rows = [(r.choice("ab"), r.randrange(span), r.choice([*"uvwxyz", None])) for _ in range(500)]
     got = slices.distinct_trailing(spark.createDataFrame(rows, "k string, sec long, v string"), ["k"], "v", window, "n")
-    want = {(k, s, len({v for j, t, v in rows if j == k and v and s - window <= t <= s})) for k, s, v in rows if v}
+    inside = lambda k, s: [(t, v) for j, t, v in rows if j == k and v and s - window <= t <= s]
+    want = {(k, s, len({v for _, v in inside(k, s)}), min(inside(k, s))[0]) for k, s, v in rows if v}
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
@@ -53,7 +56,7 @@ def test_a_scan_over_a_border(spark):
     parsed = tagged(spark, rows)
     assert det.scan(parsed.filter("source_ip = '9.9.9.9'"), min_missing=100).count() == 0
     got = {(f.subject, f.first_sec, f.last_sec, f.n) for f in det.sliding_scan(parsed).collect()}
-    assert got == {("9.9.9.9", 7200, 7218, 38), ("7.7.7.7", 50_009, 50_012, 25)}
+    assert got == {("9.9.9.9", 7181, 7218, 38), ("7.7.7.7", 50_000, 50_012, 25)}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -62,16 +65,17 @@ def test_scans_and_stuffing_against_loops(spark, seed):
     rows = [(r.choice(["1.1.1.1", "2.2.2.2"]), r.randrange(3000), f"/{r.randrange(9)}", r.choice([200, 404]), None, r.choice([None, *"abcdef"])) for _ in range(400)]
 
     def hot(ip, seen, least):
-        values = [(s, seen(x)) for x in rows if x[0] == ip and seen(x) is not None for s in [x[1]]]
-        counts = {s: len({v for t, v in values if s - 60 <= t <= s}) for s, _ in values}
-        return {s: n for s, n in counts.items() if n >= least}
+        values = [(x[1], seen(x)) for x in rows if x[0] == ip and seen(x) is not None]
+        inside = {s: [(t, v) for t, v in values if s - 60 <= t <= s] for s, _ in values}
+        return {s: (n, min(seen)[0]) for s, seen in inside.items() if (n := len({v for _, v in seen})) >= least}
 
     def missing(ip):
         at = [x[1] for x in rows if x[0] == ip and x[3] == 404]
-        return {s: n for s in at if (n := sum(s - 60 <= t <= s for t in at)) >= 7}
+        return {s: (len(seen), min(seen)) for s in at if len(seen := [t for t in at if s - 60 <= t <= s]) >= 7}
 
     def both(a, b):
-        return {s: max(a.get(s, 0), b.get(s, 0)) for s in a.keys() | b.keys()}
+        none = (0, 10**9)
+        return {s: (max(a.get(s, none)[0], b.get(s, none)[0]), min(a.get(s, none)[1], b.get(s, none)[1])) for s in a.keys() | b.keys()}
 
     ips = ("1.1.1.1", "2.2.2.2")
     got = {(f.subject, f.first_sec, f.last_sec, f.n) for f in det.sliding_scan(tagged(spark, rows), 60, 6, 7).collect()}
