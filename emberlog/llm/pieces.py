@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +30,8 @@ BPE = 2
 UNKNOWN_TEXT = " ⁇ "
 #: Symbols merged at once, but for a longer word; words that a task remembers, and the longest of them.
 CHUNK, REMEMBERED, LONGEST = 1 << 18, 200_000, 64
-#: In place of a rank where a pair makes no piece.
-NONE = np.iinfo(np.int32).max
+#: In place of a rank where a pair makes no piece; ends a table of pairs.
+NONE, NO_PAIR = np.iinfo(np.int32).max, np.iinfo(np.int64).max
 
 
 class Model(NamedTuple):
@@ -105,14 +106,10 @@ def load(path: str) -> Model:
     symbol = lambda part: known.get(part, n + ord(part) if len(part) == 1 else None)
     pairs = [(left * (n + CODES) + right, i) for p, i in known.items() for k in range(1, len(p))
              if (left := symbol(p[:k])) is not None and (right := symbol(p[k:])) is not None]
-    keys, makes = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
+    keys, makes = np.array([*sorted(pairs), (NO_PAIR, 0)], np.int64).T
     by_score = np.unique(-scores, return_inverse=True)[1]
     inner = {(a, b) for p in known for a, b in zip(p, p[1:])}
-    if any(b == SPACE != a for a, b in inner):
-        words = r"(?s).+"
-    else:  # no piece goes on past a word, nor across a line feed if none holds it beside another character
-        feed = "" if any("\n" in x for x in inner) else "\n"
-        words = f"{SPACE}*[^{SPACE}{feed}]+|{SPACE}+" + ("|\n" if feed else "")
+    words = _words(inner)
     shown_as = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else
                 trainer.get(44, UNKNOWN_TEXT.encode()) if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(names, kinds.tolist())]
     lengths = np.array([len(b) for b in shown_as], np.int64)
@@ -120,11 +117,29 @@ def load(path: str) -> Model:
     for i in np.flatnonzero(kinds == BYTE).tolist():
         byte_ids[shown_as[i][0]] = i
     return Model(n, bool(normal.get(3, 1)), char_ids, byte_ids, keys, by_score[makes].astype(np.int32), makes.astype(np.int32),
-                 np.array(sorted(ord(a) * CODES + ord(b) for a, b in inner), np.int64), words,
+                 np.array([*sorted(ord(a) * CODES + ord(b) for a, b in inner), NO_PAIR], np.int64), words,
                  np.frombuffer(b"".join(shown_as), np.uint8), np.cumsum(lengths) - lengths, lengths,
                  np.array([k == NORMAL and p.startswith(SPACE) for p, k in zip(names, kinds)]), kinds == BYTE)
 
 
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _words(inner: set[tuple[str, str]]) -> str:
+    """A pattern that cuts a text where no piece goes on, given the pairs of characters that stand side by side in a piece."""
+    if any(b == SPACE != a for a, b in inner):
+        return r"(?s).+"
+    feed = "" if any("\n" in x for x in inner) else "\n"
+    tail = f"|{SPACE}+" + ("|\n" if feed else "")
+    pairs = [p for p in inner if p[0] != SPACE]
+    odd = {c for p in pairs if _letter(p[0]) != _letter(p[1]) for c in p if _letter(c)}  # letters that stand with others
+    if any((_letter(a) and a not in odd) != (_letter(b) and b not in odd) for a, b in pairs):
+        return f"{SPACE}*[^{SPACE}{feed}]+{tail}"
+    odd = re.escape("".join(sorted(odd)))
+    return rf"{SPACE}*(?:[^\W\d_{odd}]+|(?:[^\w{SPACE}{feed}]|[\d_{odd}])+){tail}"
+
+
 def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return at, table[at] == keys
@@ -191,8 +206,10 @@ def merge(model: Model, sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
         starts = np.cumsum(counts) - counts
         sym, rank, makes = sym[kept], rank[kept], makes[kept]
         ends = starts + counts - 1
-        fresh = place[at]
-        fresh = np.unique(np.concatenate([fresh, fresh[fresh > 0] - 1]))
+        changed = np.zeros(len(sym), bool)
+        changed[place[at]] = True
+        changed[:-1] |= changed[1:]
+        fresh = np.flatnonzero(changed)
         rank[fresh], makes[fresh] = _ranked(model, sym[fresh], sym[np.minimum(fresh + 1, len(sym) - 1)])
         rank[ends] = NONE
     out = np.empty(int(sizes.sum()), np.int64)
@@ -261,14 +278,21 @@ class Encoder:
         """Ids of every whole text; none for null and empty texts."""
         head = SPACE if self.model.prefix else ""
         cut = [self.words.findall(head + t.replace(" ", SPACE)) if t else [] for t in texts]
+        coded = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        needed = set().union(*cut) if cut else set()
-        fresh = sorted(needed - self.known.keys())
-        ids = dict(zip(fresh, encode_words(self.model, fresh)))
-        self.known.update((w, b) for w, b in ids.items() if len(w) <= LONGEST)
-        ids.update((w, self.known[w]) for w in needed if w in self.known)
-        return [np.frombuffer(b"".join(map(ids.__getitem__, words)), "<i4") for words in cut]
+        ids = list(map(self.known.get, distinct))
+        fresh = [i for i, b in enumerate(ids) if b is None]
+        for i, b in zip(fresh, encode_words(self.model, [distinct[i] for i in fresh])):
+            ids[i] = b
+            if len(distinct[i]) <= LONGEST:
+                self.known[distinct[i]] = b
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        data = np.frombuffer(b"".join(ids), "<i4")[_ranges((np.cumsum(lengths) - lengths)[code], lengths[code])]
+        ends = np.append(0, np.cumsum(lengths[code]))[np.cumsum([0, *map(len, cut)])].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> bytes:
