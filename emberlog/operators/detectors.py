@@ -18,7 +18,7 @@ from emberlog.operators import rules
 from emberlog.operators.findings import alert_id
 from emberlog.operators.formats.clf import bytes_number
 from emberlog.operators.joins import attach
-from emberlog.operators.slices import DAY, distinct_trailing, following, gap_stats, islands, trailing
+from emberlog.operators.slices import DAY, distinct_trailing, following, gap_moments, gap_sums, islands, trailing
 from emberlog.schema import ALERT, MAX_AFFECTED_LINES, REMEDIATION, conform
 from emberlog.session import materialize
 
@@ -388,10 +388,17 @@ def beacon(parsed: DataFrame, min_gaps: int = 5, max_cv: float = 0.1, min_mean_g
 
     Gaps shorter than ``min_mean_gap`` seconds on average are a flood rather than a beacon.
     """
-    timed = tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL")
-    seconds = timed.groupBy("source_ip", "sec").agg(F.count(F.lit(1)).alias("lines"))
-    stats = gap_stats(seconds, ["source_ip"])
-    regular = stats.filter(
+    return regular_gaps(gap_sums(seconds_of_sources(parsed), ["source_ip"]), min_gaps, max_cv, min_mean_gap)
+
+
+def seconds_of_sources(parsed: DataFrame) -> DataFrame:
+    """``source_ip, sec``: the distinct seconds at which each source is seen."""
+    return tag(parsed).filter("source_ip IS NOT NULL AND sec IS NOT NULL").groupBy("source_ip", "sec").agg(F.lit(1).alias("_one")).drop("_one")
+
+
+def regular_gaps(sums: DataFrame, min_gaps: int = 5, max_cv: float = 0.1, min_mean_gap: float = 10) -> DataFrame:
+    """The findings of ``beacon`` from each source's sums of gaps."""
+    regular = gap_moments(sums).filter(
         (F.col("gaps") >= min_gaps) & (F.col("mean_gap") >= min_mean_gap)
         & (F.col("dev_gap") / F.col("mean_gap") < max_cv))
     return _finding(regular, "beacon", "HIGH", "source_ip", "gaps")

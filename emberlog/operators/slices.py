@@ -118,11 +118,11 @@ def following(df: DataFrame, keys: list[str], steps: int, block: int = ROWS_PER_
     )
 
 
-def gap_stats(df: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
-    """Per key the number, mean and population deviation of gaps between consecutive distinct seconds.
+def gap_sums(df: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
+    """Per key the gaps between consecutive distinct seconds: number, sum and sum of squares (gaps, s1, s2), first_sec, last_sec.
 
     Slices sum their inner gaps; the gaps between slices come from one row per slice. All sums are whole numbers, so
-    the result does not depend on the order of combination.
+    the result does not depend on the order of combination, and the sums of two spans of time can be added.
     """
     inside = Window.partitionBy(*keys, "_slice").orderBy("sec")
     parts = (
@@ -133,20 +133,21 @@ def gap_stats(df: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
              F.sum("_gap").alias("_s1"), F.sum(F.col("_gap") * F.col("_gap")).alias("_s2"))
     )
     across = Window.partitionBy(*keys).orderBy("_slice")
-    zero = F.lit(0)
+    total = lambda c, gap: (F.coalesce(F.sum(c), F.lit(0)) + F.coalesce(F.sum(gap), F.lit(0))).cast("decimal(38,0)")
     return (
         parts.withColumn("_gap", (F.col("_first") - F.lag("_last").over(across)).cast("decimal(38,0)"))
         .groupBy(*keys)
-        .agg(
-            (F.sum("_n") + F.count("_gap")).alias("gaps"),
-            (F.coalesce(F.sum("_s1"), zero) + F.coalesce(F.sum("_gap"), zero)).cast("double").alias("_s1"),
-            (F.coalesce(F.sum("_s2"), zero) + F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), zero))
-            .cast("double").alias("_s2"),
-            F.min("_first").alias("first_sec"),
-            F.max("_last").alias("last_sec"),
-        )
-        .withColumn("mean_gap", F.try_divide("_s1", "gaps"))
-        .withColumn("dev_gap", F.sqrt(F.greatest(
-            F.lit(0.0), F.try_divide("_s2", "gaps") - F.col("mean_gap") * F.col("mean_gap"))))
-        .drop("_s1", "_s2")
+        .agg((F.sum("_n") + F.count("_gap")).alias("gaps"), total("_s1", F.col("_gap")).alias("s1"),
+             total("_s2", F.col("_gap") * F.col("_gap")).alias("s2"), F.min("_first").alias("first_sec"), F.max("_last").alias("last_sec"))
     )
+
+
+def gap_moments(sums: DataFrame) -> DataFrame:
+    """A ``gap_sums`` table with the mean and the population deviation of the gaps in place of their sums."""
+    mean, square = (F.try_divide(F.col(c).cast("double"), "gaps") for c in ("s1", "s2"))
+    return sums.withColumns({"mean_gap": mean, "dev_gap": F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))}).drop("s1", "s2")
+
+
+def gap_stats(df: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
+    """Per key the number, mean and population deviation of gaps between consecutive distinct seconds."""
+    return gap_moments(gap_sums(df, keys, width))

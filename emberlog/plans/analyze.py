@@ -6,13 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from emberlog.operators import alerts as reports
 from emberlog.operators import chunks as chunking
 from emberlog.operators import detectors, findings, requests, similarity
 from emberlog.operators.parse import parse_corpus
-from emberlog.operators.slices import DAY
 from emberlog.schema import INTEL_TOP_N
 from emberlog.session import materialize
 from emberlog.sources.alert_tables import BATCH, folder, next_batch, read_alerts, write_batch, write_ioc_delta
@@ -22,17 +20,13 @@ from emberlog.sources.lines import number_lines, scan_lines
 def analyze_lines(lines: DataFrame, out: str, batch_id: int | None = None, fmt: str | None = None,
                   detect: Callable[[DataFrame], DataFrame] = detectors.detect_all,
                   generated_at: Column | None = None, baseline: DataFrame | None = None, feed: str = BATCH,
-                  lookback: int | None = None, **parse_options) -> int:
+                  **parse_options) -> int:
     """Parse lines, detect threats, and store parsed lines, alerts and indicator counts under ``out``; returns the batch id.
 
     The parsed table is written once, with what detectors read out of texts already in columns (``detectors.tag``); every
     detector reads back only the few columns it needs. ``baseline`` (``src, dst``) adds the search for new internal
     connections. Without ``batch_id`` the batch gets one of its own; writing the same id of the same feed again replaces what
     that batch wrote before.
-
-    With ``lookback`` the feed's earlier batches are searched again together with this one, from so many seconds (rounded to a
-    whole day) before its first line on, and findings that reach into this batch's time are stored. A burst over several
-    batches so becomes one finding, which replaces the shorter one stored before.
     """
     spark = lines.sparkSession
     batch_id = next_batch(spark, out, feed) if batch_id is None else batch_id
@@ -40,19 +34,9 @@ def analyze_lines(lines: DataFrame, out: str, batch_id: int | None = None, fmt:
     parsed = detectors.tag(parse_corpus(number_lines(lines), fmt, dense=True, **parse_options))
     parsed.write.mode("overwrite").parquet(parsed_path)
     parsed = spark.read.parquet(parsed_path)
-    since = None
-    if lookback is not None and batch_id > 0:
-        since = parsed.agg(F.min("sec")).first()[0]
-        if since is not None:
-            day = (since - lookback) // DAY * DAY
-            earlier = spark.read.schema(StructType([*parsed.schema.fields, StructField("batch_id", LongType())])).parquet(
-                f"{out}/parsed/feed={feed}").filter((F.col("batch_id") < batch_id) & (F.col("sec") >= day)).drop("batch_id")
-            parsed = parsed.unionByName(earlier)
     found = detect(parsed)
     if baseline is not None:
         found = found.unionByName(detectors.lateral_movement(detectors.connection_pairs(parsed), baseline))
-    if since is not None:
-        found = found.filter(F.col("last_sec").isNull() | (F.col("last_sec") >= since))
     found = materialize(found)
     categories = [r["category"] for r in found.select("category").distinct().collect()]  # a handful of names
     evidence = detectors.evidence_lines(parsed, categories)

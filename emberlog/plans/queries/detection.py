@@ -13,6 +13,7 @@ from emberlog.plans.queries import EVENTS_SQL, query
 from emberlog.session import materialize, scratch_path
 from emberlog.sources.alert_tables import read_alerts
 from emberlog.sources.lines import scan_lines
+from emberlog.streaming.carry import RUN, Search
 from emberlog.streaming.watch import watch
 
 DAY = 86_400
@@ -61,6 +62,10 @@ def _bursts(parsed):
     return det.brute_force(parsed, DAY, 3)
 
 
+#: The windows of the search reach back a day; a burst may be as long as it likes.
+_BURSTS_WATCHED = (Search(_bursts, RUN, DAY),)
+
+
 def _stored(spark, out):
     return read_alerts(spark, out).select(
         "title", F.element_at("iocs", 1).alias("subject"), F.unix_seconds("timestamp_first").alias("first_sec"),
@@ -93,8 +98,8 @@ def watch_split_log(spark, sf_dir):
         part = F.lit(True)
         part = part if ends[k] is None else part & (F.col("event_ts") >= ends[k])
         part = part if ends[k + 1] is None else part & (F.col("event_ts") < ends[k + 1])
-        _write_lines(timed.repartition(1), folder, part)
-        watch(spark, folder, out, f"{out}-checkpoint", fmt="syslog", available_now=True, detect=_bursts, lookback=31 * DAY, base_year=2024).awaitTermination()
+        _write_lines(timed, folder, part)
+        watch(spark, folder, out, f"{out}-checkpoint", fmt="syslog", available_now=True, searches=_BURSTS_WATCHED, base_year=2024).awaitTermination()
     return _stored(spark, out)
 
 

@@ -7,7 +7,7 @@ batch writes to folders named by its id; a batch run again after a failure repla
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,12 +17,12 @@ from pyspark.sql.streaming import StreamingQuery
 from emberlog.operators import chunks as chunking
 from emberlog.operators import findings, requests
 from emberlog.operators.alerts import at_least
-from emberlog.plans.analyze import analyze_lines, answered
-from emberlog.operators.slices import DAY
+from emberlog.plans.analyze import answered
 from emberlog.schema import MAX_CONTEXT_CHARS
 from emberlog.session import materialize
-from emberlog.streaming.tail import follow_lines
 from emberlog.sources.alert_tables import MODEL, WATCH, read_alerts, write_batch, write_ioc_delta
+from emberlog.streaming.carry import SEARCHES, Search, search_lines
+from emberlog.streaming.tail import follow_lines
 
 # --- fixed values -----------------------------------------------------------------
 POLL = "5 seconds"
@@ -53,20 +53,21 @@ def tail_lines(spark: SparkSession, folder: str, since: str | None = None,
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, since: str | None = None,
           fmt: str | None = None, on_alerts: Callable[[DataFrame, int], None] | None = None,
           min_severity: str = MIN_SEVERITY, available_now: bool = False, poll: str = POLL,
-          max_files_per_trigger: int | None = None, lookback: int = DAY, follow: bool = False, **options) -> StreamingQuery:
+          max_files_per_trigger: int | None = None, searches: Sequence[Search] = SEARCHES, follow: bool = False,
+          **options) -> StreamingQuery:
     """Start watching. ``on_alerts(alerts, batch_id)`` gets each batch's alerts of at least ``min_severity``.
 
-    Each batch is searched together with what came before it, ``lookback`` seconds back and more, so a burst that spans
-    batches is one finding. Lines older than those of earlier batches may leave the shorter version of a finding beside the
-    longer one. The feed is named after the checkpoint's own id: a watch with a new checkpoint never touches an old one's
-    folders. With ``follow`` files may grow: each batch is what was appended since the one before (``tail.follow_lines``).
+    Each batch goes through ``searches`` (``carry``), which keep what they need of the batches before: a finding that spans any
+    number of batches is one finding, as in the whole log. The feed is named after the checkpoint's own id: a watch with a new
+    checkpoint never touches an old one's folders. With ``follow`` files may grow: each batch is what was appended since the
+    one before (``tail.follow_lines``).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         lines = batch.select(
             "source_file", "block_start", "block_length", F.monotonically_increasing_id().alias("row_id"), "raw")
         feed = _feed(batch.sparkSession, checkpoint)
-        analyze_lines(lines, out, batch_id, fmt, feed=feed, lookback=lookback, **options)
+        search_lines(lines, out, batch_id, fmt, feed, searches, **options)
         if on_alerts:
             stored = read_alerts(batch.sparkSession, out, batch_id, feed)
             on_alerts(at_least(stored, min_severity), batch_id)
