@@ -55,34 +55,40 @@ def op1_mixing(spark, sf_dir):
 
 
 @query(r"""
-WITH ended AS (SELECT doc_id, regexp_replace(text, '([.!?][ \t]+|\n)', '\1' || chr(1), 'g') AS t FROM documents),
-cut AS (SELECT doc_id, string_split(regexp_replace(t, '([ \t])(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM ended),
-every AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM cut),
-worded AS (
-  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM every),
-placed AS (
-  SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM worded WHERE words > 0),
-runs AS (
-  SELECT doc_id, pos, max(pos) OVER ahead AS last, sum(words) OVER ahead AS n, list(line) OVER ahead AS content FROM placed
-  WINDOW ahead AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)
-  UNION SELECT doc_id, min(pos) OVER back, pos, sum(words) OVER back, list(line) OVER back FROM placed
-  WINDOW back AS (PARTITION BY doc_id ORDER BY start + words RANGE BETWEEN 39 PRECEDING AND CURRENT ROW)),
+WITH polynomial AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256))::BIGINT AS b)),
+texts AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM texts WHERE len(ws) >= 45),
+hashes AS (
+  SELECT w, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(hx), 2), lambda i: ('0x' || hx[i:i + 1])::BIGINT)),
+    lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM (SELECT DISTINCT w, hex(encode(w)) AS hx FROM placed), polynomial),
+least AS (
+  SELECT doc_id, n, pos, min(h * 2147483648 + pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS v
+  FROM placed JOIN hashes USING (w)),
+starts AS (
+  SELECT doc_id, (v % 2147483648)::BIGINT AS pos FROM least WHERE pos <= n - 6 AND v % 2147483648 <= n - 45
+  UNION SELECT doc_id, 0 FROM placed UNION SELECT doc_id, n - 45 FROM placed),
+stretches AS (SELECT doc_id, pos, ws[pos + 1:pos + 45] AS content FROM starts JOIN texts USING (doc_id)),
 firsts AS (
-  SELECT *, first_value(doc_id) OVER before AS first_doc, first_value(last) OVER before AS first_last FROM runs WHERE n >= 40
+  SELECT *, first_value(doc_id) OVER before AS first_doc, first_value(pos) OVER before AS first_pos FROM stretches
   WINDOW before AS (PARTITION BY content ORDER BY doc_id, pos)),
-later AS (SELECT doc_id, pos, last FROM firsts WHERE doc_id <> first_doc OR pos > first_last),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 45)) AS pos FROM firsts WHERE doc_id <> first_doc OR pos >= first_pos + 45),
+pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS p FROM texts)),
 kept AS (
-  SELECT e.doc_id, string_agg(e.line, '' ORDER BY e.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS lines_deleted
-  FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(lines_deleted, 0)::BIGINT AS lines_deleted
+  SELECT p.doc_id, string_agg(p.piece, '' ORDER BY p.pos) FILTER (g.pos IS NULL) AS rest, count(g.pos) AS words_deleted
+  FROM pieces p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+SELECT d.doc_id, CASE WHEN words_deleted > 0 THEN regexp_extract(d.text, '^[\x20\x09-\x0D]*') || coalesce(k.rest, '') ELSE d.text END AS text,
+  coalesce(words_deleted, 0)::BIGINT AS words_deleted
 FROM documents d LEFT JOIN kept k USING (doc_id)""")
 def op10_line_dedup(spark, sf_dir):
-    """All documents without later copies of passages (runs of whole lines of 40 words or more)."""
+    """All documents without later copies of passages of 50 words or more, wherever they start and end."""
     deduped = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     deleted = F.aggregate("deleted_runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
-    return deduped.select("doc_id", "text", deleted.alias("lines_deleted"))
+    return deduped.select("doc_id", "text", deleted.alias("words_deleted"))
 
 
 @query()

@@ -95,3 +95,14 @@ def test_stages():
     assert NAMES == ["language_id", "line_dedup", "simhash", "decontamination", "mixing"]
     assert corpus_pipeline.ORACLE_SQL is None and os.path.dirname(corpus_pipeline.__file__) == os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert langid.SAMPLE and decontam.WINDOW
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    """Repeated rows, rows without an id and rows that share one: the least id stays, null last."""
+    r = random.Random(3)
+    a, b, c = (prose(r, "en", 300) for _ in range(3))
+    rows = [(5, a, "en", "s", 1), (3, a, "en", "s", 1), (3, a, "de", "t", 2), (None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1),
+            (7, c, "en", "s", 1), (7, c + " more", "en", "s", 1), (8, "", "en", "s", 0), (9, None, "en", "s", None)]
+    kept = [(k.doc_id, k.text) for k in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, COLUMNS), "").collect()]
+    assert sorted(kept[:], key=str) == sorted([(3, a), (None, b), (8, ""), *[(k, t) for k, t in kept if k == 7]], key=str)
+    assert 1 <= sum(k == 7 for k, _ in kept) <= 2
