@@ -34,19 +34,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words or more are deleted; documents of which nothing is left go."""
     configure(spark)
-    runs, passages = free_name(docs, "deleted"), free_name(docs, "copied")
-    deduped = linededup.dedup_lines(docs, runs=runs, passage_words=linededup.PASSAGE_WORDS, passages=passages)
-    kept = deduped.filter(((F.size(runs) == 0) & (F.size(passages) == 0)) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    runs = free_name(docs, "deleted")
+    deduped = linededup.dedup_lines(docs, runs=runs)
+    kept = deduped.filter((F.size(runs) == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return _shape(kept, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (3-word shingles, 2 bits) the document with the least id stays."""
+    """Of every group of near copies (3-word shingles, 2 bits) one document stays.
+
+    It is the one with the least id, null last, of several the one with the least hash of its text. Rows equal in id and text
+    are one document, of which one row stays.
+    """
     configure(spark)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    mark = free_name(docs, "gone")
-    gone = stored(groups.filter("doc_id <> component").select("doc_id").distinct().withColumn(mark, F.lit(True)), "copies")
-    return attach(docs, gone, ["doc_id"], "left").filter(F.col(mark).isNull()).select(*docs.columns)
+    text, mark, rank = (free_name(docs, n) for n in ("version", "keep", "rank"))
+    # groups are found under a number of the row's own, so that rows without an id, or with the same one, are told apart
+    numbered = stored(docs.withColumns({mark: F.monotonically_increasing_id(), text: F.xxhash64("text")}), "numbered")
+    groups = simhash.near_duplicates(numbered.select(F.col(mark).alias("row"), "text"), key="row")
+    named = numbered.select(F.col(mark).alias("row"), F.col("doc_id").isNull().alias("none"), "doc_id", F.col(text).alias("version"))
+    grouped = stored(groups.select("row", "component").join(named, "row"), "grouped")
+    first = grouped.groupBy("component").agg(F.min(F.struct("none", "doc_id", "version", "row")).alias(rank))
+    # the rows that go are fewer than those that stay
+    gone = grouped.join(stored(first.select("component", F.col(f"{rank}.row").alias("_first")), "firsts"), "component").filter("row <> _first")
+    gone = stored(gone.select(F.col("row").alias(mark)), "gone")
+    return attach(numbered, gone, [mark], "left_anti", salts=8).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
