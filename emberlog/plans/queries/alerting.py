@@ -9,7 +9,7 @@ from emberlog.operators import alerts as ops
 from emberlog.plans import fixtures as fx
 from emberlog.plans.queries import query
 from emberlog.session import scratch_path
-from emberlog.sources import alert_tables
+from emberlog.sources import alert_index, alert_tables
 
 _A = """WITH a AS (
   SELECT *, CAST(o_orderkey AS VARCHAR) AS id,
@@ -82,6 +82,30 @@ def alerts_by_ip(spark, sf_dir):
     return _short(ops.by_ioc(_alerts(spark, sf_dir), "10.1.1.44"))
 
 
+def _indexed(spark, sf_dir):
+    """The alerts stored in two batches with an index each; the first one's every third alert is stored again, as another one, before."""
+    alerts, path = _alerts(spark, sf_dir), scratch_path(spark, "indexed")
+    third = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    alert_tables.write_batch(alerts.withColumns({"title": F.when(third, "Customer 77").otherwise(F.col("title")), "iocs": F.when(third, F.array(F.lit("10.1.1.44"))).otherwise(F.col("iocs"))}), path, 0)
+    alert_tables.write_batch(alerts.filter(third), path, 1)
+    for batch in (0, 1):
+        alert_index.write_index(spark, path, batch)
+    return path
+
+
+@query(_A + f"""SELECT {_ID} FROM c
+WHERE contains(lower(title), 'customer 77') OR contains(lower(description), 'customer 77') OR contains(lower(array_to_string(iocs, '|')), 'customer 77')
+ORDER BY o_orderdate DESC, id LIMIT 50""")
+def alerts_text_search_indexed(spark, sf_dir):
+    """By trigram postings; what older rows of an alert held does not count."""
+    return _short(alert_index.find_text(spark, _indexed(spark, sf_dir), "CUSTOMER 77"))
+
+
+@query(_A + f"SELECT {_ID} FROM c WHERE list_contains(iocs, '10.1.1.44')")
+def alerts_by_ip_indexed(spark, sf_dir):
+    return _short(alert_index.find_ioc(spark, _indexed(spark, sf_dir), "10.1.1.44"))
+
+
 @query(_A + f"SELECT {_ID} FROM a WHERE source_file = '/var/log/f3'")
 def alerts_by_source(spark, sf_dir):
     return _short(ops.by_source(_alerts(spark, sf_dir), "/var/log/f3"))
