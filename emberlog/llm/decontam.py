@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A leak is a stretch of WINDOW characters of an item (all of a shorter one) with at most one edit in EVERY characters.
-#: Items of fewer than LEAST characters are too short to tell a leak from ordinary wording, and are not searched.
+#: Items of fewer than LEAST characters are leaked by an exact copy between word ends only: an edit may make them other words.
 WINDOW, EVERY, GRAM, LEAST = 64, 16, 12, 24
 #: Bytes of item text searched for in one pass over the documents; q-gram hits, and bytes of text, looked at at once.
 BLOCK_BYTES, HITS, PIECE = 1 << 20, 1 << 21, 1 << 20
+BLANK = 32
 
 
 def _fold_table() -> np.ndarray:
-    """Bytes as compared: ASCII letters in lower case, other ASCII characters but digits as blanks, the rest as they are."""
-    fold = np.arange(256, dtype=np.uint8)
-    for c in range(128):
-        fold[c] = ord(chr(c).lower()) if chr(c).isalnum() else 32
+    """Characters as compared: letters in lower case, ASCII characters but letters and digits as blanks, the rest as they are."""
+    fold = np.arange(0x10000, dtype=np.uint32)
+    for c in range(len(fold)):
+        if c < 128:
+            fold[c] = ord(chr(c).lower()) if chr(c).isalnum() else BLANK
+        elif chr(c).isupper() and len(chr(c).lower()) == 1:
+            fold[c] = ord(chr(c).lower())
     return fold
 
 
@@ -29,63 +33,114 @@ FOLD = _fold_table()
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-8 bytes of texts as compared, their offsets, and which bytes were kept: case folded, runs of others one blank."""
-    folded = FOLD[data]
-    if len(data) > 1:  # the capitals of Latin-1 have the lead byte C3
-        lead = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        folded[1:][lead] |= 0x20
-    blank = folded == 32
+    """UTF-8 texts as compared, a number a character: all texts, their offsets, and of each character the place in its text.
+
+    Case is folded, and a run of characters that count as blank is one blank.
+    """
+    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    at = before[offsets]
+    folded = np.where(codes < len(FOLD), FOLD[np.minimum(codes, len(FOLD) - 1)], codes)
+    blank = folded == BLANK
     keep = ~blank
     keep[1:] |= ~blank[:-1]
-    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    starts = at[:-1][at[:-1] < at[1:]]
     keep[starts] = ~blank[starts]
-    sizes = [np.count_nonzero(keep[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-    return folded[keep], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), keep
+    kept = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+    places = np.flatnonzero(keep)
+    sizes = np.diff(kept[at])
+    return folded[keep], kept[at], places - np.repeat(at[:-1], sizes)
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place on, but for the last GRAM - 1 places."""
-    n = len(codes) - GRAM + 1
-    if n <= 0:
+def grams(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` characters from each place on, but for the last size - 1 places."""
+    n = len(codes) - size + 1
+    if n <= 0 or size <= 0:
         return np.zeros(0, np.uint64)
-    wide = codes.astype(np.uint64)
-    pairs = wide[:-1] | wide[1:] << np.uint64(8)
-    fours = pairs[:-2] | pairs[2:] << np.uint64(16)
-    eights = fours[:-4] | fours[4:] << np.uint64(32)
-    mixed = eights[:n] * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(32)
-    mixed += fours[8:8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed *= np.uint64(0xFF51AFD7ED558CCD)
+    base, out, done = 0x9E3779B97F4A7C15, None, 0
+    part, width = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), 1
+    while True:  # characters as a polynomial, by parts that double
+        if size & width:
+            out = part[done:done + n] if out is None else out * np.uint64(pow(base, width, 1 << 64)) + part[done:done + n]
+            done += width
+        if done == size:
+            break
+        part = part[:-width] * np.uint64(pow(base, width, 1 << 64)) + part[width:]
+        width *= 2
+    mixed = (out ^ out >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
     return mixed ^ mixed >> np.uint64(29)
 
 
-@dataclass
-class Items:
-    """Normalised items in one buffer, with an index of their q-grams."""
+class Index(NamedTuple):
+    """Where the q-grams of one size stand in the items."""
 
-    ids: list
-    codes: np.ndarray
-    offsets: np.ndarray
+    gram: int
+    whole: bool  # whether a gram is a whole item
     hashes: np.ndarray  # distinct, in order
     first: np.ndarray  # where each hash's places start in ``places``
     places: np.ndarray
     seen: np.ndarray  # by the top bits of a hash: whether any q-gram has them
 
     @staticmethod
-    def of(ids: list, texts: list[str]) -> Items:
-        raw = [t.encode() for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
-        codes, offsets, _ = normalise(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        long = np.diff(offsets) >= LEAST
-        spans = [np.arange(a, b - GRAM + 1) for a, b in zip(offsets[:-1][long], offsets[1:][long])]
-        places = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-        every = grams(codes)[places] if len(places) else np.zeros(0, np.uint64)
+    def of(codes: np.ndarray, spans: list[np.ndarray], gram: int, whole: bool) -> Index:
+        places = np.concatenate(spans)
+        every = grams(codes, gram)[places]
         order = np.argsort(every, kind="stable")
         hashes, first = np.unique(every[order], return_index=True)
         bits = max(16, int(len(hashes)).bit_length() + 5)
         seen = np.zeros(1 << bits, bool)
         seen[hashes >> np.uint64(64 - bits)] = True
-        return Items(ids, codes, offsets, hashes, np.append(first, len(places)), places[order], seen)
+        return Index(gram, whole, hashes, np.append(first, len(places)), places[order], seen)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``codes`` whose q-gram stands in an item, and which of ``hashes`` it is."""
+        shift = np.uint64(64 - self.seen.size.bit_length() + 1)
+        hashed = grams(codes, self.gram)
+        at = np.flatnonzero(self.seen[hashed >> shift])
+        found = np.minimum(np.searchsorted(self.hashes, hashed[at]), len(self.hashes) - 1)
+        real = self.hashes[found] == hashed[at]
+        return at[real], found[real]
+
+
+def gram_size(lengths: np.ndarray) -> np.ndarray:
+    """The size of the q-grams for items of these lengths.
+
+    A window of w characters with at most e edits shares w + 1 - q - e q of its q-grams with its copy: q is GRAM, or as large as
+    leaves one to share. Items of fewer than LEAST characters are one gram.
+    """
+    window = np.minimum(lengths, WINDOW)
+    return np.where(lengths < LEAST, lengths, np.minimum(GRAM, window // (window // EVERY + 1)))
+
+
+class Items(NamedTuple):
+    """Normalised items in one buffer, with an index for each size of q-grams. Equal items are searched once."""
+
+    ids: list  # of each distinct text, the ids of the items that have it
+    codes: np.ndarray
+    offsets: np.ndarray
+    indexes: list[Index]
+
+    @staticmethod
+    def of(ids: list, texts: list[str]) -> Items:
+        same: dict[str, list] = {}
+        for i, t in zip(ids, texts):
+            same.setdefault(t, []).append(i)
+        raw = [t.encode() for t in same]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
+        codes, offsets, _ = normalise(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        # blanks at the end of an item are no part of it
+        lengths = np.diff(offsets)
+        lengths = lengths - [bool(n) and codes[b - 1] == BLANK for n, b in zip(lengths, offsets[1:])]
+        keep = np.concatenate([np.arange(a, a + n) for a, n in zip(offsets[:-1], lengths)] or [np.zeros(0, np.int64)]).astype(np.int64)
+        codes, offsets = codes[keep], np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        sizes, indexes = gram_size(lengths), []
+        # items that are one gram and longer ones with grams of the same size are searched apart
+        for short in (True, False):
+            mine = (lengths < LEAST) == short
+            for q in np.unique(sizes[mine & (sizes > 0)]):
+                which = np.flatnonzero(mine & (sizes == q))
+                indexes.append(Index.of(codes, [np.arange(offsets[i], offsets[i + 1] - q + 1) for i in which], int(q), short))
+        return Items(list(same.values()), codes, offsets, indexes)
 
 
 def edits(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,28 +186,24 @@ def _verify(items: Items, codes: np.ndarray, offsets: np.ndarray, text: np.ndarr
     return ok, cost, end
 
 
-def _bands(items: Items, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _hits(items: Items, index: Index, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Hits (text, item, place in the text, place in the item), a piece of some texts at a time."""
-    shift = np.uint64(64 - items.seen.size.bit_length() + 1)
     ats, founds = [], []
     for start in range(0, len(codes), PIECE):
-        hashed = grams(codes[start:start + PIECE + GRAM - 1])
-        at = np.flatnonzero(items.seen[hashed >> shift])
-        found = np.minimum(np.searchsorted(items.hashes, hashed[at]), len(items.hashes) - 1)
-        real = items.hashes[found] == hashed[at]
-        ats.append(at[real] + start)
-        founds.append(found[real])
+        at, found = index.find(codes[start:start + PIECE + index.gram - 1])
+        ats.append(at + start)
+        founds.append(found)
     at, found = np.concatenate(ats), np.concatenate(founds)
     text = np.searchsorted(offsets, at, side="right") - 1
-    inside = at + GRAM <= offsets[text + 1]
+    inside = at + index.gram <= offsets[text + 1]
     at, found, text = at[inside], found[inside], text[inside]
-    many = items.first[found + 1] - items.first[found]
+    many = index.first[found + 1] - index.first[found]
     total = np.cumsum(many)
     cuts = np.searchsorted(total, np.arange(HITS, int(total[-1]) if len(total) else 0, HITS))
     for a, b in zip([0, *cuts], [*cuts, len(at)]):
         n = many[a:b]
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(items.first[found[a:b]], n)
-        place = items.places[flat]
+        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.first[found[a:b]], n)
+        place = index.places[flat]
         item = np.searchsorted(items.offsets, place, side="right") - 1
         row = np.repeat(text[a:b], n)
         yield row, item, np.repeat(at[a:b], n) - offsets[row], place - items.offsets[item]
@@ -161,7 +212,7 @@ def _bands(items: Items, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tup
 def leaks(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """``_leaks`` of all texts, so many at a time that their bytes stay within PIECE, but for a longer text."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
-    if not len(items.hashes) or not len(texts):
+    if not items.indexes or not len(texts):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     cuts = np.unique(np.searchsorted(at, np.arange(at[0], at[-1] + 1, PIECE), side="left"))
@@ -173,32 +224,62 @@ def leaks(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
 def _leaks(items: Items, texts: pa.Array, before: int) -> tuple[np.ndarray, ...]:
     """Leaks in whole texts: index of the text (``before`` more), index of the item, start and end in the text's characters, edits.
 
-    One row per text and item, that of the fewest edits, the leftmost if several. By the q-gram lemma a window of w characters
-    with at most e edits shares w + 1 - q - e q of its q-grams with the text, on diagonals at most e apart; bands are 2 (e + 1)
-    diagonals wide and start every e + 1, so one band has them all. Bands with fewer hits are dropped; in the others the windows
-    that have enough hits are aligned, the one with the most hits first.
+    One row per text and item, that of the fewest edits, the leftmost if several.
     """
-    nothing = tuple(np.zeros(0, np.int64) for _ in range(5))
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
-    at = at - at[0]
-    if not len(data):
-        return nothing
-    codes, offsets, keep = normalise(data, at)
-    if len(codes) < GRAM:
-        return nothing
+    codes, offsets, places = normalise(data, at - at[0])
+    out = []
+    for index in items.indexes:
+        if len(codes) >= index.gram:
+            out.append((_copies if index.whole else _aligned)(items, index, codes, offsets))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    text, item, end, cost = (np.concatenate([o[k] for o in out]) for k in range(4))
+    order = np.lexsort((end, cost, item, text))
+    text, item, end, cost = text[order], item[order], end[order], cost[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])) if len(text) else np.zeros(0, bool)
+    text, item, end, cost = text[new], item[new], end[new], cost[new]
+    begin = np.maximum(end - np.minimum(np.diff(items.offsets), WINDOW)[item], 0)
+    # places among the characters compared as characters of the text
+    last = offsets[text + 1] - offsets[text] - 1
+    start = places[offsets[text] + np.minimum(begin, last)]
+    return text + before, item, start, places[offsets[text] + end - 1] + 1, cost
+
+
+def _copies(items: Items, index: Index, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Exact copies of short items between word ends: text, item, where it ends in the text, and no edits."""
+    out = []
+    for text, item, place, _ in _hits(items, index, codes, offsets):
+        start, n = offsets[text] + place, index.gram
+        same = (codes[start[:, None] + np.arange(n)] == items.codes[items.offsets[item][:, None] + np.arange(n)]).all(axis=1)
+        opens = (place == 0) | (codes[start - 1] == BLANK)
+        ends = (start + n == offsets[text + 1]) | (codes[np.minimum(start + n, len(codes) - 1)] == BLANK)
+        real = same & opens & ends
+        out.append((text[real], item[real], place[real] + n, np.zeros(real.sum(), np.int64)))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+
+
+def _aligned(items: Items, index: Index, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of items that align with a text within their edits: text, item, where it ends in the text, edits.
+
+    By the q-gram lemma a window of w characters with at most e edits shares w + 1 - q - e q of its q-grams with the text, on
+    diagonals at most e apart; bands are 2 (e + 1) diagonals wide and start every e + 1, so one band has them all. Bands with
+    fewer hits are dropped; in the others the windows that have enough hits are aligned, the one with the most hits first.
+    """
     lengths = np.minimum(np.diff(items.offsets), WINDOW)
     budget = lengths // EVERY
-    enough = np.maximum(1, lengths + 1 - GRAM - budget * GRAM)
+    enough = lengths + 1 - index.gram - budget * index.gram
     span = int(np.diff(offsets).max() + np.diff(items.offsets).max()) + 2
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for row, item, place, inside in _bands(items, codes, offsets):
+    for row, item, place, inside in _hits(items, index, codes, offsets):
         shifted = place - inside + np.diff(items.offsets)[item]
         band = shifted // (budget[item] + 1)
         for less in (0, 1):
             held.append(((row * len(lengths) + item) * span + np.maximum(band - less, 0), inside))
         if sum(len(k) for k, _ in held) > 8 * HITS:
             held = [_compact(held, enough, span, len(lengths), row[-1])]
+    nothing = tuple(np.zeros(0, np.int64) for _ in range(4))
     if not held:
         return nothing
     key, inside = _compact(held, enough, span, len(lengths), None)
@@ -212,7 +293,7 @@ def _leaks(items: Items, texts: pa.Array, before: int) -> tuple[np.ndarray, ...]
     diagonal = bands % span * (budget[item] + 1) - np.diff(items.offsets)[item]
     wide = int(np.diff(items.offsets).max()) + WINDOW + 1
     line = group * wide + inside
-    until = np.searchsorted(line, line + lengths[item][group] - GRAM, side="right")
+    until = np.searchsorted(line, line + lengths[item][group] - index.gram, side="right")
     hits = until - np.arange(len(line))
     last = np.diff(items.offsets)[item] - lengths[item]
     best = np.lexsort((inside, -hits, group))[first]
@@ -226,25 +307,14 @@ def _leaks(items: Items, texts: pa.Array, before: int) -> tuple[np.ndarray, ...]
         for g in part:
             mine = inside[first[g]:first[g + 1] if g + 1 < len(first) else None]
             every = np.arange(0, last[g] + 1)
-            some = np.searchsorted(mine, every + lengths[item[g]] - GRAM, side="right") - np.searchsorted(mine, every) >= enough[item[g]]
+            some = np.searchsorted(mine, every + lengths[item[g]] - index.gram, side="right") - np.searchsorted(mine, every) >= enough[item[g]]
             starts.append(every[some])
             owner.append(np.full(some.sum(), g))
         owner, starts = np.concatenate(owner), np.concatenate(starts)
         fine, price, stop = _verify(items, codes, offsets, text[owner], item[owner], diagonal[owner], starts)
         owner = owner[fine]
         out.append((text[owner], item[owner], stop[fine], price[fine]))
-    text, item, end, cost = (np.concatenate([o[k] for o in out]) for k in range(4))
-    order = np.lexsort((end, cost, item, text))
-    text, item, end, cost = text[order], item[order], end[order], cost[order]
-    new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])) if len(text) else np.zeros(0, bool)
-    text, item, end, cost = text[new], item[new], end[new], cost[new]
-    begin = np.maximum(end - lengths[item], 0)
-    for t in np.unique(text):  # places in the compared bytes as characters of the text
-        mine, raw = text == t, np.flatnonzero(keep[at[t]:at[t + 1]])
-        character = np.cumsum((data[at[t]:at[t + 1]] & 0xC0) != 0x80, dtype=np.int64)
-        begin[mine] = character[raw[np.minimum(begin[mine], len(raw) - 1)]] - 1
-        end[mine] = character[raw[end[mine] - 1]]
-    return text + before, item, begin, end, cost
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
 
 
 def _compact(held: list[tuple[np.ndarray, np.ndarray]], enough: np.ndarray, span: int, items: int, still: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +331,20 @@ def _compact(held: list[tuple[np.ndarray, np.ndarray]], enough: np.ndarray, span
     return key[stays], inside[stays]
 
 
+def _plain(items: Items) -> tuple:
+    """Items as plain data, so that workers need no copy of the package."""
+    return (*items[:-1], [tuple(i) for i in items.indexes])
+
+
+def _items(plain: tuple) -> Items:
+    return Items(*plain[:-1], [Index(*i) for i in plain[-1]])
+
+
 def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The items in blocks of about ``block_bytes``, so that one block's index has a bounded size; null texts are left out."""
+    """The items in blocks of about ``block_bytes``, so that one block's index has a bounded size; null texts are left out.
+
+    Equal texts are one text with several ids.
+    """
     known = benchmark.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
@@ -276,22 +358,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, item_key, start, end, edits): a row per input row and item of which the whole text holds a leak.
 
-    Texts are compared in lower case (ASCII and Latin-1 letters), each run of other ASCII characters as one blank. ``start``
+    Texts are compared character by character in lower case, each run of ASCII characters other than letters and digits as one
+    blank. An item of fewer than LEAST such characters is leaked where it stands exactly between word ends. ``start``
     and ``end`` are the leak in characters of the text, exact to within the edits. Null and empty texts and items hold and are
     no leaks; items with the same text are all reported; rows with the same key are reported each; empty tables give none.
     """
     spark, found = docs.sparkSession, None
     names = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     for items in item_blocks(benchmark, item_key, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(tuple(vars(items).values()))  # within block_bytes of text
+        shared = spark.sparkContext.broadcast(_plain(items))  # within block_bytes of text
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value)
+            items = _items(shared.value)
             ids = items.ids
             for batch in batches:
                 row, item, start, end, cost = leaks(items, batch.column(1))
+                copies = np.array([len(ids[i]) for i in item], np.int64)
+                named = [i for k in item for i in ids[k]]
+                row, start, end, cost = (np.repeat(x, copies) for x in (row, start, end, cost))
                 yield pa.RecordBatch.from_pydict({
-                    "key": batch.column(0).take(pa.array(row)), "item": pa.array([ids[i] for i in item], _arrow(names[1])), "start": start, "end": end, "edits": cost})
+                    "key": batch.column(0).take(pa.array(row)), "item": pa.array(named, _arrow(names[1])), "start": start, "end": end, "edits": cost})
 
         part = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
             search, f"key {names[0]}, item {names[1]}, start long, end long, edits long")
@@ -313,12 +399,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def _clean(spark, items: Items):
     """Whether each whole text holds no leak of ``items``."""
-    shared = spark.sparkContext.broadcast(tuple(vars(items).values()))  # within block_bytes of text
+    shared = spark.sparkContext.broadcast(_plain(items))  # within block_bytes of text
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         held = np.ones(len(texts), bool)
-        held[leaks(Items(*shared.value), texts)[0]] = False
+        held[leaks(_items(shared.value), texts)[0]] = False
         return pa.array(held)
 
     return clean

@@ -15,32 +15,36 @@ def fold(text):
     for c in text:
         if ord(c) < 128:
             c = c.lower() if c.isalnum() else " "
-        elif 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7:
+        elif c.isupper() and len(c.lower()) == 1:
             c = c.lower()
-        out += "" if c == " " and out.endswith(" ") else c
-    return out.encode()
+        out += "" if c == " " and (not out or out.endswith(" ")) else c
+    return out
 
 
 def sellers(pattern, text):
     """Least edits of the pattern against any part of the text."""
     row = np.zeros(len(text) + 1, int)
-    codes = np.frombuffer(text, np.uint8)
+    codes = np.array([ord(c) for c in text])
     for i, c in enumerate(pattern, 1):
         new = np.empty_like(row)
         new[0] = i
-        new[1:] = np.minimum(row[:-1] + (codes != c), row[1:] + 1)
+        new[1:] = np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)
         row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
     return row.min()
 
 
 def brute(items, texts):
-    """Every window of every item against every text."""
+    """Every window of every item against every text; short items as whole words."""
     out = {}
-    for i, item in enumerate(map(fold, items)):
-        if len(item) < decontam.LEAST:
+    for i, item in enumerate(fold(t).rstrip(" ") for t in items):
+        if not item:
             continue
         size = min(len(item), decontam.WINDOW)
         for t, text in enumerate(map(fold, texts)):
+            if len(item) < decontam.LEAST:
+                if f" {item} " in f" {text} ":
+                    out[t, i] = 0
+                continue
             least = min(sellers(item[s:s + size], text) for s in range(len(item) - size + 1))
             if least <= size // decontam.EVERY:
                 out[t, i] = int(least)
@@ -74,6 +78,37 @@ def test_against_brute_force():
     assert all(found[k] >= want[k] for k in want)
 
 
+def letters(r, script, n):
+    return "".join(r.choice(script) for _ in range(n))
+
+
+@pytest.mark.parametrize("script", ["etaoin shrdlu", "оеаинт срвл", "日本語の文章 漢字"])
+def test_items_of_every_length_in_three_scripts(script):
+    """Items of 1 to 140 characters, copied with as many edits as they may have, one fewer and one more."""
+    r = random.Random(len(script))
+    items = [letters(r, script, n) for n in (1, 2, 5, 9, 15, 16, 23, 24, 25, 31, 32, 33, 34, 35, 36, 47, 48, 63, 64, 65, 90, 140)]
+    texts = []
+    for item in items:
+        for n in range(max(1, min(len(item), 64) // 16) + 2):
+            spoilt = list(item)
+            for k in range(n):  # edits spread evenly hide most q-grams
+                at = (2 * k + 1) * len(item) // (2 * n)
+                spoilt[at] = r.choice(["ж" if script[0] == "e" else "x", ""]) if spoilt[at] != " " else "q"
+            texts.append(r.choice(["", letters(r, script, 20) + " "]) + "".join(spoilt) + r.choice(["", " " + letters(r, script, 9)]))
+    got = decontam.leaks(decontam.Items.of(list(range(len(items))), items), pa.array(texts))
+    want = brute(items, texts)
+    found = {(int(t), int(i)): int(e) for t, i, _, _, e in zip(*got)}
+    assert set(found) == set(want) and all(found[k] >= want[k] for k in want)
+
+
+def test_short_items_are_whole_words():
+    items = decontam.Items.of([7, 8, 9], ["Capital of France", "ring", "ring"])
+    texts = ["So the capital of France is Paris.", "the capital of Frances", "a ring", "bringing", "Ring!", None, ""]
+    row, item, start, end, edits = decontam.leaks(items, pa.array(texts))
+    assert [(t, items.ids[i], texts[t][a:b]) for t, i, a, b in zip(row, item, start, end)] == [
+        (0, [7], "capital of France"), (2, [8, 9], "ring"), (4, [8, 9], "Ring")] and not edits.any()
+
+
 def test_places_are_characters():
     item = "Ünïcödé passage that is long enough to be looked for in texts, surely so"
     text = "ééé 𝄞 " + item + " end"
