@@ -9,7 +9,7 @@ from emberlog.operators import alerts as ops
 from emberlog.plans import fixtures as fx
 from emberlog.plans.queries import query
 from emberlog.session import scratch_path
-from emberlog.sources import alert_index, alert_tables
+from emberlog.sources import alert_index, alert_sketches, alert_tables
 
 _A = """WITH a AS (
   SELECT *, CAST(o_orderkey AS VARCHAR) AS id,
@@ -260,3 +260,41 @@ def sql_functions(spark, sf_dir):
                ioc_type(CASE o_orderstatus WHEN 'F' THEN '1.2.3.4' WHEN 'O' THEN '/tmp' ELSE o_orderstatus END) AS type,
                severity_rank(CASE left(o_orderpriority, 1) WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' ELSE 'x' END) AS rank
         FROM emberlog_orders""")
+
+
+def _halves(spark, sf_dir, write):
+    """All alerts in a new store, odd customers' in the second of two batches."""
+    alerts, path = _alerts(spark, sf_dir), scratch_path(spark, "halves")
+    odd = F.pmod(F.regexp_extract("title", r"(\d+)$", 1).cast("long"), F.lit(2)) == 1
+    for batch, part in ((0, ~odd), (1, odd)):
+        alert_tables.write_batch(alerts.filter(part), path, batch)
+        write(path, batch)
+    return path
+
+
+@query(_A + """, v AS (SELECT unnest(iocs) AS value FROM c), n AS (SELECT value, count(*) AS n FROM v GROUP BY value)
+SELECT count(*) AS exact, true AS distinct_close, true AS top_close, CAST(sum(n) AS BIGINT) AS occurrences FROM n""")
+def ioc_sketches(spark, sf_dir):
+    """Distinct and frequent indicators merged from the summaries of two batches, within their bounds of the exact counts."""
+    path = _halves(spark, sf_dir, lambda path, batch: alert_sketches.write_sketches(spark, path, batch))
+    merged = alert_sketches.read_sketches(spark, path, 10)
+    exact = ops.ioc_mart(_alerts(spark, sf_dir)).select("value", F.col("alert_count").alias("_n"))
+    slack = 2 * F.col("occurrences") / alert_sketches.TRACKED
+    top = merged.select("occurrences", F.explode("top").alias("t")).join(exact, F.col("t.value") == F.col("value"), "left")
+    close = top.agg(F.min(F.abs(F.col("t.n") - F.coalesce("_n", F.lit(0))) <= slack).alias("top_close"))
+    count = exact.agg(F.count(F.lit(1)).alias("exact"))
+    return merged.select("occurrences", "distinct_iocs").withColumns({"exact": count.scalar(), "top_close": close.scalar()}).select(
+        "exact", (F.abs(F.col("distinct_iocs") - F.col("exact")) <= alert_sketches.DISTINCT_ERROR * F.col("exact")).alias("distinct_close"), "top_close", "occurrences")
+
+
+@query(_A + f"SELECT {_ID} FROM a WHERE o_custkey % 2 = 1")
+def store_cleared(spark, sf_dir):
+    """A store made empty, filled, cleared, and filled again with the alerts of odd customers."""
+    path = scratch_path(spark, "cleared")
+    alert_tables.create(spark, path)
+    alert_tables.write_batch(_alerts(spark, sf_dir), path, 0)
+    alert_tables.write_ioc_delta(spark, path, 0)
+    alert_tables.clear(spark, path)
+    odd = F.pmod(F.regexp_extract("title", r"(\d+)$", 1).cast("long"), F.lit(2)) == 1
+    alert_tables.write_batch(_alerts(spark, sf_dir).filter(odd), path, 1)
+    return _short(alert_tables.read_alerts(spark, path))

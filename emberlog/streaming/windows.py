@@ -57,3 +57,24 @@ def dedupe_alerts(alerts: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     if alerts.isStreaming:
         return alerts.withWatermark("generated_at", watermark).dropDuplicatesWithinWatermark(["id"])
     return alerts.dropDuplicates(["id"])
+
+
+def success_after_failures_stream(parsed: DataFrame, window_seconds: int = 3600, min_failures: int = 1, watermark: str = WATERMARK) -> DataFrame:
+    """Logins that succeed within ``window_seconds`` after failures of the same source: source_ip, first_sec, last_sec, n.
+
+    The stream is joined with itself on the source and an interval of time. Both sides are combined per second first, so a source
+    keeps at most a row per second, and only for as long as a success can still come. A success is emitted once the watermark
+    has passed it.
+    """
+    def seconds(name: str) -> DataFrame:
+        # both sides see all logins, so time goes on alike on both
+        counts = F.count_if(login_failed()).alias("failed_n"), F.count_if(login_succeeded()).alias("ok_n")
+        per = _logins(parsed).withWatermark("event_ts", watermark).groupBy("source_ip", F.window("event_ts", "1 second")).agg(*counts)
+        return per.filter(F.col(f"{name}_n") > 0).select(F.col("source_ip").alias(f"{name}_ip"), F.window_time("window").alias(f"{name}_at"), f"{name}_n")
+
+    failed, ok = seconds("failed"), seconds("ok")
+    near = (F.col("failed_ip") == F.col("ok_ip")) & (F.col("failed_at") < F.col("ok_at")) & (
+        F.col("failed_at") >= F.col("ok_at") - F.expr(f"INTERVAL {window_seconds} SECONDS"))
+    after = failed.join(ok, near).groupBy("ok_ip", F.window("ok_at", "1 second")).agg(F.sum("failed_n").alias("n"), F.min("failed_at").alias("since"))
+    return after.filter(F.col("n") >= min_failures).select(
+        F.col("ok_ip").alias("source_ip"), F.unix_seconds("since").alias("first_sec"), F.unix_seconds("window.start").alias("last_sec"), "n")

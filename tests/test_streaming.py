@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog import parse_lines
+from emberlog.operators.detectors import success_after_failures
 from emberlog.sources.alert_tables import read_alerts, read_ioc_counters
 from emberlog.streaming import watch as w
 from emberlog.streaming import windows
@@ -165,3 +166,17 @@ def test_scored_batches(spark, tmp_path):
         w.score_batch(lines(name), out, batch_id, model, "rules", "fix")
     got = {(r.source_file, r.chunk_index): r.title for r in read_alerts(spark, out).collect()}
     assert got == {("a", i): "nothing" for i in range(3)} | {("b", i + 3): "[chunk 2] LOW: nothing"[-20:] for i in range(3)}
+
+
+def test_success_after_failures_on_a_stream(spark, tmp_path):
+    """Two streams joined by time find what windows find in the stored log."""
+    accepted = lambda ip, minute, s: f"2024-05-01 10:{minute:02d}:{s:02d} gate sshd[1]: Accepted password for root from {ip} port 2 ssh2"
+    files = [failures("203.0.113.1", 1, 5) + failures("203.0.113.2", 1, 3) + [accepted("203.0.113.3", 1, 9)],
+             [accepted("203.0.113.1", 4, 2), accepted("203.0.113.1", 4, 2), *failures("203.0.113.1", 4, 4), accepted("203.0.113.2", 58, 1)],
+             [accepted("203.0.113.1", 30, 0), failures("203.0.113.9", 1, 1)[0].replace("2024", "2030")]]
+    for k, lines in enumerate(files):
+        (tmp_path / f"{k}.log").write_text("\n".join(lines) + "\n")
+        os.utime(tmp_path / f"{k}.log", (10**9 + k, 10**9 + k))
+    want = [(f.subject, f.first_sec, f.last_sec, f.n) for f in success_after_failures(stored(spark, str(tmp_path)), 1800).collect()]
+    got = collect(spark, windows.success_after_failures_stream(streamed(spark, str(tmp_path)), 1800, watermark="2 hours"), "append")
+    assert sorted(got) == sorted(want) and len(want) == 2 and {w[0] for w in want} == {"203.0.113.1"}
