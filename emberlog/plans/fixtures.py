@@ -385,7 +385,7 @@ def grow(part: str, log: str, before: bytes, hold: int) -> bytes:
     """
     from pyarrow import fs
 
-    from emberlog.streaming.tail import file_system
+    from emberlog.sources.files import file_system
 
     (source, parts), (target, path) = file_system(part), file_system(log)
     target.create_dir(path.rpartition("/")[0])

@@ -117,7 +117,7 @@ def attack_bundle_scan(spark, sf_dir):
     rows = fx.attack_objects(spark, sf_dir)
     number = F.regexp_extract("name", r"(\d+)$", 1).cast("bigint")
     path = _written(rows.select(number.alias("doc_id"), F.struct(*rows.columns).alias("o")), "objects")
-    return intel.attack_chunks(feeds.read_attack_bundle(spark, path)).select(
+    return intel.attack_chunks(feeds.read_attack_bundle(spark, path, split_bytes=1 << 14)).select(
         "id", "text", F.col("metadata")["technique_id"].alias("technique_id"))
 
 
@@ -126,7 +126,7 @@ def cve_feed_scan(spark, sf_dir):
     rows = fx.cve_items(spark, sf_dir)
     number = F.regexp_extract("cve.CVE_data_meta.ID", r"(\d+)$", 1).cast("bigint")
     path = _written(rows.select(number.alias("doc_id"), F.struct(*rows.columns).alias("o")), "CVE_Items")
-    return intel.cve_chunks(feeds.read_cve_feed(spark, path)).select("id", "text", "cvss")
+    return intel.cve_chunks(feeds.read_cve_feed(spark, path, split_bytes=1 << 14)).select("id", "text", "cvss")
 
 
 _TOP = """WITH p AS (

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from emberlog.sources.files import file_system
+
 LINES = "source_file string, block_start bigint, block_length bigint, raw string"
 #: Bytes in a task's range, bytes read at once, and bytes at a file's start by which it is known again.
 SPLIT, PIECE, HEAD = 16 << 20, 1 << 20, 1024
@@ -25,15 +27,6 @@ class Range(InputPartition):
         self.path, self.start, self.end, self.last = path, start, end, last
 
 
-def file_system(path: str):
-    """The file system of a path or URI, and the path in it."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def _last_line_end(file, size: int) -> int:
     """Where the last line feed ends, read from the back; 0 if there is none."""
     end = size
