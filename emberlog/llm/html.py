@@ -35,9 +35,28 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "notification alert comment comments commentlist disqus respond sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "topbar toolbar share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay pagination pager".split())
+#: Words that stand beside those in names of containers; a name with any other word is the article's own.
+CONTAINERS = frozenset(
+    "area bar block body box btn button buttons card cards col column container content counter count entry feed form frame group header heading "
+    "holder icon icons inner inline item items label layer link links list main outer panel post posts row section sections slot space "
+    "story stories text thread title toggle top bottom left right unit widget widgets wrap wrapper zone site page global primary secondary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
 
+def _names_aside(value: str, in_main: bool, header: bool) -> bool:
+    """Whether a class or id names something beside the text.
+
+    One of its tokens is made of words of NAMES, beside which only words of CONTAINERS may stand inside of a main part:
+    "share-buttons" is no text there, "social-history" is.
+    """
+    for token in value.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        named = [w in NAMES or w == "header" and header for w in words]
+        if any(named) and (not in_main or all(n or w in CONTAINERS for w, n in zip(words, named))):
+            return True
+    return False
+
+
 def _aside(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element stands beside the text, and whether it is a main part."""
     beside, main = name in BESIDE or name == "header" and not in_main, name in MAIN
@@ -45,8 +64,7 @@ def _aside(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id") and name not in MAIN and name not in ("body", "html"):
-                words = {w.lower() for w in WORD.findall(value)}
-                beside |= not words.isdisjoint(NAMES) or "header" in words and not in_main and name in ("div", "section")
+                beside |= _names_aside(value, in_main, not in_main and name in ("div", "section"))
             elif key == "role":
                 beside |= value.lower() in ROLES
                 main |= value.lower() in ("main", "article")
@@ -56,7 +74,10 @@ def _aside(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
                 beside |= value.lower() == "true"
             elif key == "style":
                 beside |= "display:none" in value.replace(" ", "").lower()
-        beside |= re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) is not None
+            elif key == "hidden":
+                beside = True
+        if "hidden" in attributes.lower():  # an attribute without a value; what stands in quotes is none
+            beside |= re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", attributes), re.IGNORECASE) is not None
     return beside and not main, main
 
 

@@ -91,3 +91,21 @@ def test_copies_of_unmarked_pages_keep_their_text(spark):
     want = {1: 1, 2: 1, 3: 1, None: 1, 4: 2, 5: 2, 6: 6, 7: 6, 8: 8, 9: 8, 10: 8} | {100 + i: 100 if i % 3 else 101 for i in range(90)}
     got = html.extract(pages).collect()
     assert len(got) == len(rows) and {(r.page_id, r.text) for r in got} == {(k, f"story {i} text\n\nmore {i}") for k, i in want.items()}
+
+
+@pytest.mark.parametrize("tag, kept", [
+    ('p title="the hidden cost"', True), ("a title='a hidden place' href=x", True), ('p data-x="a hidden b" lang=en', True), ("p hidden", False),
+    ("p hidden=until-found", False), ('p HIDDEN=""', False), ('p class="x" hidden/', False), ('section class="social-history"', True),
+    ('section class="notice-period"', True), ('div id="ad-hoc"', True), ('div class="intro related-work"', True), ('div class="ad"', False),
+    ('div class="box share-buttons"', False), ('div id="adSlot3"', False), ('section class="related-posts"', False), ('ol class="comment-list"', False),
+    ('div class="newsletterSignupBox"', False), ('div class="cookie notice"', False)])
+def test_names_and_attributes_in_an_article(tag, kept):
+    """Values in quotes are no attributes, and a name is beside the text only if all of its words are."""
+    name = tag.split()[0]
+    found = [t for t, _ in html.blocks_of(f"<main><p>One.</p><{tag}>Three four.</{name}><p>Six.</p></main>")]
+    assert ("Three four." in " ".join(found)) == kept and found[0] == "One." and "Six." in found[-1]
+
+
+def test_names_outside_of_an_article():
+    found = [t for t, _ in html.blocks_of('<body><div class="social-history">x</div><div class="site-header">y</div><div class="plain">z</div></body>')]
+    assert found == ["z"]
