@@ -69,3 +69,35 @@ def test_empty_batch(spark, tmp_path):
     tables.create(spark, str(tmp_path))
     ix.write_index(spark, str(tmp_path), -1)
     assert ix.find_text(spark, str(tmp_path), "anything").count() == ix.find_ioc(spark, str(tmp_path), "x").count() == 0
+
+
+def test_postings_stay_in_their_task(spark, tmp_path):
+    """An index is written by one stage without a shuffle, and its postings are numbers of a piece."""
+    path, sc = str(tmp_path), spark.sparkContext
+    tables.write_batch(some(spark, 5, range(300), 1), path, 0)
+    sc.setJobGroup("index", "index")
+    try:
+        ix.write_index(spark, path, 0)
+        jobs = sc.statusTracker().getJobIdsForGroup("index")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobInfo(max(jobs)).stageIds) == 1
+    assert dict(ix.postings(spark, path, ix.TRIGRAMS, ["tit"]).dtypes)["places"] == "array<int>"
+
+
+@pytest.mark.parametrize("size", [1, 300])
+def test_pieces_cut_by_bytes(spark, tmp_path, monkeypatch, size):
+    """Pieces of few bytes, letters beyond 16 bits, nulls among indicators, and two rows of an id in one batch."""
+    monkeypatch.setattr(ix, "BYTES", size)
+    day = dt.datetime(2024, 1, 1)
+    rows_ = [("1", "HIGH", "A😀b İx", None, [None, "10.1.1.1"], day), ("1", "LOW", "newer", "", None, day + dt.timedelta(1)), ("2", "LOW", None, "say a😀B", ["10.1.1.1", "10.1.1.1"], day),
+             (None, "LOW", "a😀b", None, ["10.1.1.1"], day), ("3", "INFO", "İX ab", "😀b", [], day), ("4", "INFO", "A😀", "b", ["a😀", "b"], day)]
+    rows_ += [(str(k), "HIGH", f"a😀b {k}", "long " * k, [f"h{k}"], day) for k in range(10, 40)]
+    path = str(tmp_path)
+    tables.write_batch(conform(spark.createDataFrame(rows_, "id string, severity string, title string, description string, iocs array<string>, generated_at timestamp"), ALERT), path, 0)
+    ix.write_index(spark, path, 0)
+    assert ix.postings(spark, path, ix.TRIGRAMS, ["a😀b"]).count() > 3
+    known = tables.read_alerts(spark, path).filter("id IS NOT NULL")
+    for term in ("A😀B", "İx", "İX ", "long long", "10.1.1.1"):
+        assert sorted(rows(ix.find_text(spark, path, term, 99)), key=str) == sorted(rows(ops.by_text(known, term, 99)), key=str)
+    assert sorted(rows(ix.find_ioc(spark, path, "10.1.1.1")), key=str) == sorted(rows(ops.by_ioc(known, "10.1.1.1")), key=str)
