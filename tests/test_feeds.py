@@ -47,3 +47,29 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
 def test_an_empty_folder(spark, tmp_path):
     (tmp_path / "empty.json").write_text("")
     assert feeds.read_cve_feed(spark, str(tmp_path)).count() == 0
+
+
+def test_small_ranges_go_on_together(spark):
+    """Rows of many ranges are one batch, but no batch holds much more than HANDED bytes."""
+    schema = feeds.pa.schema([("text", feeds.pa.string())])
+    rows = feeds.pa.RecordBatch.from_pylist([{"n": n} for n in range(50)])
+    few = list(feeds._each(iter([rows]), lambda n: [{"text": str(n)}] * (n % 3), schema))
+    assert len(few) == 1 and few[0].column("text").to_pylist() == [str(n) for n in range(50) for _ in range(n % 3)]
+    long = list(feeds._each(iter([rows]), lambda n: [{"text": "x" * (feeds.HANDED // 4)}], schema))
+    assert [len(b) for b in long] == [4] * 12 + [2]
+
+
+def test_feed_files_do_not_grow_in_number(spark):
+    """A feed file per task without a folder each, whatever the number of objects; each is one JSON document."""
+    import os
+
+    from emberlog.plans.queries.intel import _written
+
+    item = F.struct(F.struct(F.concat(F.lit("CVE-"), F.col("id").cast("string")).alias("ID")).alias("CVE_data_meta")).alias("cve")
+    for n in (950, 1):
+        path = _written(spark.range(0, n, 1, 3).select(item), "CVE_Items").removeprefix("file:")
+        found = [f for f in os.listdir(path) if not f.startswith((".", "_"))]
+        assert len(found) == 3 and all(os.path.isfile(f"{path}/{f}") for f in found)
+        assert sum(len(json.load(open(f"{path}/{f}"))["CVE_Items"]) for f in found) == n
+        got = feeds.read_cve_feed(spark, path, split_bytes=700)
+        assert sorted(r[0] for r in got.select("cve.CVE_data_meta.ID").collect()) == sorted(f"CVE-{k}" for k in range(n))
